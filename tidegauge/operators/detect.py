@@ -171,7 +171,7 @@ SETTINGS = [
 
 
 def sweep(points: DataFrame, keys: list[str], injections: DataFrame, ts: str = "bucket", bucket_seconds: int = 86400,
-          margin_minutes: int = 5, settings=None) -> DataFrame:
+          margin_minutes: int = 5, settings=None, run: int = RUN) -> DataFrame:
     """Events, hits, noise, injections found and high hits for every setting.
 
     The setting is part of the series key, so all settings share one plan; the
@@ -181,7 +181,7 @@ def sweep(points: DataFrame, keys: list[str], injections: DataFrame, ts: str = "
                     for n, h, r, a in (settings or SETTINGS)])
     many = points.withColumn("_s", F.explode(arr)).select("*", "_s.*").drop("_s")
     floor = F.when(F.col("abs"), F.col("floor")).otherwise(0.0)
-    sc = scored(many, [*keys, "setting"], ts, least=F.col("least"), rel=F.col("rel"), floor=floor, bucket_seconds=bucket_seconds)
+    sc = scored(many, [*keys, "setting"], ts, run=run, least=F.col("least"), rel=F.col("rel"), floor=floor, bucket_seconds=bucket_seconds)
     ev = events(sc).withColumn("event_id", F.xxhash64(*keys, "setting", ts))
     margin = F.expr(f"interval {margin_minutes} minutes")
     inj = injections.select(F.col("asset_id").alias("_a"), "uid", F.col("start").alias("_s"), F.col("end").alias("_e"))

@@ -47,8 +47,8 @@ def apply_closings(anomalies: DataFrame, closed: DataFrame) -> DataFrame:
     c = closed.select("anomaly_id", F.col("end").alias("_end"))
     may = F.col("end").isNull() & ~F.col("state").isin(*TERMINAL_STATES) & F.col("_end").isNotNull()
     j = anomalies.join(c, "anomaly_id", "left")
-    return j.withColumn("state", F.when(may, "cerrada").otherwise(F.col("state"))).withColumn(
-        "end", F.when(may, F.col("_end")).otherwise(F.col("end"))).drop("_end").select(*anomalies.columns)
+    new = {"state": F.when(may, "cerrada").otherwise(F.col("state")), "end": F.when(may, F.col("_end")).otherwise(F.col("end"))}
+    return j.select(*[new[c].alias(c) if c in new else c for c in anomalies.columns])
 
 
 def apply_marks(anomalies: DataFrame, marks: DataFrame) -> DataFrame:
@@ -120,5 +120,5 @@ def diagnosis_delay(anomalies: DataFrame, diagnoses: DataFrame) -> DataFrame:
 def public_interval(anomalies: DataFrame, as_of: Column, minutes: Column) -> DataFrame:
     """start minus the baseline window to the end (or now), never before the start."""
     m = F.when(minutes > 0, minutes).otherwise(60)
-    return anomalies.withColumn("interval_from", F.timestamp_micros(F.unix_micros("start") - (m * 60000000).cast("bigint"))).withColumn(
+    return anomalies.withColumn("interval_from", F.timestamp_micros(F.unix_micros("start") - m.cast("bigint") * 60000000)).withColumn(
         "interval_to", F.greatest(F.coalesce("end", as_of), F.col("start")))

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 ACCURACY = 1000
 
 
-def _match(a: DataFrame, b: DataFrame, keys: list[str]):
-    if not keys:
-        return F.lit(True)
-    cond = a[keys[0]].eqNullSafe(b[keys[0]])
-    for k in keys[1:]:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
+def _with(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined to a one-row-per-group table, null groups included."""
+    other = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = F.col(k).eqNullSafe(F.col(f"_k{i}")) if i == 0 else on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(other, on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str, rounds: int = 2) -> DataFrame:
@@ -40,21 +40,20 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name:
         # positions of the wanted ranks inside the rows that are left, widened by twice the sketch error
         sketch = group(rows).agg(F.count(F.lit(1)).alias("_m"),
                                  F.percentile_approx("_v", [i / ACCURACY for i in range(ACCURACY + 1)], 20 * ACCURACY).alias("_q"))
-        st = sketch.join(want, _match(sketch, want, keys)).select(*[sketch[k] for k in keys], "_m", "_q", "_r", "_below")
+        st = _with(sketch, want, keys)
         local = F.col("_r") - F.col("_below")
         lo_i = F.greatest(F.lit(0), F.floor(local / F.col("_m") * ACCURACY) - 2).cast("int")
         hi_i = F.least(F.lit(ACCURACY), F.ceil((local + 1) / F.col("_m") * ACCURACY) + 2).cast("int")
         bracket = st.select(*keys, F.try_element_at("_q", lo_i + 1).alias("_lo"),
                             F.try_element_at("_q", hi_i + 1).alias("_hi"), "_r", "_below")
-        j = rows.join(bracket, _match(rows, bracket, keys)).select(
-            *[rows[k] for k in keys], "_v", "_lo", "_hi", "_r", "_below")
+        j = _with(rows, bracket, keys)
         low = group(j).agg(F.first("_r").alias("_r"), (F.first("_below") + F.count_if(F.col("_v") < F.col("_lo"))).alias("_below"))
         rows = j.where("_v >= _lo and _v <= _hi").select(*keys, "_v")
         want = low
     vals = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(*(keys or [F.lit(1)])).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     vals = vals.withColumn("_cum", F.sum("_c").over(w))
-    f = vals.join(want, _match(vals, want, keys)).select(*[vals[k] for k in keys], "_v", "_cum", "_r", "_below")
+    f = _with(vals, want, keys)
     upto = F.col("_below") + F.col("_cum")
     out = group(f).agg(F.min(F.when(upto > F.floor("_r"), F.col("_v"))).alias("_a"),
                        F.min(F.when(upto > F.ceil("_r"), F.col("_v"))).alias("_z"), F.first("_r").alias("_r"))

@@ -171,10 +171,11 @@ def chart_rows(series: DataFrame, keys: list[str], label: str, ts: str, value: s
         F.col(ts), F.when(late, F.col(ts) + F.expr(f"interval {step} seconds"))))).alias(ts))
     labels = series.select(*keys, label).distinct()
     grid = instants.join(labels, keys) if keys else instants.crossJoin(labels)
-    on = (grid[ts] == series[ts]) & grid[label].eqNullSafe(series[label])
+    known = series.select(*[F.col(c).alias(f"_{c}") for c in (*keys, label, ts)], value)
+    on = (F.col(ts) == F.col(f"_{ts}")) & F.col(label).eqNullSafe(F.col(f"_{label}"))
     for k in keys:
-        on = on & (grid[k] == series[k])
-    return grid.join(series, on, "left").select(*[grid[k] for k in keys], grid[ts], grid[label], series[value])
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return grid.join(known, on, "left").select(*keys, ts, label, value)
 
 
 def metrics_seen(points: DataFrame, asset: str, since: Column) -> DataFrame:
