@@ -1 +1,116 @@
-"""Placeholder."""
+"""Evidence for incidents, citations, redaction."""
+
+from pyspark.sql import functions as F
+
+from ..functions.redaction import redact
+from ..operators import evidence as E
+from ..operators import signals
+from .base import query, r, text
+
+AS_OF = "TIMESTAMP '2024-01-25 00:00:00'"
+
+
+def _now():
+    return F.to_timestamp(F.lit("2024-01-25 00:00:00"))
+
+
+def _incidents(t):
+    """Anomalies on the ten machines, one per machine, metric and day, so that windows stay a few."""
+    a = t.anomalies.where("severity <> 'baja'")
+    asset = F.concat(F.lit("asset-"), (F.substring("asset_id", 2, 20).cast("bigint") % 10).cast("string"))
+    m = F.element_at(F.array(*[F.lit(x) for x in ("view", "click", "signup", "error", "purchase")]), (F.substring("metric", 2, 1).cast("int") + 1))
+    return E.windows(a.withColumn("asset_id", asset).withColumn("metric", m), _now())
+
+
+_INC = f"""SELECT anomaly_id, 'asset-' || (CAST(substring(asset_id, 2) AS BIGINT) % 10) AS asset_id, CASE metric WHEN 'm0' THEN 'view' WHEN 'm1' THEN 'click' WHEN 'm2' THEN 'signup' WHEN 'm3' THEN 'error' ELSE 'purchase' END AS metric, "start",
+  "start" - INTERVAL 60 MINUTE AS metrics_from, "start" - INTERVAL 10 MINUTE AS logs_from, CASE WHEN least(eff + INTERVAL 10 MINUTE, {AS_OF}) <= "start" THEN "start" + INTERVAL 1 MINUTE ELSE least(eff + INTERVAL 10 MINUTE, {AS_OF}) END AS until,
+  greatest(eff, "start" + INTERVAL 1 MINUTE) AS during_to FROM (SELECT *, least(coalesce("end", {AS_OF}), {AS_OF}, "start" + INTERVAL 3 HOUR) AS eff FROM anomalies WHERE severity <> 'baja')"""
+
+
+@query("f16_evidence_windows", f"SELECT anomaly_id, strftime(metrics_from, '%Y-%m-%d %H:%M:%S') AS metrics_from, strftime(logs_from, '%Y-%m-%d %H:%M:%S') AS logs_from, strftime(until, '%Y-%m-%d %H:%M:%S') AS until, strftime(during_to, '%Y-%m-%d %H:%M:%S') AS during_to FROM ({_INC})", "anomalies")
+def _(t):
+    return _incidents(t).select("anomaly_id", text("metrics_from"), text("logs_from"), text("until"), text("during_to"))
+
+
+_SUM = f"""SELECT i.anomaly_id, quantile_cont(value, 0.5) FILTER (WHERE ts < "start") AS bm, quantile_cont(value, 0.5) FILTER (WHERE ts >= "start" AND ts <= during_to) AS dm, max(value) FILTER (WHERE ts >= "start" AND ts <= during_to) AS dx,
+  count(*) FILTER (WHERE ts < "start") AS pb, count(*) FILTER (WHERE ts >= "start" AND ts <= during_to) AS pd FROM ({_INC}) i JOIN points p ON p.asset_id = i.asset_id AND p.metric = i.metric AND p.ts >= metrics_from AND p.ts < until GROUP BY 1"""
+
+
+@query("a38_evidence_summaries", f"""SELECT anomaly_id, rnd(bm, 4) AS before_median, rnd(dm, 4) AS during_median, dx AS during_max, pb AS points_before, pd AS points_during, rnd(dx - bm, 4) AS change_abs, rnd((dx - bm) / nullif(abs(bm), 0), 4) AS change_rel FROM ({_SUM})""", "anomalies points")
+def _(t):
+    s = E.summary(E.incident_points(_incidents(t), t.points, "ts"), ["anomaly_id"], "ts")
+    return s.select("anomaly_id", r("before_median"), r("during_median"), "during_max", "points_before", "points_during", r("change_abs"), r("change_rel"))
+
+
+@query("w16_top_related", f"""SELECT metric, anomaly_id, rank FROM (SELECT i.metric, s.anomaly_id, row_number() OVER (PARTITION BY i.metric ORDER BY abs(coalesce((dx - bm) / nullif(abs(bm), 0), 0)) DESC, abs(coalesce(dx - bm, 0)) DESC, s.anomaly_id) AS rank FROM ({_SUM}) s JOIN ({_INC}) i USING (anomaly_id)) WHERE rank <= 3""", "anomalies points")
+def _(t):
+    inc = _incidents(t)
+    s = E.summary(E.incident_points(inc, t.points, "ts"), ["anomaly_id"], "ts").join(inc.select("anomaly_id", "metric"), "anomaly_id")
+    return E.top_related(s, ["metric"], "anomaly_id").select("metric", "anomaly_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _spans(t):
+    """Every event also as a span of its machine, so that logs and spans share a clock."""
+    e = t.logs
+    return e.select("asset_id", F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 5 seconds")).alias("end_ts"), F.lit(5000000000).alias("duration_ns"), F.lpad(F.col("event_id").cast("string"), 32, "0").alias("trace_id"),
+                    F.lit("01").alias("span_id"), F.lit("").alias("parent_id"), F.col("severity").alias("name"), F.when(F.col("severity_num") >= 17, "error").otherwise("ok").alias("status"), "service_name")
+
+
+def _logs(t):
+    return t.logs.withColumn("trace_id", F.lpad(F.col("event_id").cast("string"), 32, "0")).withColumn("span_id", F.lit("01"))
+
+
+@query("f22_evidence_records", f"""SELECT i.anomaly_id, count(l.ts) AS logs, count(l.ts) FILTER (WHERE severity_num >= 17) AS error_logs, count(l.ts) FILTER (WHERE severity_num >= 17) AS error_traces, count(l.ts) FILTER (WHERE severity_num >= 17) AS pairs, count(l.ts) AS spans,
+  any_value(s.dx) AS during_max, any_value(s.anomaly_id) IS NULL AS no_series FROM ({_INC}) i LEFT JOIN logs l ON l.asset_id = i.asset_id AND l.ts >= i.logs_from AND l.ts < i.until LEFT JOIN ({_SUM}) s ON s.anomaly_id = i.anomaly_id GROUP BY 1""", "anomalies points logs")
+def _(t):
+    d = E.evidence(_incidents(t), t.points, _logs(t), _spans(t), _now(), "ts")
+    size = lambda c, name: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("bigint").alias(name)
+    return d.select("anomaly_id", "logs", size("error_logs", "error_logs"), size("error_traces", "error_traces"), size("correlation", "pairs"), "spans",
+                    F.col("affected.during_max").alias("during_max"), F.array_contains("missing", "serie afectada").alias("no_series"))
+
+
+@query("f21_compact_packs")
+def _(t):
+    inc = _incidents(t)
+    rec = E.evidence(inc, t.points, _logs(t), _spans(t), _now(), "ts")
+    return E.compact(rec, E.incident_points(inc, t.points, "ts"), "ts").select("anomaly_id", F.length("pack").alias("characters"))
+
+
+@query("j16_related_signals", """WITH a AS (SELECT event_id AS ask_id, CASE WHEN k % 4 = 0 THEN 'u' WHEN k % 4 = 1 THEN 'w' WHEN k % 4 = 2 THEN 'm' ELSE 'n' END AS c FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
+  r(c, rel_signal) AS (VALUES ('u', 'system_cpu_utilization[state=system]'), ('u', 'system_cpu_load_average_1m'), ('u', 'system_processes_count[status=running]'), ('w', 'system_filesystem_usage[state=used, por mountpoint]'), ('w', 'system_disk_io[direction=write, por device]'),
+  ('w', 'system_disk_io[direction=read, por device]'), ('m', 'system_paging_usage[state=used, por device]'), ('m', 'system_paging_operations[direction=page_in, por type]')) SELECT ask_id, rel_signal FROM a JOIN r USING (c)""")
+def _(t):
+    k = F.col("k") % 4
+    metric = F.when(k < 2, "system_cpu_utilization").when(k == 2, "system_memory_utilization").otherwise("system_network_io")
+    dims = F.when(k == 3, F.create_map(F.lit("direction"), F.lit("receive"))).otherwise(F.create_map(F.lit("state"), F.when(k == 0, "user").when(k == 1, "wait").otherwise("used")))
+    asked = t.events.select(F.col("event_id").alias("ask_id"), metric.alias("metric"), dims.alias("dims"))
+    return signals.related(signals.catalogue(t.spark), asked).select("ask_id", "rel_signal")
+
+
+@query("f20_checked_citations", f"""SELECT anomaly_id, count_if(ok) AS valid, count_if(NOT ok) AS discarded FROM (SELECT anomaly_id, c, CASE c WHEN 0 THEN true WHEN 1 THEN extract('hour' FROM "start") < 12 ELSE false END AS ok FROM ({_INC}), (VALUES (0), (1), (2)) v(c)) GROUP BY 1""", "anomalies")
+def _(t):
+    inc = _incidents(t)
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    c = lambda m, a, z: F.struct(m.alias("metrica"), iso(a).alias("desde"), iso(z).alias("hasta"), F.lit("x").alias("observacion"))
+    late = F.when(F.hour("start") < 12, F.col("start")).otherwise(F.col("start") - F.expr("interval 3 hours"))
+    cites = F.to_json(F.array(c(F.col("metric"), F.col("metrics_from"), F.col("start")), c(F.col("metric"), late, F.col("start")), c(F.lit("ghost"), F.col("start"), F.col("start"))))
+    ans = inc.select("anomaly_id", F.lit("h").alias("hypothesis"), cites.alias("citations"))
+    return E.checked_citations(ans, inc, inc.select("anomaly_id", "metric")).select("anomaly_id", "valid", "discarded")
+
+
+@query("f19_redacted_conversations")
+def _(t):
+    c = t.read("conversations")
+    known = t.keys.select(F.col("key").alias("value"), F.when(F.col("kind") == "nativo", "ID").otherwise("ANFITRION").alias("kind"))
+    tail = F.concat(F.lit(" host-"), F.col("conv_id").cast("string"), F.lit(" 10.0."), (F.col("turn") % 9).cast("string"), F.lit(".7"))
+    out, _ = redact(c.withColumn("text", F.concat("text", tail)), "conv_id", "turn", "text", known)
+    return out.select("conv_id", "turn", F.length("text").alias("characters"), F.size(F.regexp_extract_all("text", F.lit(r"(\[IP_\d+\])"), F.lit(1))).alias("addresses"))
+
+
+@query("f19_redacted_documents")
+def _(t):
+    d = t.read("documents").select("doc_id", F.lit(0).cast("bigint").alias("part"), "text")
+    known = t.keys.select(F.col("key").alias("value"), F.when(F.col("kind") == "nativo", "ID").otherwise("ANFITRION").alias("kind"))
+    out, marks = redact(d, "doc_id", "part", "text", known)
+    n = marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("markers"))
+    return out.join(n, "doc_id", "left").select("doc_id", F.length("text").alias("characters"), F.coalesce("markers", F.lit(0)).alias("markers"))
