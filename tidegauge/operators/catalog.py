@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import fill_tag, slug
+from ..session import cut_lineage
 from ..schema import DEFAULT_SERVICE, NATIVE_KEYS, PROVIDER_PREFIX, TAG_ATTRIBUTE, UNRESOLVED
 
 ABSENCES_TO_RETIRE = 3  # fixed value
@@ -107,6 +108,8 @@ def reconcile(assets: DataFrame, keys: DataFrame, listing: DataFrame, provider:
     r = r.join(fresh, "ord", "left")
     leaders = r.where("ord = _first").select("name", F.coalesce("_known", "_new").alias("_lead_id"))
     r = r.join(leaders, "name").withColumn("asset_id", F.coalesce("_known", "_new", "_lead_id"))
+    # five results are read from these rows, and new ids must be given once
+    r = cut_lineage(r.select("ord", "name", "region", "env", "native_key", "asset_id", "_new", "_free", "_first", "_lead_id", "_name_owner"))
 
     owner = F.when(F.col("_free"), F.col("_lead_id")).otherwise(F.col("_name_owner"))
     conflicts = r.where(owner != F.col("asset_id")).select("name", "native_key", owner.alias("owner"), "asset_id")
@@ -198,16 +201,15 @@ def reassign(df: DataFrame, pending: DataFrame, fingerprint: list[str]) -> DataF
     copy are not doubled, so a repeated run changes nothing. The fingerprint
     columns, not only their hash, decide what is the same row.
     """
-    moved = df.join(pending, "host_name", "left")
-    hit = (F.col("asset_id") == UNRESOLVED) & F.col("new_asset").isNotNull()
-    moved = moved.withColumn("reassigned", F.coalesce("reassigned", F.lit(False)) | F.coalesce(hit, F.lit(False))).withColumn(
-        "asset_id", F.when(hit, F.col("new_asset")).otherwise(F.col("asset_id"))).withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    hit = F.coalesce((F.col("asset_id") == UNRESOLVED) & F.col("new_asset").isNotNull(), F.lit(False))
+    moved = df.join(pending, "host_name", "left").withColumn("_hit", hit).withColumn(
+        "reassigned", F.coalesce("reassigned", F.lit(False)) | F.col("_hit")).withColumn(
+        "asset_id", F.when(F.col("_hit"), F.col("new_asset")).otherwise(F.col("asset_id")))
     # copies left by an interrupted earlier run: an orphan row equal to an already reassigned one is dropped
     done = df.where("reassigned").select("host_name", "asset_id", *fingerprint).distinct().select(
         *[F.col(c).alias(f"_d_{c}") for c in ["host_name", "asset_id", *fingerprint]])
-    on = None
+    on = F.lit(True)
     for c in ["host_name", "asset_id", *fingerprint]:
-        e = moved[c].eqNullSafe(done[f"_d_{c}"])
-        on = e if on is None else on & e
+        on = on & F.col(c).eqNullSafe(F.col(f"_d_{c}"))
     again = moved.where("_hit").join(done, on, "left_anti")
     return moved.where("not _hit").select(*df.columns).unionByName(again.select(*df.columns))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "metrics", "observability", "detection", "evaluation", "inventory", "governance", "models", "evidence", "audits")
+MODULES = ("scalars", "ingest", "metrics", "observability", "detection", "evaluation", "inventory", "governance", "models", "evidence", "audits", "streams")
 
 
 def load():

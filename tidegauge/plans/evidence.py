@@ -15,8 +15,8 @@ def _now():
 
 
 def _incidents(t):
-    """Anomalies on the ten machines, one per machine, metric and day, so that windows stay a few."""
-    a = t.anomalies.where("severity <> 'baja'")
+    """Anomalies put on the ten machines of the points."""
+    a = t.anomalies
     asset = F.concat(F.lit("asset-"), (F.substring("asset_id", 2, 20).cast("bigint") % 10).cast("string"))
     m = F.element_at(F.array(*[F.lit(x) for x in ("view", "click", "signup", "error", "purchase")]), (F.substring("metric", 2, 1).cast("int") + 1))
     return E.windows(a.withColumn("asset_id", asset).withColumn("metric", m), _now())
@@ -24,7 +24,7 @@ def _incidents(t):
 
 _INC = f"""SELECT anomaly_id, 'asset-' || (CAST(substring(asset_id, 2) AS BIGINT) % 10) AS asset_id, CASE metric WHEN 'm0' THEN 'view' WHEN 'm1' THEN 'click' WHEN 'm2' THEN 'signup' WHEN 'm3' THEN 'error' ELSE 'purchase' END AS metric, "start",
   "start" - INTERVAL 60 MINUTE AS metrics_from, "start" - INTERVAL 10 MINUTE AS logs_from, CASE WHEN least(eff + INTERVAL 10 MINUTE, {AS_OF}) <= "start" THEN "start" + INTERVAL 1 MINUTE ELSE least(eff + INTERVAL 10 MINUTE, {AS_OF}) END AS until,
-  greatest(eff, "start" + INTERVAL 1 MINUTE) AS during_to FROM (SELECT *, least(coalesce("end", {AS_OF}), {AS_OF}, "start" + INTERVAL 3 HOUR) AS eff FROM anomalies WHERE severity <> 'baja')"""
+  greatest(eff, "start" + INTERVAL 1 MINUTE) AS during_to FROM (SELECT *, least(coalesce("end", {AS_OF}), {AS_OF}, "start" + INTERVAL 3 HOUR) AS eff FROM anomalies)"""
 
 
 @query("f16_evidence_windows", f"SELECT anomaly_id, strftime(metrics_from, '%Y-%m-%d %H:%M:%S') AS metrics_from, strftime(logs_from, '%Y-%m-%d %H:%M:%S') AS logs_from, strftime(until, '%Y-%m-%d %H:%M:%S') AS until, strftime(during_to, '%Y-%m-%d %H:%M:%S') AS during_to FROM ({_INC})", "anomalies")

@@ -194,11 +194,12 @@ def _(t):
     return forecast.holdout_scores(h, "s", "bucket", "value").select("s", "model", r("mae"), r("rmse"), r("coverage"), r("width"))
 
 
-@query("a54_spread_without_faults", """SELECT asset_id, rnd(stddev_samp(value), 4) AS std_all, rnd(stddev_samp(CASE WHEN f.h IS NULL THEN value END), 4) AS std_clean, count(f.h) AS fault_hours FROM hourly LEFT JOIN (SELECT DISTINCT asset_id AS a, date_trunc('hour', ts) AS h FROM points WHERE metric = 'purchase' AND value > 60) f ON f.a = asset_id AND f.h = bucket
-  WHERE metric = 'view' GROUP BY 1""", "hourly points")
+@query("a54_spread_without_faults", """SELECT h.asset_id, rnd(stddev_samp(value), 4) AS std_all, rnd(stddev_samp(CASE WHEN f.h IS NULL THEN value END), 4) AS std_clean, count(f.h) AS fault_hours FROM (SELECT asset_id, date_trunc('hour', ts) AS bucket, avg(value) AS value FROM points GROUP BY 1, 2) h
+  LEFT JOIN (SELECT DISTINCT asset_id AS a, date_trunc('hour', ts) AS h FROM points WHERE metric = 'purchase' AND value > 60) f ON f.a = h.asset_id AND f.h = h.bucket GROUP BY 1""", "points")
 def _(t):
     f = t.points.where("metric = 'purchase' and value > 60").select("asset_id", "ts")
-    d = forecast.spread_without_faults(t.hourly.where("metric = 'view'"), "asset_id", "bucket", "value", f, "ts")
+    hours = t.points.groupBy("asset_id", F.date_trunc("hour", "ts").alias("bucket")).agg(F.avg("value").alias("value"))
+    d = forecast.spread_without_faults(hours, "asset_id", "bucket", "value", f, "ts")
     return d.select("asset_id", r("std_all"), r("std_clean"), "fault_hours")
 
 
@@ -221,7 +222,7 @@ def _(t):
 
 def _cells(t):
     e = t.read("embeddings")
-    cols = [f"e{i}" for i in range(6)]
+    cols = [f"e{i}" for i in range(e.select(F.max(F.size("embedding"))).first()[0])]
     return e.select("vec_id", F.col("label").cast("double").alias("label"), F.timestamp_seconds(F.col("vec_id") * 3600).alias("ts"),
                     *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols
 

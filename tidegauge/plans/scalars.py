@@ -18,13 +18,13 @@ def canon_sql(x: str) -> str:
 
 
 _NAMES = """SELECT DISTINCT s FROM (SELECT url AS s FROM pages UNION ALL SELECT p_name FROM part UNION ALL SELECT o_orderpriority FROM orders
-  UNION ALL SELECT event_type FROM events UNION ALL SELECT html FROM pages UNION ALL SELECT substring(text, 1, 6) FROM documents)"""
+  UNION ALL SELECT event_type FROM events UNION ALL SELECT html FROM pages UNION ALL SELECT text FROM documents)"""
 
 
 def _names(t):
     one = lambda n, c: t.read(n).select(F.col(c).alias("s") if isinstance(c, str) else c.alias("s"))
     u = one("pages", "url")
-    for n, c in (("part", "p_name"), ("orders", "o_orderpriority"), ("events", "event_type"), ("pages", "html"), ("documents", F.substring("text", 1, 6))):
+    for n, c in (("part", "p_name"), ("orders", "o_orderpriority"), ("events", "event_type"), ("pages", "html"), ("documents", "text")):
         u = u.unionByName(one(n, c))
     return u.distinct()
 
@@ -37,7 +37,7 @@ def _(t):
 @query("p02_canonical_dimensions", f"""SELECT name, count(*) AS n FROM (SELECT CASE WHEN c IN ({_TAGS}) THEN c || '_dim' ELSE c END AS name
   FROM (SELECT {canon_sql('s')} AS c FROM ({_NAMES} UNION ALL SELECT 'value' UNION ALL SELECT 'Host.Name'))) GROUP BY 1""")
 def _(t):
-    extra = t.read("region").where("r_regionkey = 0").select(F.explode(F.array(F.lit("value"), F.lit("Host.Name"))).alias("s"))
+    extra = t.read("region").select(F.explode(F.array(F.lit("value"), F.lit("Host.Name"))).alias("s")).distinct()
     return _names(t).unionByName(extra).groupBy(names.canonical_dimension("s").alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 

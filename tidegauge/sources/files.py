@@ -103,28 +103,33 @@ def invoice_charges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 RESOURCE = ["provider", "native_id", "name", "region", "env"]
 
 
-def droplets(spark: SparkSession, path: str, env: str | None = "lab", tag: str | None = None) -> DataFrame:
-    """A dump of the droplet listing."""
-    s = "droplets array<struct<id:bigint,name:string,status:string,size_slug:string,region:struct<slug:string>,tags:array<string>>>"
-    d = spark.read.schema(s).json(path, multiLine=True).select(F.explode("droplets").alias("d"))
+def pages(spark: SparkSession, path: str) -> DataFrame:
+    """Listing dumps, one JSON document per file, as ``value``."""
+    return spark.read.text(path, wholetext=True)
+
+
+def droplets(raw: DataFrame, text: str = "value", env: str | None = "lab", tag: str | None = None) -> DataFrame:
+    """Pages of the droplet listing."""
+    s = "struct<droplets:array<struct<id:bigint,name:string,status:string,size_slug:string,region:struct<slug:string>,tags:array<string>>>>"
+    d = raw.select(F.explode(F.from_json(text, s)["droplets"]).alias("d"))
     if tag:
         d = d.where(F.array_contains("d.tags", tag))
     return d.select(F.lit("digitalocean").alias("provider"), F.concat(F.lit("droplet/"), F.col("d.id").cast("string")).alias("native_id"),
                     F.col("d.name").alias("name"), F.col("d.region.slug").alias("region"), F.lit(env).alias("env"))
 
 
-def proxmox_vms(spark: SparkSession, path: str, region: str = "local", env: str | None = "lab", tag: str | None = None) -> DataFrame:
-    s = "data array<struct<id:string,name:string,status:string,node:string,vmid:bigint,template:int,tags:string>>"
-    d = spark.read.schema(s).json(path, multiLine=True).select(F.explode("data").alias("d")).where("coalesce(d.template, 0) = 0")
+def proxmox_vms(raw: DataFrame, text: str = "value", region: str = "local", env: str | None = "lab", tag: str | None = None) -> DataFrame:
+    s = "struct<data:array<struct<id:string,name:string,status:string,node:string,vmid:bigint,template:int,tags:string>>>"
+    d = raw.select(F.explode(F.from_json(text, s)["data"]).alias("d")).where("coalesce(d.template, 0) = 0")
     if tag:
         d = d.where(F.array_contains(F.split(F.coalesce("d.tags", F.lit("")), "[;,]"), tag))
     return d.select(F.lit("proxmox").alias("provider"), F.col("d.id").alias("native_id"),
                     F.coalesce(F.nullif("d.name", F.lit("")), F.col("d.id")).alias("name"), F.lit(region).alias("region"), F.lit(env).alias("env"))
 
 
-def ec2_instances(spark: SparkSession, path: str, region: str, env: str | None = "lab", tag: tuple[str, str] | None = None) -> DataFrame:
-    s = "Reservations array<struct<Instances:array<struct<InstanceId:string,InstanceType:string,State:struct<Name:string>,Tags:array<struct<Key:string,Value:string>>>>>>"
-    d = spark.read.schema(s).json(path, multiLine=True).select(F.explode("Reservations").alias("r")).select(F.explode("r.Instances").alias("d"))
+def ec2_instances(raw: DataFrame, text: str = "value", region: str = "us-east-1", env: str | None = "lab", tag: tuple[str, str] | None = None) -> DataFrame:
+    s = "struct<Reservations:array<struct<Instances:array<struct<InstanceId:string,InstanceType:string,State:struct<Name:string>,Tags:array<struct<Key:string,Value:string>>>>>>>"
+    d = raw.select(F.explode(F.from_json(text, s)["Reservations"]).alias("r")).select(F.explode("r.Instances").alias("d"))
     d = d.where(F.col("d.State.Name").isin(*ALIVE))
     if tag:
         d = d.where(F.exists("d.Tags", lambda t: (t["Key"] == tag[0]) & (t["Value"] == tag[1])))
@@ -133,9 +138,9 @@ def ec2_instances(spark: SparkSession, path: str, region: str, env: str | None =
                     F.coalesce(name, "d.InstanceId").alias("name"), F.lit(region).alias("region"), F.lit(env).alias("env"))
 
 
-def azure_vms(spark: SparkSession, path: str, env: str | None = "lab", tag: tuple[str, str] | None = None) -> DataFrame:
-    s = "value array<struct<id:string,name:string,location:string,tags:map<string,string>,properties:struct<vmId:string,hardwareProfile:struct<vmSize:string>>>>"
-    d = spark.read.schema(s).json(path, multiLine=True).select(F.explode("value").alias("d"))
+def azure_vms(raw: DataFrame, text: str = "value", env: str | None = "lab", tag: tuple[str, str] | None = None) -> DataFrame:
+    s = "struct<value:array<struct<id:string,name:string,location:string,tags:map<string,string>,properties:struct<vmId:string,hardwareProfile:struct<vmSize:string>>>>>"
+    d = raw.select(F.explode(F.from_json(text, s)["value"]).alias("d"))
     if tag:
         d = d.where(F.col("d.tags")[tag[0]] == tag[1])
     return d.select(F.lit("azure").alias("provider"), F.concat(F.lit("vm/"), F.coalesce("d.properties.vmId", "d.id")).alias("native_id"),

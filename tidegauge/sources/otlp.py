@@ -51,7 +51,7 @@ def _plain(j: Column, variant: str) -> Column:
 
 def _quoted(s: Column) -> Column:
     j = F.to_json(F.array(s))
-    return F.substr(j, F.lit(2), F.length(j) - 2)
+    return F.when(s.isNotNull(), F.substr(j, F.lit(2), F.length(j) - 2))
 
 
 def _json_scalar(v: Column) -> Column:
@@ -106,7 +106,7 @@ def metric_rows(batches: DataFrame, arrival: Column) -> DataFrame:
     vals = F.when(F.col("g") == 0, F.array(plain)).when(has_sum, F.array(count, total)).otherwise(F.array(count))
     flagged = F.coalesce(F.col("p.flags").bitwiseAND(1) == 1, F.lit(False))
     wide = F.expr("try_cast(p.timeUnixNano as decimal(38,0))")
-    bad_time = (wide < 0) | (wide >= F.lit(2 ** 63).cast("decimal(38,0)"))
+    bad_time = (wide < 0) | (wide >= F.lit(str(2 ** 63)).cast("decimal(38,0)"))
     void = flagged | (F.col("g") == -1) | F.exists(vals, lambda v: ~finite(v["value"]))
     # an integer beyond 64 bit fails try_cast to bigint and is an error, not an arrival time
     route = F.when(flagged | (F.col("g") == -1) | ((F.col("g") == 0) & vals[0]["value"].isNull()), "no_value").when(
