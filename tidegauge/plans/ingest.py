@@ -34,7 +34,7 @@ def _metrics(t):
     hist = F.when(e == "error", F.struct(dp(count=F.floor(v).cast("string"), sum=F.when(k % 3 != 0, v), flags=flags).alias("dataPoints")))
     m = F.struct(F.concat(F.lit("App."), F.col("event_type")).alias("name"), gauge.alias("gauge"), total.alias("sum"), hist.alias("histogram"))
     raw = _batch(t, "resourceMetrics", "scopeMetrics", "metrics", m)
-    return otlp.metric_rows(raw.select(F.from_json("value", f"struct<{otlp.METRICS.replace(' ', ':', 1)}>").alias("b")).select("b.*"), _arrival())
+    return otlp.metric_rows(otlp.parsed(raw, "metrics"), _arrival())
 
 
 _ROWS = """SELECT event_type, user_id, ts, k, CASE event_type WHEN 'signup' THEN floor(value) WHEN 'error' THEN floor(value) ELSE value END AS value, value AS v0, CASE WHEN event_type = 'purchase' OR k % 10 = 0 THEN 'no_value' ELSE 'valid' END AS route
@@ -66,7 +66,7 @@ def _(t):
     rec = F.struct(F.when(i % 2 == 0, ns).alias("timeUnixNano"), ns.alias("observedTimeUnixNano"), F.upper(e).alias("severityText"), (F.col("user_id") % 25).cast("int").alias("severityNumber"),
                    body.alias("body"), F.lpad(i.cast("string"), 32, "0").alias("traceId"))
     raw = _batch(t, "resourceLogs", "scopeLogs", "logRecords", rec)
-    rows = otlp.log_rows(raw.select(F.from_json("value", f"struct<{otlp.LOGS.replace(' ', ':', 1)}>").alias("b")).select("b.*"), _arrival())
+    rows = otlp.log_rows(otlp.parsed(raw, "logs"), _arrival())
     return rows.select(F.col("trace_id").cast("bigint").alias("event_id"), text("ts"), "severity", "severity_num", "body", "trace_id")
 
 
@@ -79,7 +79,7 @@ def _(t):
     rec = F.struct(F.lpad(i.cast("string"), 32, "0").alias("traceId"), F.lit("AB").alias("spanId"), e.alias("name"), (F.col("user_id") % 6).cast("int").alias("kind"), a.cast("string").alias("startTimeUnixNano"), z.alias("endTimeUnixNano"),
                    F.struct(F.when(e == "error", 2).when(e == "view", 1).otherwise(0).alias("code")).alias("status"))
     raw = _batch(t, "resourceSpans", "scopeSpans", "spans", rec)
-    rows = otlp.span_rows(raw.select(F.from_json("value", f"struct<{otlp.SPANS.replace(' ', ':', 1)}>").alias("b")).select("b.*"), _arrival())
+    rows = otlp.span_rows(otlp.parsed(raw, "spans"), _arrival())
     return rows.select(F.col("trace_id").cast("bigint").alias("event_id"), "kind", "status", "duration_ns")
 
 
@@ -188,5 +188,5 @@ def _(t):
 @query("s08_reject_lines", "SELECT count(*) AS broken FROM documents")
 def _(t):
     """Document texts are no OTLP batches: every one of them is a reject."""
-    d = t.read("documents").select(F.from_json("text", f"struct<{otlp.METRICS.replace(' ', ':', 1)},_corrupt_record:string>", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("b"))
-    return d.agg(F.count_if(F.col("b._corrupt_record").isNotNull() | F.col("b").isNull()).alias("broken"))
+    d = otlp.parsed(t.read("documents"), "metrics", "text")
+    return d.agg(F.count("_corrupt_record").alias("broken"))

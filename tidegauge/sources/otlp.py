@@ -32,10 +32,18 @@ SPANS = f"resourceSpans array<struct<{_RESOURCE},scopeSpans:array<struct<spans:a
 
 
 def read(spark: SparkSession, path: str, signal: str, stream: bool = False, **options) -> DataFrame:
-    """One batch per line; lines that do not parse keep their text in ``_corrupt_record``."""
-    schema = {"metrics": METRICS, "logs": LOGS, "spans": SPANS}[signal] + ", _corrupt_record string"
-    r = (spark.readStream if stream else spark.read).schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", **options)
-    return r.json(path)
+    """One batch per line of text files, parsed by :func:`parsed`."""
+    r = (spark.readStream if stream else spark.read).options(**options)
+    return parsed(r.text(path), signal)
+
+
+def parsed(lines: DataFrame, signal: str, text: str = "value") -> DataFrame:
+    """Batches with the fixed schema; a line that does not parse keeps its text in ``_corrupt_record``."""
+    name, rest = {"metrics": METRICS, "logs": LOGS, "spans": SPANS}[signal].split(" ", 1)
+    schema = f"struct<{name}:{rest},_corrupt_record:string>"
+    b = lines.withColumn("_b", F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("_b").isNull() | F.col(f"_b.{name}").isNull() | F.col("_b._corrupt_record").isNotNull()
+    return b.select(F.col(f"_b.{name}").alias(name), F.when(bad, F.col(text)).alias("_corrupt_record"))
 
 
 def _plain(j: Column, variant: str) -> Column:
