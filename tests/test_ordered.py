@@ -54,15 +54,17 @@ def test_exact_percentiles_of_skewed_groups(spark):
     rows = [("big", rnd.choice([0.0, rnd.expovariate(1), rnd.gauss(0, 1e6), 7.0])) for _ in range(30000)] + [("one", 5.0), ("two", 1.0), ("two", 2.0), ("none", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     for p in (0.0, 0.5, 0.95, 0.995, 1.0):
-        got = {r["g"]: r["x"] for r in quantiles.exact_percentile(df, ["g"], "v", p, "x").collect()}
+        got = {r["g"]: r["x"] for r in quantiles.exact_percentile(df, ["g"], "v", p, "x", rounds=2).collect()}
         assert set(got) == {"big", "one", "two"}
+        built_in = {r["g"]: r["x"] for r in quantiles.exact_percentile(df, ["g"], "v", p, "x").collect()}
+        assert set(built_in) == set(got) and all(abs(built_in[g] - got[g]) <= 1e-9 * max(1, abs(got[g])) for g in got)
         for g in got:
             xs = sorted(v for k, v in rows if k == g and v is not None)
             k = (len(xs) - 1) * p
             i = int(k)
             want = xs[i] + (xs[min(i + 1, len(xs) - 1)] - xs[i]) * (k - i)
             assert abs(got[g] - want) < 1e-9 * max(1, abs(want)), (g, p)
-    assert abs(quantiles.exact_percentile(df.where("g = 'two'"), [], "v", 0.5, "x").first()["x"] - 1.5) < 1e-12
+    assert abs(quantiles.exact_percentile(df.where("g = 'two'"), [], "v", 0.5, "x", rounds=1).first()["x"] - 1.5) < 1e-12
 
 
 def brute_events(values, window=60, run=3, floor=0.0):

@@ -6,20 +6,32 @@ from pyspark.sql import functions as F
 from ..schema import RESERVED_WORDS, TAGS, UNKNOWN, UNNAMED
 
 
+def bound(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once.
+
+    A column that is used several times inside nested conditions or lambdas is
+    otherwise evaluated at every place it stands.
+    """
+    return F.try_element_at(F.transform(F.array(value), fn), F.lit(1))
+
+
 def canonical_name(col) -> Column:
-    """Metric name to table name. The cut to 63 comes before the reserved-word test."""
-    x = F.lower(F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"^\s+|\s+$", ""))
-    x = F.regexp_replace(F.regexp_replace(x, "[^a-z0-9_]", "_"), "_+", "_")
-    x = F.regexp_replace(x, "^_|_$", "")
-    cut = F.substring(F.when(x.rlike("^[a-z]"), x).otherwise(F.concat(F.lit("m_"), x)), 1, 63)
-    named = F.when(cut.isin(*RESERVED_WORDS), F.concat(cut, F.lit("_x"))).otherwise(cut)
-    return F.when(x == "", F.lit(UNNAMED)).otherwise(named)
+    """Metric name to table name. The cut to 63 comes before the reserved-word test.
+
+    Replacing bad characters, collapsing and stripping underscores (and outer
+    white space) come to one replacement of runs and one trim.
+    """
+    raw = F.lower(F.col(col) if isinstance(col, str) else col)
+
+    def named(x):
+        return bound(F.substring(F.when(F.substring(x, 1, 1) < "a", F.concat(F.lit("m_"), x)).otherwise(x), 1, 63),
+                     lambda c: F.when(x == "", F.lit(UNNAMED)).when(c.isin(*RESERVED_WORDS), F.concat(c, F.lit("_x"))).otherwise(c))
+    return bound(F.btrim(F.regexp_replace(raw, "[^a-z0-9]+", "_"), F.lit("_")), named)
 
 
 def canonical_dimension(col) -> Column:
     """As :func:`canonical_name`; a name that clashes with a fixed column gets ``_dim``."""
-    x = canonical_name(col)
-    return F.when(x.isin("time", "value", *TAGS), F.concat(x, F.lit("_dim"))).otherwise(x)
+    return bound(canonical_name(col), lambda x: F.when(x.isin("time", "value", *TAGS), F.concat(x, F.lit("_dim"))).otherwise(x))
 
 
 def is_identifier(col) -> Column:
@@ -29,28 +41,24 @@ def is_identifier(col) -> Column:
 def clean_value(v: Column) -> Column:
     """Dimension value: control characters to space, 1024 characters, no trailing backslash, trimmed."""
     x = F.substring(F.regexp_replace(v, r"[\x00-\x1f\x7f]", " "), 1, 1024)
-    x = F.trim(F.regexp_replace(x, r"\\+$", ""))
-    return F.when(x == "", F.lit(UNKNOWN)).otherwise(x)
+    return bound(F.trim(F.regexp_replace(x, r"\\+$", "")), lambda y: F.when(y == "", F.lit(UNKNOWN)).otherwise(y))
 
 
-def clean_dimensions(m: Column) -> Column:
-    """Drop null and empty dimensions, canonicalise the names, clean the values.
+def last_of_each(pairs: Column) -> Column:
+    """Entries to a map; of a repeated key the last one stays (``map_from_entries`` alone fails on repeats)."""
+    return bound(pairs, lambda ps: F.map_from_entries(F.filter(ps, lambda e, i: ~F.exists(
+        F.slice(ps, i + 2, F.size(ps)), lambda o: o["key"] == e["key"]))))
 
-    Two names that become the same keep the later one, so the entries are
-    merged one by one instead of through ``transform_keys`` (which fails on
-    duplicates).
-    """
+
+def clean_dimensions(m: Column) -> Column:
+    """Drop null and empty dimensions, canonicalise the names, clean the values; of equal names the last one stays."""
     kept = F.map_entries(F.map_filter(m, lambda k, v: v.isNotNull() & (v != "")))
-    pairs = F.transform(kept, lambda e: F.struct(canonical_dimension(e["key"]).alias("key"),
-                                                 clean_value(e["value"]).alias("value")))
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)),
-                                                  lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return last_of_each(F.transform(kept, lambda e: F.struct(canonical_dimension(e["key"]).alias("key"), clean_value(e["value"]).alias("value"))))
 
 
 def dims_text(m: Column) -> Column:
     """Order-free text of a map: what groups and joins use, as maps cannot be keys."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(m))))
 
 
 def series_key(metric="metric", dims="dims") -> Column:
@@ -73,7 +81,7 @@ def key_kind(col: Column) -> Column:
 
 def signal_key(metric: Column, filters: Column, group: Column) -> Column:
     """``metric[k=v, por d]`` with the filters in key order."""
-    parts = F.transform(F.array_sort(F.map_entries(filters)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    parts = F.transform(F.sort_array(F.map_entries(filters)), lambda e: F.concat_ws("=", e["key"], e["value"]))
     parts = F.concat(parts, F.when(group.isNull(), F.array().cast("array<string>"))
                      .otherwise(F.array(F.concat(F.lit("por "), group))))
     return F.when(F.size(parts) == 0, metric).otherwise(

@@ -100,7 +100,7 @@ def redact(texts: DataFrame, incident: str, seq: str, text: str, known: DataFram
     numbered = with_position(first, [incident, "kind"], "_q", 0, ["_s", "norm"], bucket=F.floor(F.col("_q") / 256))
     marks = numbered.select(incident, "kind", "norm", F.concat(F.lit("["), "kind", F.lit("_"), F.col("pos").cast("string"), F.lit("]")).alias("marker"))
     placed = found.join(marks, [incident, "kind", "norm"]).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("s", "e", "marker"))).alias("_m"))
+        F.sort_array(F.collect_list(F.struct("s", "e", "marker"))).alias("_m"))
     j = texts.join(placed, keys, "left")
     m = F.col("_m")
     start_of = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(m, i)["e"])

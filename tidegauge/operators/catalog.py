@@ -41,7 +41,7 @@ def resolve(df: DataFrame, keys: DataFrame, attrs: str = "attrs", default_servic
 
 def with_keys(assets: DataFrame, keys: DataFrame) -> DataFrame:
     """Sorted key array per asset, empty when there are none."""
-    k = keys.groupBy("asset_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    k = keys.groupBy("asset_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     return assets.join(k, "asset_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
 
 

@@ -33,14 +33,9 @@ def _who() -> Column:
     return F.coalesce("asset_id", "node")
 
 
-def _texts(df: DataFrame, keys: list[str], what: dict[str, Column]) -> DataFrame:
-    """Sorted distinct text lists per group. Distinct runs first, so a hot group is small when it is listed."""
-    out = None
-    for name, c in what.items():
-        one = df.select(*keys, c.alias("_x")).distinct().groupBy(*keys).agg(
-            F.array_join(F.array_sort(F.collect_list("_x")), ", ").alias(name))
-        out = one if out is None else out.join(one, keys)
-    return out
+def _list(c: Column) -> Column:
+    """Sorted distinct texts of a group as one text; the set is merged on the map side."""
+    return F.array_join(F.sort_array(F.collect_set(c)), ", ")
 
 
 def exposed_ports(snapshots: DataFrame, expected: DataFrame, sensitive=SENSITIVE_PORTS) -> DataFrame:
@@ -68,24 +63,22 @@ def agent_versions(snapshots: DataFrame, wanted: str = "") -> DataFrame:
     # the reference version is one row
     odd = v.join(F.broadcast(ref), F.lit(True)).where(F.coalesce("_v", F.lit("")) != F.col("common")).withColumn(
         "_ver", F.coalesce("_v", F.lit("desconocida")))
-    t = _texts(odd, ["_ver", "common"], {"assets": _who(), "envs": F.col("env"), "nodes": F.col("node")})
-    when = odd.groupBy("_ver", "common").agg(F.max("taken_at").alias("detected"))
+    g = odd.groupBy("_ver", "common").agg(_list(_who()).alias("assets"), _list(F.col("env")).alias("envs"), _list(F.col("node")).alias("nodes"),
+                                          F.max("taken_at").alias("detected"))
     detail = F.concat("nodes", F.lit(" corre el agente "), "_ver", F.lit(" y el resto "), "common",
                       F.lit(". La comparacion entre entornos solo vale si todos miden con la misma version."))
-    return t.join(when, ["_ver", "common"]).select(F.lit("version-agente-distinta").alias("rule"), F.lit("media").alias("severity"),
-                                                   "assets", "envs", detail.alias("detail"), "detected")
+    return g.select(F.lit("version-agente-distinta").alias("rule"), F.lit("media").alias("severity"), "assets", "envs", detail.alias("detail"), "detected")
 
 
 def sampling_intervals(snapshots: DataFrame) -> DataFrame:
     """One finding with every node that does not sample at the common interval."""
     ref = most_common(snapshots, "interval_s", "seq").where("kinds > 1").select("common")
     odd = snapshots.join(F.broadcast(ref), F.lit(True)).where("interval_s <> common")
-    t = _texts(odd, ["common"], {"assets": _who(), "envs": F.col("env")})
-    said = odd.groupBy("common").agg(F.max("taken_at").alias("detected"), F.transform(F.array_sort(F.collect_list(F.struct(
-        "seq", F.concat("node", F.lit(" cada "), F.col("interval_s").cast("string"), F.lit(" s")).alias("t")))), lambda x: x["t"]).alias("_l"))
+    said = F.concat("node", F.lit(" cada "), F.col("interval_s").cast("string"), F.lit(" s"))
+    g = odd.groupBy("common").agg(_list(_who()).alias("assets"), _list(F.col("env")).alias("envs"), F.max("taken_at").alias("detected"),
+                                  F.transform(F.sort_array(F.collect_list(F.struct("seq", said.alias("t")))), lambda x: x["t"]).alias("_l"))
     detail = F.concat(F.lit("Muestrean distinto del comun ("), F.col("common").cast("string"), F.lit(" s): "), F.array_join("_l", "; "), F.lit("."))
-    return t.join(said, "common").select(F.lit("intervalo-muestreo-distinto").alias("rule"), F.lit("media").alias("severity"),
-                                         "assets", "envs", detail.alias("detail"), "detected")
+    return g.select(F.lit("intervalo-muestreo-distinto").alias("rule"), F.lit("media").alias("severity"), "assets", "envs", detail.alias("detail"), "detected")
 
 
 def root_containers(snapshots: DataFrame, allowed=ROOT_ALLOWED) -> DataFrame:
@@ -103,17 +96,16 @@ def image_versions(snapshots: DataFrame) -> DataFrame:
     """The same image in at least two versions."""
     c = snapshots.select("node", "env", "taken_at", _who().alias("asset"), F.explode("containers").alias("c")).select(
         "node", "env", "taken_at", "asset", F.col("c.imagen").alias("image"), F.coalesce("c.version", F.lit("")).alias("version"))
-    many = c.select("image", "version").distinct().groupBy("image").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    c = c.join(many, "image")
-    nodes = c.select("image", "version", "node").distinct().groupBy("image", "version").agg(
-        F.array_join(F.array_sort(F.collect_list("node")), ", ").alias("ns"))
-    said = nodes.groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version", "ns"))), lambda x: F.concat(
-        F.when(x["version"] == "", "?").otherwise(x["version"]), F.lit(" en "), x["ns"])), "; ").alias("s"))
-    t = _texts(c, ["image"], {"assets": F.col("asset"), "envs": F.col("env")})
-    g = c.groupBy("image").agg(F.max("taken_at").alias("detected"), F.first("n").alias("n"))
-    detail = F.concat("image", F.lit(" corre en "), F.col("n").cast("string"), F.lit(" versiones: "), "s", F.lit("."))
-    return g.join(t, "image").join(said, "image").select(F.lit("imagen-version-distinta").alias("rule"), F.lit("baja").alias("severity"),
-                                                         "assets", "envs", detail.alias("detail"), "detected")
+    by_version = c.groupBy("image", "version").agg(F.collect_set("node").alias("ns"), F.collect_set("asset").alias("as"), F.collect_set("env").alias("es"),
+                                                   F.max("taken_at").alias("at"))
+    said = F.concat(F.when(F.col("version") == "", "?").otherwise(F.col("version")), F.lit(" en "), F.array_join(F.sort_array("ns"), ", "))
+    g = by_version.groupBy("image").agg(
+        F.count(F.lit(1)).alias("n"), F.max("at").alias("detected"), F.sort_array(F.collect_list(F.struct("version", said.alias("t")))).alias("vs"),
+        F.collect_list("as").alias("as"), F.collect_list("es").alias("es")).where("n >= 2")
+    flat = lambda x: F.array_join(F.sort_array(F.array_distinct(F.flatten(x))), ", ")
+    detail = F.concat("image", F.lit(" corre en "), F.col("n").cast("string"), F.lit(" versiones: "), F.array_join(F.transform("vs", lambda v: v["t"]), "; "), F.lit("."))
+    return g.select(F.lit("imagen-version-distinta").alias("rule"), F.lit("baja").alias("severity"), flat("as").alias("assets"), flat("es").alias("envs"),
+                    detail.alias("detail"), "detected")
 
 
 def expected_ports(spark: SparkSession, rows=None) -> DataFrame:

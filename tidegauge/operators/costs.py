@@ -29,7 +29,7 @@ def attribute(lines: DataFrame, keys: DataFrame, line_id: str, texts: list[str])
     words = lines.select(line_id, F.explode(F.array_distinct(F.flatten(F.array(*[
         F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(f"({WORD})"), F.lit(1)) for t in texts])))).alias("word"))
     hits = words.join(names, "word").select(line_id, "asset_id").distinct().groupBy(line_id).agg(
-        F.count(F.lit(1)).alias("_n"), F.array_join(F.array_sort(F.collect_list("asset_id")), ", ").alias("_all"))
+        F.count(F.lit(1)).alias("_n"), F.array_join(F.sort_array(F.collect_list("asset_id")), ", ").alias("_all"))
     j = lines.join(hits, line_id, "left")
     one = F.coalesce(F.col("_n"), F.lit(0)) == 1
     return j.withColumn("asset_id", F.when(one, F.col("_all"))).withColumn("reason", F.when(one, "").when(
@@ -45,10 +45,10 @@ def in_period(charges: DataFrame, start: Column, end: Column) -> DataFrame:
 def report(charges: DataFrame) -> DataFrame:
     """Per (asset, provider), decimal sums rounded half to even, with the sources."""
     c = charges.where("asset_id is not null")
-    src = c.where("source <> ''").select("asset_id", "provider", "source").distinct().groupBy("asset_id", "provider").agg(
-        F.array_join(F.array_sort(F.collect_list("source")), ", ").alias("sources"))
-    cost = c.groupBy("asset_id", "provider").agg(money(F.sum("amount")).alias("cost"))
-    return cost.join(src, ["asset_id", "provider"], "left").orderBy(F.desc("cost"), "asset_id")
+    g = c.groupBy("asset_id", "provider").agg(
+        money(F.sum("amount")).alias("cost"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("source") != "", F.col("source")))), ", ").alias("sources"))
+    return g.orderBy(F.desc("cost"), "asset_id")
 
 
 def unassigned(charges: DataFrame) -> DataFrame:

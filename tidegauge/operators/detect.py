@@ -19,7 +19,7 @@ EXCESS_MEDIUM, EXCESS_HIGH = 10, 100
 
 def middle(a: Column) -> Column:
     """Median of an array (null when empty)."""
-    s, n = F.array_sort(a), F.size(a)
+    s, n = F.sort_array(a), F.size(a)
     lo = F.try_element_at(s, F.floor((n + 1) / 2).cast("int"))
     hi = F.try_element_at(s, F.floor(n / 2).cast("int") + 1)
     return F.when(n > 0, (lo + hi) / 2)

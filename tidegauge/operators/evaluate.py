@@ -72,7 +72,7 @@ def per_injection(injections: DataFrame, verdicts: DataFrame, start: Column, end
     """Detected, number and ids of its anomalies, minutes to the first one."""
     hits = verdicts.where("verdict = 'correcta'").groupBy("uid").agg(
         F.count(F.lit(1)).alias("anomalies"), F.min("start").alias("first"),
-        F.array_join(F.array_sort(F.collect_list("anomaly_id")), ",").alias("anomaly_ids"))
+        F.array_join(F.sort_array(F.collect_list("anomaly_id")), ",").alias("anomaly_ids"))
     inj = evaluated(injections, start, end, with_latency).where("counted")
     delay = (F.unix_micros("first") - F.unix_micros("start")) / 60000000
     return inj.join(hits, "uid", "left").select(
@@ -122,7 +122,7 @@ def fingerprint(ids: DataFrame, col: str, keys: list[str]) -> DataFrame:
     The digest is of one text, so the ids of a group do meet in one place: it
     is meant for the injections of a campaign (tens of ids per group).
     """
-    return ids.groupBy(*keys).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(col)), "\n"), 256), 1, 12)
+    return ids.groupBy(*keys).agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(col)), "\n"), 256), 1, 12)
                                   .alias("fingerprint"), F.count(F.lit(1)).alias("ids"))
 
 
@@ -178,7 +178,7 @@ def merge_injections(state: DataFrame, rows: DataFrame) -> DataFrame:
     o, n = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
     first, gone = F.col("o").isNull(), F.col("n").isNull()
     merged_params = F.map_concat(F.map_filter(o("params"), lambda k, v: ~F.array_contains(F.map_keys(n("params")), k)), n("params"))
-    same_params = F.array_sort(F.map_entries(merged_params)) == F.array_sort(F.map_entries(o("params")))
+    same_params = F.sort_array(F.map_entries(merged_params)) == F.sort_array(F.map_entries(o("params")))
     new_state = F.when((o("state") != "en_curso") & (n("state") == "en_curso"), o("state")).otherwise(n("state"))
     merged = {"asset_id": F.coalesce(n("asset_id"), o("asset_id")), "end": F.coalesce(n("end"), o("end")),
               "params": merged_params, "state": new_state}

@@ -112,7 +112,7 @@ def evidence(incidents: DataFrame, points: DataFrame, logs: DataFrame, spans: Da
 def compact(records: DataFrame, points: DataFrame, ts: str = "bucket") -> DataFrame:
     """a small JSON text per incident: caps on points, logs, traces, pairs and text, 4 significant digits."""
     cut = lambda c: F.substring(c, 1, PACK_TEXT)
-    pts = points.groupBy("anomaly_id").agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), significant(F.col("value")).alias("v")))).alias("puntos"))
+    pts = points.groupBy("anomaly_id").agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), significant(F.col("value")).alias("v")))).alias("puntos"))
     j = records.join(pts, "anomaly_id", "left")
     pack = F.struct(
         F.col("anomaly_id").alias("incidente"), F.col("metric").alias("metrica"), F.slice("puntos", 1, PACK_POINTS).alias("puntos"),

@@ -77,7 +77,7 @@ def sources(ledger: DataFrame, vol: DataFrame, as_of: Column) -> DataFrame:
     sig = F.struct("last_seen", state_of(F.col("last_seen"), as_of).alias("state"), "received", "errors", "received_5min", "errors_1h")
     beat = F.struct((F.col("signal") == HEARTBEAT).cast("int").alias("b"), F.col("last_seen"))
     g = j.groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", sig)))).alias("signals"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("signal", sig)))).alias("signals"),
         F.max_by("last_seen", beat).alias("last_seen"), F.max("provider").alias("provider"),
         F.sum("received_5min").alias("received_5min"), F.sum("errors_1h").alias("errors_1h"))
     return g.select(*keys, "provider", (F.col("asset_id") == UNRESOLVED).alias("orphan"), "signals", "last_seen",

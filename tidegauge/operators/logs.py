@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 
 def window(df: DataFrame, asset: str | None, start: Column | None, end: Column | None, ts: str) -> DataFrame:
@@ -33,18 +37,16 @@ def newest(df: DataFrame, ts: str, n: int, *ties: str) -> DataFrame:
 
 
 def trace_summary(spans: DataFrame, only_errors: bool = False) -> DataFrame:
-    """A12. The service list is a set of distinct (trace, service) pairs first, so one huge trace stays small.
+    """A12, in one aggregation. The service set of a trace is bounded by the services there are, however long the trace is.
 
     The duration is whole microseconds times 1000.
     """
     root = F.col("parent_id") == ""
-    head = spans.groupBy("trace_id").agg(
+    out = spans.groupBy("trace_id").agg(
         F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count(F.lit(1)).alias("spans"),
         F.count_if(F.col("status") == "error").alias("errors"),
-        F.min_by(F.when(root, F.col("name")), F.when(root, F.struct("start_ts", "span_id"))).alias("root"))
-    services = spans.select("trace_id", "service_name").distinct().groupBy("trace_id").agg(
-        F.array_sort(F.collect_list("service_name")).alias("services"))
-    out = head.join(services, "trace_id").withColumn(
+        F.min_by(F.when(root, F.col("name")), F.when(root, F.struct("start_ts", "span_id"))).alias("root"),
+        F.sort_array(F.collect_set("service_name")).alias("services")).withColumn(
         "duration_ns", (F.unix_micros("end_ts") - F.unix_micros("start_ts")) * 1000)
     return out.where("errors > 0") if only_errors else out
 
@@ -90,7 +92,9 @@ def span_tree(spans: DataFrame, depth_limit: int = 64) -> DataFrame:
     known = cols.join(ids, (cols["trace_id"] == ids["_t"]) & (cols["parent_id"] == ids["_s"]), "left").select(
         "trace_id", "span_id", F.when(F.col("_s").isNull(), "").otherwise(F.col("parent_id")).alias("parent"),
         F.concat(F.lpad(F.unix_micros("start_ts").cast("string"), 20, "0"), F.lit("/"), "span_id").alias("step"))
-    name = f"_span_tree_{id(spans)}"
+    # every level reads this again, so it is written once
+    known = cut_lineage(known)
+    name = f"_span_tree_{uuid.uuid4().hex}"
     known.createOrReplaceTempView(name)
     return spark.sql(f"""
         WITH RECURSIVE t(trace_id, span_id, level, path) MAX RECURSION LEVEL {depth_limit} AS (

@@ -192,7 +192,7 @@ class Tables:
     @cached_property
     def spans(self) -> DataFrame:
         li = self.read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-            F.sum("l_quantity").cast("bigint").alias("q"), F.max("l_returnflag").alias("rf"), F.min("l_linestatus").alias("ls"))
+            F.sum("l_quantity").cast("bigint").alias("q"), F.bool_or(F.col("l_returnflag") == "R").alias("bad"), F.bool_or(F.col("l_linestatus") == "F").alias("f"))
         o = self.read("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("od"))
         j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
         n = F.col("l_linenumber")
@@ -202,7 +202,7 @@ class Tables:
             pad(F.col("l_orderkey"), 32).alias("trace_id"), pad(n, 16).alias("span_id"),
             F.when(n == 1, "").otherwise(pad(F.floor(n / 2), 16)).alias("parent_id"), F.concat(F.lit("op-"), n.cast("string")).alias("name"),
             at(n * 10).alias("start_ts"), at(n * 10 + F.col("q")).alias("end_ts"), (F.col("q") * 1000000000).alias("duration_ns"),
-            F.when(F.col("rf") == "R", "error").otherwise("ok").alias("status"), F.concat(F.lit("svc-"), "ls").alias("service_name"),
+            F.when(F.col("bad"), "error").otherwise("ok").alias("status"), F.when(F.col("f"), "svc-F").otherwise("svc-O").alias("service_name"),
             F.lit("servidor").alias("kind"), F.concat(F.lit("asset-"), (F.col("o_custkey") % 10).cast("string")).alias("asset_id"))
 
     @cached_property

@@ -98,7 +98,7 @@ def _invoices(t):
     amount = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "$").otherwise(""), F.format_string("%.2f", "o_totalprice"))
     line = F.concat(F.lit("Droplets,group,host-"), F.col("o_custkey").cast("string"), F.lit(","), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss '+0000'"), F.lit(","),
                     F.when(f % 5 == 4, F.when(F.col("o_orderkey") % 1000 == 7, "abc").otherwise(amount)).otherwise(amount))
-    g = o.groupBy(f.alias("f")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    g = o.groupBy(f.alias("f")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     csv = F.concat(F.lit("Product,Group_Description,Description,Start,"), F.when(F.col("f") % 2 == 0, "USD").otherwise("Amount"), F.lit("\n"), "body", F.lit("\n\n"))
     content = F.encode(csv, "UTF-8")
     return g.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("file"), content.alias("content"), F.sha2(content, 256).alias("digest"), F.octet_length(content).alias("bytes"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import canonical_name, clean_dimensions
+from ..functions.names import canonical_name, clean_dimensions, last_of_each
 from ..functions.times import time_or_arrival
 from ..functions.values import finite
 from ..operators.catalog import resolve
@@ -41,9 +41,10 @@ def parsed(lines: DataFrame, signal: str, text: str = "value") -> DataFrame:
     """Batches with the fixed schema; a line that does not parse keeps its text in ``_corrupt_record``."""
     name, rest = {"metrics": METRICS, "logs": LOGS, "spans": SPANS}[signal].split(" ", 1)
     schema = f"struct<{name}:{rest},_corrupt_record:string>"
-    b = lines.withColumn("_b", F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    bad = F.col("_b").isNull() | F.col(f"_b.{name}").isNull() | F.col("_b._corrupt_record").isNotNull()
-    return b.select(F.col(f"_b.{name}").alias(name), F.when(bad, F.col(text)).alias("_corrupt_record"))
+    # inline() is a barrier: as plain columns the parse would be repeated for every field that is read
+    b = lines.select(F.col(text).alias("_line"), F.inline(F.array(
+        F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))))
+    return b.select(name, F.when(F.col(name).isNull() | F.col("_corrupt_record").isNotNull(), F.col("_line")).alias("_corrupt_record"))
 
 
 def _plain(j: Column, variant: str) -> Column:
@@ -84,9 +85,7 @@ def attributes(a: Column, missing_as_empty: bool = False, python_words: bool = F
     def value(e):
         t = text_of(e["value"], python_words)
         return F.coalesce(t, F.lit("")) if missing_as_empty else t
-    pairs = F.transform(F.coalesce(a, F.array().cast(ATTRS)), lambda e: F.struct(e["key"].alias("key"), value(e).alias("value")))
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return last_of_each(F.transform(F.coalesce(a, F.array().cast(ATTRS)), lambda e: F.struct(e["key"].alias("key"), value(e).alias("value"))))
 
 
 def metric_rows(batches: DataFrame, arrival: Column) -> DataFrame:
