@@ -110,7 +110,7 @@ def test_redaction(spark):
     assert got[("inc", 0)] == "[ANFITRION_1] talks to [ANFITRION_2] at [IP_1], not 300.1.2.3 nor 12:30:45"
     assert got[("inc", 1)].startswith("[ANFITRION_1] again, web-011 not, ip [IP_2] and [IP_1].") and got[("other", 0)] == "[IP_1]"
     assert "42 stays" in got[("inc", 3)] and "[IP_1] stays" in got[("inc", 3)]
-    back = redaction.restore(out.where("incident = 'inc' and seq = 0"), "incident", "text", marks).first()["text"]
+    back = redaction.restore(out.where("incident = 'inc' and seq = 0"), "incident", "seq", "text", marks).first()["text"]
     assert back == texts[0] and not re.search(redaction.MARKER, back)
 
 

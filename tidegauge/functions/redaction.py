@@ -110,13 +110,12 @@ def redact(texts: DataFrame, incident: str, seq: str, text: str, known: DataFram
     return j.select(*[c for c in texts.columns if c != text], out.alias(text)), marks.select(incident, "marker", "norm")
 
 
-def restore(texts: DataFrame, incident: str, text: str, mapping: DataFrame) -> DataFrame:
+def restore(texts: DataFrame, incident: str, seq: str, text: str, mapping: DataFrame) -> DataFrame:
     """Markers back to values; a marker that is not in the map stays."""
-    t = texts.withColumn("_row", F.xxhash64(*texts.columns))
-    marks = t.select(incident, "_row", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({MARKER})"), F.lit(1)))).alias("marker"))
-    hits = marks.join(mapping, [incident, "marker"]).groupBy(incident, "_row").agg(
+    marks = texts.select(incident, seq, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({MARKER})"), F.lit(1)))).alias("marker"))
+    hits = marks.join(mapping, [incident, "marker"]).groupBy(incident, seq).agg(
         F.collect_set(F.struct("marker", "norm")).alias("_m"))
-    j = t.join(hits, [incident, "_row"], "left")
+    j = texts.join(hits, [incident, seq], "left")
     back = F.aggregate(F.coalesce("_m", F.array().cast("array<struct<marker:string,norm:string>>")), F.col(text),
                        lambda s, x: F.replace(s, x["marker"], x["norm"]))
     return j.select(*[c for c in texts.columns if c != text], back.alias(text))

@@ -76,8 +76,8 @@ def default_period(charges: DataFrame, today: Column) -> DataFrame:
 def trend(charges: DataFrame, envs: DataFrame, by: str) -> DataFrame:
     """Spend per month, zero where a name has none in a month that exists, with the change to the month before.
 
-    ``by``: ``env`` or ``asset_id``. The grid is names times months, which is
-    what the report prints.
+    ``by``: ``env`` or ``asset_id``. The report prints every month for every
+    name; the months (as many as the calendar has) travel as one array.
     """
     c = charges.join(envs.select("asset_id", F.col("env").alias("_env")), "asset_id", "left")
     env = F.when(F.col("asset_id").isNull(), UNASSIGNED).otherwise(F.coalesce("_env", F.lit(NO_ENV)))
@@ -85,7 +85,8 @@ def trend(charges: DataFrame, envs: DataFrame, by: str) -> DataFrame:
     if by == "asset_id":
         c = c.where("asset_id is not null")
     spent = c.groupBy(by, "month").agg(F.sum("amount").alias("_s"))
-    grid = spent.select(by).distinct().crossJoin(charges.select(F.date_format("start", "yyyy-MM").alias("month")).distinct())
+    months = charges.agg(F.collect_set(F.date_format("start", "yyyy-MM")).alias("_ms"))
+    grid = spent.select(by).distinct().join(months, F.lit(True)).select(by, F.explode("_ms").alias("month"))
     full = grid.join(spent, [by, "month"], "left").select(by, "month", money(F.coalesce("_s", F.lit(0))).alias("amount"))
     before = full.select(by, F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM").alias("month"),
                          F.col("amount").alias("previous"))

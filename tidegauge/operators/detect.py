@@ -139,9 +139,11 @@ def coverage(assets: DataFrame, signals: DataFrame, seen: DataFrame, points: Dat
     """What each signal finds on each asset.
 
     ``seen``: asset_id, metric, dim_names (array); ``points``: asset_id, signal, n.
-    Assets times 14 signals is what the report is, one row each.
+    The report has one row per asset and signal; the signals travel as one
+    array in one row.
     """
-    grid = assets.select("asset_id").crossJoin(F.broadcast(signals.select("metric", "signal", "kind", "filters", "group_dim")))
+    listed = signals.agg(F.collect_list(F.struct("metric", "signal", "kind", "filters", "group_dim")).alias("_s"))
+    grid = assets.select("asset_id").join(listed, F.lit(True)).select("asset_id", F.explode("_s").alias("_s")).select("asset_id", "_s.*")
     need = F.lit(window + run) + F.when(F.col("kind") == "acumulada", 1).otherwise(0)
     used = F.array_compact(F.concat(F.map_keys("filters"), F.array("group_dim")))
     n = F.coalesce("n", F.lit(0))

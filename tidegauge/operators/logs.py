@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +77,14 @@ def spans_in_order(spans: DataFrame, trace_id: str, limit: int = 5000) -> DataFr
     return spans.where(F.col("trace_id") == trace_id).orderBy("start_ts", F.col("parent_id") != "", "span_id").limit(limit)
 
 
-def span_tree(spans: DataFrame, depth_limit: int = 64) -> DataFrame:
+def span_tree(spans: DataFrame, depth_limit: int = 1000) -> DataFrame:
     """``level`` and ``path`` of every span; ordering by path is the depth-first order.
 
     A span whose parent is not in its trace is a root. Each level is one equi
-    join on (trace, parent) inside a recursive query, so traces are never
-    gathered and a very long trace spreads over the tasks.
+    join on (trace, parent), so traces are never gathered and a very long trace
+    spreads over the tasks. The loop is over levels, not rows; a recursive query
+    would stop at its row limit.
     """
-    spark = spans.sparkSession
     cols = spans.select("trace_id", "span_id", "parent_id", "start_ts")
     ids = cols.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"))
     known = cols.join(ids, (cols["trace_id"] == ids["_t"]) & (cols["parent_id"] == ids["_s"]), "left").select(
@@ -94,15 +92,18 @@ def span_tree(spans: DataFrame, depth_limit: int = 64) -> DataFrame:
         F.concat(F.lpad(F.unix_micros("start_ts").cast("string"), 20, "0"), F.lit("/"), "span_id").alias("step"))
     # every level reads this again, so it is written once
     known = cut_lineage(known)
-    name = f"_span_tree_{uuid.uuid4().hex}"
-    known.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE t(trace_id, span_id, level, path) MAX RECURSION LEVEL {depth_limit} AS (
-          SELECT trace_id, span_id, 0, array(step) FROM {name} WHERE parent = ''
-          UNION ALL
-          SELECT c.trace_id, c.span_id, t.level + 1, array_append(t.path, c.step)
-          FROM t JOIN {name} c ON c.trace_id = t.trace_id AND c.parent = t.span_id)
-        SELECT trace_id, span_id, level, path FROM t""")
+    level = known.where("parent = ''").select("trace_id", "span_id", F.lit(0).alias("level"), F.array("step").alias("path"))
+    tree, depth = level, 0
+    while True:
+        above = level.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("parent"), F.col("path").alias("_p"))
+        depth += 1
+        level = cut_lineage(known.join(above, (F.col("trace_id") == F.col("_t")) & (known["parent"] == above["parent"])).select(
+            "trace_id", "span_id", F.lit(depth).alias("level"), F.array_append("_p", F.col("step")).alias("path")))
+        if level.isEmpty():
+            return tree
+        if depth > depth_limit:
+            raise ValueError(f"spans nested deeper than {depth_limit} levels")
+        tree = tree.unionByName(level)
 
 
 def gantt(spans: DataFrame) -> DataFrame:

@@ -115,8 +115,8 @@ def labelled(rows: DataFrame, assigned: DataFrame, names: dict[int, str], on: li
 
 # ---------------------------------------------------------------- classifiers
 def time_split(rows: DataFrame, ts: str, share: float = 0.7, ties: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """M5: by row position in time. Positions come from per-day counts, so no task orders the whole table."""
-    placed = with_position(rows.withColumn("_all", F.lit(1)), ["_all"], ts, 86400, ties)
+    """M5: by row position in time. Positions come from counts per ten seconds, so no task orders more than that."""
+    placed = with_position(rows.withColumn("_all", F.lit(1)), ["_all"], ts, 10, ties)
     n = rows.agg(F.count(F.lit(1)).alias("_n"))
     j = placed.join(F.broadcast(n), F.lit(True))
     cut = F.floor(F.col("_n") * F.lit(share))
@@ -126,7 +126,7 @@ def time_split(rows: DataFrame, ts: str, share: float = 0.7, ties: list[str] | N
 
 def time_folds(rows: DataFrame, ts: str, folds: int = 5, ties: list[str] | None = None) -> DataFrame:
     """M9: ``fold`` 0..folds-1, contiguous blocks in time of equal size (the first ones one longer)."""
-    placed = with_position(rows.withColumn("_all", F.lit(1)), ["_all"], ts, 86400, ties)
+    placed = with_position(rows.withColumn("_all", F.lit(1)), ["_all"], ts, 10, ties)
     j = placed.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n"))), F.lit(True))
     q, r, i = F.floor(F.col("_n") / folds), F.col("_n") % folds, F.col("pos") - 1
     fold = F.when(i < r * (q + 1), F.floor(i / (q + 1))).otherwise(r + F.floor((i - r * (q + 1)) / F.greatest(q, F.lit(1))))
@@ -143,7 +143,7 @@ def _scaled(features: list[str]) -> list:
 
 
 def linear_svm(features: list[str], label: str = "label", max_iter: int = 50) -> Pipeline:
-    return Pipeline(stages=[*_scaled(features), OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol=label)])
+    return Pipeline(stages=[*_scaled(features), OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol=label, parallelism=4)])
 
 
 def perceptron(features: list[str], classes: int, label: str = "label", seed: int = SEED, max_iter: int = 100) -> Pipeline:

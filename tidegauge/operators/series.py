@@ -60,9 +60,8 @@ def with_filters(df: DataFrame, filters: dict[str, str], known: list[str] | None
 
 def top_groups(df: DataFrame, group: str, n: int = MAX_GROUPS) -> DataFrame:
     """First ``n`` groups by label, null last (W17). Ranks the labels, not the rows."""
-    labels = df.select(group).distinct().withColumn(
-        "_rank", F.row_number().over(W.orderBy(F.col(group).isNull(), F.col(group)))).where(F.col("_rank") <= n)
-    return df.join(F.broadcast(labels), df[group].eqNullSafe(labels[group]), "left_semi")
+    labels = df.select(F.col(group).alias("_label")).distinct().orderBy(F.col("_label").isNull(), "_label").limit(n)
+    return df.join(F.broadcast(labels), F.col(group).eqNullSafe(F.col("_label")), "left_semi")
 
 
 def omitted_groups(df: DataFrame, group: str, n: int = MAX_GROUPS) -> DataFrame:
@@ -170,7 +169,11 @@ def chart_rows(series: DataFrame, keys: list[str], label: str, ts: str, value: s
     instants = spine.select(*keys, F.explode(F.array_compact(F.array(
         F.col(ts), F.when(late, F.col(ts) + F.expr(f"interval {step} seconds"))))).alias(ts))
     labels = series.select(*keys, label).distinct()
-    grid = instants.join(labels, keys) if keys else instants.crossJoin(labels)
+    if keys:
+        grid = instants.join(labels, keys)
+    else:
+        # one chart: its labels (at most 8 after top_groups) travel as one array
+        grid = instants.join(labels.agg(F.collect_list(label).alias("_ls")), F.lit(True)).withColumn(label, F.explode("_ls")).drop("_ls")
     known = series.select(*[F.col(c).alias(f"_{c}") for c in (*keys, label, ts)], value)
     on = (F.col(ts) == F.col(f"_{ts}")) & F.col(label).eqNullSafe(F.col(f"_{label}"))
     for k in keys:
@@ -228,7 +231,7 @@ def series(points_raw: DataFrame, points_1m: DataFrame, points_1h: DataFrame, as
     else:
         void = seen.agg(F.greatest(F.lit(0), F.lit(due) - F.count_distinct("bucket")).alias("empty"))
     incomplete = seen.where("incomplete").agg(F.count_distinct("bucket").alias("incomplete"))
-    summary = void.crossJoin(incomplete).crossJoin(omitted_groups(pts, "group")).select(
+    summary = void.join(incomplete, F.lit(True)).join(omitted_groups(pts, "group"), F.lit(True)).select(
         F.lit(level).alias("level"), F.lit(step).alias("step"), F.lit(due).alias("expected"), "empty", "incomplete", "omitted")
     return top_groups(pts, "group"), summary
 

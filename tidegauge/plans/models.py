@@ -231,7 +231,7 @@ def _cells(t):
 def _(t):
     a, b = ml.time_split(t.events.select("event_id", "ts"), "ts")
     x = a.agg(F.count(F.lit(1)).alias("train"), F.max_by("event_id", "ts").alias("last_train"))
-    return x.crossJoin(b.agg(F.count(F.lit(1)).alias("test"))).select("train", "test", "last_train")
+    return x.join(b.agg(F.count(F.lit(1)).alias("test")), F.lit(True)).select("train", "test", "last_train")
 
 
 @query("m09_time_folds", "SELECT fold, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM (SELECT ts, ntile(5) OVER (ORDER BY ts) - 1 AS fold FROM events) GROUP BY 1")

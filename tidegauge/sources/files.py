@@ -64,18 +64,19 @@ def invoice_charges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     and picked by the header's place, so column order does not matter.
     """
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    lines = files.select("file", "digest", "bytes", F.split(text, "\r?\n").alias("ls"))
+    lines = files.select("file", "digest", "bytes", F.when(F.col("bytes") <= MAX_BYTES, F.split(text, "\r?\n")).alias("ls"))
     width = 40
     cells = "array(" + ",".join(f"c{i}" for i in range(width)) + ")"
     row_schema = ",".join(f"c{i} string" for i in range(width))
     parse = lambda c: F.from_csv(c, row_schema, {"mode": "PERMISSIVE", "escape": '"'})
-    head = lines.select("file", "digest", "bytes", "ls", parse(F.element_at("ls", 1)).alias("h")).select("file", "digest", "bytes", "ls", "h.*").select(
+    # inline() is a barrier: as plain columns the parse would be repeated for every cell that is read
+    head = lines.select("file", "digest", "bytes", "ls", F.inline(F.array(parse(F.try_element_at("ls", F.lit(1)))))).select(
         "file", "digest", "bytes", "ls", F.transform(F.expr(cells), lambda x: F.lower(F.trim(x))).alias("head"))
     spot = lambda *names: F.coalesce(*[F.nullif(F.array_position("head", n), F.lit(0).cast("bigint")) for n in names])
     head = head.select("file", "digest", "bytes", "ls", spot(*AMOUNT_NAMES).alias("i_amount"), spot("description").alias("i_desc"),
                        spot("product").alias("i_prod"), spot("group_description").alias("i_group"), spot("start").alias("i_start"), spot("end").alias("i_end"))
     body = head.select("*", F.posexplode_outer(F.slice("ls", 2, F.greatest(F.lit(1), F.size("ls") - 1))).alias("n", "line_text")).drop("ls")
-    body = body.withColumn("r", parse(F.col("line_text"))).select("*", "r.*").withColumn("cells", F.expr(cells))
+    body = body.select("*", F.inline(F.array(parse(F.col("line_text"))))).withColumn("cells", F.expr(cells))
     cell = lambda i: F.trim(F.coalesce(F.try_element_at("cells", F.col(i).cast("int")), F.lit("")))
     full = F.exists("cells", lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
     raw = F.regexp_replace(cell("i_amount"), "[$,]", "")
@@ -162,7 +163,7 @@ SNAPSHOT = ("nodo string, entorno string, tomada_en string, version_agente strin
 
 def snapshots(raw: DataFrame, text: str, keys: DataFrame, seq: Column) -> tuple[DataFrame, DataFrame]:
     """``(valid, rejected)`` from JSON texts; the rules of type, length and range are one boolean."""
-    d = raw.withColumn("_seq", seq).withColumn("s", F.from_json(text, SNAPSHOT, {"mode": "PERMISSIVE"}))
+    d = raw.withColumn("_seq", seq).withColumn("s", F.explode(F.array(F.from_json(text, SNAPSHOT, {"mode": "PERMISSIVE"}))))
     fit = lambda c, n, need=True: (F.length(F.coalesce(c, F.lit(""))) <= n) & ((F.coalesce(c, F.lit("")) != "") if need else F.lit(True))
     secs = F.expr("try_cast(s.intervalo_muestreo_s as int)")
     # the JSON type matters: a quoted number or a boolean is not an integer

@@ -181,7 +181,7 @@ TRUTH_BODY = ("struct<uid:string,evento:string,tipo:string,nodo:string,inicio:st
 
 def truth_events(logs: DataFrame, seq: Column) -> DataFrame:
     """Fault events inside log bodies; other bodies are skipped, an unresolved asset is null."""
-    b = logs.withColumn("b", F.from_json("body", TRUTH_BODY, {"mode": "PERMISSIVE"})).where(
+    b = logs.withColumn("b", F.explode(F.array(F.from_json("body", TRUTH_BODY, {"mode": "PERMISSIVE"})))).where(
         "b.uid is not null and b.evento in ('inicio', 'fin')")
     asset = F.when(F.col("asset_id").isin("", UNRESOLVED), None).otherwise(F.col("asset_id"))
     return b.select(F.col("b.uid").alias("uid"), F.col("b.evento").alias("event"), seq.alias("seq"), asset.alias("asset_id"),

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import series_key
+from ..functions.names import dims_text
 from ..operators.evaluate import overlapping
-from ..schema import METRIC_POINTS
+from ..schema import METRIC_POINTS, TAGS
 
 
 def last_write(points: DataFrame) -> DataFrame:
     """The same series at the same nanosecond is one row; the latest arrival wins (the larger value on equal arrival)."""
-    keyed = points.withColumn("series_key", series_key())
-    rest = [c for c in points.columns if c not in ("metric", "time_ns", "date")]
-    g = keyed.groupBy("metric", "date", "series_key", "time_ns").agg(F.max_by(F.struct(*rest), F.struct("received_at", "value")).alias("r"))
-    return g.select(*[F.col(c) if c in ("metric", "date", "time_ns") else F.col(f"r.{c}").alias(c) for c in points.columns])
+    keys = ["metric", "date", *TAGS, "time_ns"]
+    rest = [c for c in points.columns if c not in keys]
+    g = points.groupBy(*keys, dims_text(F.col("dims")).alias("_dims")).agg(F.max_by(F.struct(*rest), F.struct("received_at", "value")).alias("r"))
+    return g.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in points.columns])
 
 
 def write_points(points: DataFrame, path: str, mode: str = "append") -> None:
