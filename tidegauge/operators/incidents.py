@@ -79,8 +79,8 @@ def severity_rank(c: Column) -> Column:
 
 
 def incident_list(anomalies: DataFrame, diagnoses: DataFrame, *, state=None, asset=None, start: Column | None = None,
-                  end: Column | None = None, limit: int | None = 500) -> DataFrame:
-    """P16 + J4 + K1: filtered, with ``has_diagnosis``, by severity then newest."""
+                  end: Column | None = None, limit: int | None = 500, open_first: bool = False) -> DataFrame:
+    """P16 + J4 + K1: filtered, with ``has_diagnosis``, by severity then newest; the list view puts open ones first."""
     df = anomalies
     if state is not None:
         df = df.where(F.col("state") == state)
@@ -92,7 +92,8 @@ def incident_list(anomalies: DataFrame, diagnoses: DataFrame, *, state=None, ass
         df = df.where(F.col("end").isNull() | (F.col("end") >= start))
     d = diagnoses.select("anomaly_id").distinct().withColumn("_d", F.lit(True))
     df = df.join(d, "anomaly_id", "left").withColumn("has_diagnosis", F.col("_d").isNotNull()).drop("_d")
-    df = df.orderBy(severity_rank(F.col("severity")), F.desc("start"), F.desc("anomaly_id"))
+    first = [(F.col("end").isNotNull() | F.col("state").isin(*TERMINAL_STATES)).cast("int")] if open_first else []
+    df = df.orderBy(*first, severity_rank(F.col("severity")), F.desc("start"), F.desc("anomaly_id"))
     return df.limit(limit) if limit else df
 
 

@@ -84,7 +84,17 @@ def _(t):
     return t.read("part").select(dev.alias("dev")).groupBy("dev", skip.alias("skipped")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w05_detect_cycle")
+_CYCLE = """, pts AS (SELECT asset_id, signal, grp, bucket, value, CASE WHEN metric = 'view' THEN 0.01 ELSE 0.0 END AS floor FROM w WHERE metric <> 'signup' UNION ALL SELECT asset_id, signal, grp, bucket, dv / dt, 0.0 FROM (SELECT *, value - lag(value) OVER p AS dv, epoch(bucket) - epoch(lag(bucket) OVER p) AS dt
+    FROM w WHERE metric = 'signup' WINDOW p AS (PARTITION BY asset_id, signal, grp ORDER BY bucket)) WHERE dt > 0 AND dv >= 0),
+  h AS (SELECT *, list(value) OVER b AS h, stddev_pop(value) OVER b AS sd, count(*) OVER (PARTITION BY asset_id, signal, grp) AS n FROM pts WINDOW b AS (PARTITION BY asset_id, signal, grp ORDER BY bucket ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+  m AS (SELECT *, CASE WHEN len(h) >= 20 THEN list_median(h) END AS med FROM h), d AS (SELECT *, CASE WHEN len(h) >= 20 THEN list_median(list_transform(h, lambda x: abs(x - med))) * 1.4826 END AS mad FROM m),
+  z AS (SELECT *, CASE WHEN med IS NULL THEN NULL WHEN greatest(CASE WHEN mad > 0 THEN mad ELSE sd END, floor) > 0 THEN (value - med) / greatest(CASE WHEN mad > 0 THEN mad ELSE sd END, floor) ELSE 0 END AS z FROM d),
+  e AS (SELECT *, sum(c) OVER (PARTITION BY asset_id, signal, grp ORDER BY bucket ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS run, lag(c, 2, 0) OVER (PARTITION BY asset_id, signal, grp ORDER BY bucket) AS prev FROM (SELECT *, CASE WHEN z >= 3.5 THEN 1 ELSE 0 END AS c FROM z))
+  SELECT asset_id, signal, '{"slot":"' || coalesce(grp, '1') || '"}' AS dims, strftime(max(bucket), '%Y-%m-%d %H:%M:%S') AS start, arg_max(CASE WHEN z / 3.5 >= 100 THEN 'alta' WHEN z / 3.5 >= 10 THEN 'media' ELSE 'baja' END, bucket) AS severity, rnd(arg_max(z, bucket), 4) AS score
+  FROM e WHERE run = 2 AND prev = 0 AND n >= 22 GROUP BY asset_id, signal, grp"""
+
+
+@query("w05_detect_cycle", "WITH w AS (" + WATCHED + ")" + _CYCLE, "hours")
 def _(t):
     d = detect.detect(_level(t), _signals(t), window=20, run=2, bucket_seconds=DAY)
     return d.select("asset_id", "signal", F.to_json("dims").alias("dims"), text("start"), "severity", r("score"))
@@ -106,7 +116,18 @@ def _(t):
     return detect.unwatched(t.hours, _signals(t)).select("asset_id", "metric")
 
 
-@query("w28_settings_sweep")
+_SWEEP = """WITH s(setting, least, rel, fl) AS (VALUES """ + ", ".join(f"('{n}', {h}, {r_}, {1.0 if a else 0.0})" for n, h, r_, a in detect.SETTINGS) + """),
+  h AS (SELECT asset_id, metric, bucket, value, list(value) OVER w AS h, stddev_pop(value) OVER w AS sd FROM hourly WINDOW w AS (PARTITION BY asset_id, metric ORDER BY bucket ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+  m AS (SELECT *, list_median(h) AS med FROM h WHERE len(h) >= 0 OR h IS NULL), d AS (SELECT *, list_median(list_transform(h, lambda x: abs(x - med))) * 1.4826 AS mad FROM m),
+  x AS (SELECT *, greatest(CASE WHEN mad > 0 THEN mad ELSE coalesce(sd, 0) END, rel * abs(med), fl) AS scale, coalesce(len(h), 0) >= greatest(2, least) AS ok FROM d, s),
+  z AS (SELECT *, CASE WHEN NOT ok THEN NULL WHEN scale > 0 THEN (value - med) / scale ELSE 0 END AS z FROM x),
+  e AS (SELECT * FROM (SELECT *, sum(c) OVER (PARTITION BY setting, asset_id, metric ORDER BY bucket ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS run, lag(c, 2, 0) OVER (PARTITION BY setting, asset_id, metric ORDER BY bucket) AS prev FROM (SELECT *, CASE WHEN z >= 3.5 THEN 1 ELSE 0 END AS c FROM z)) WHERE run = 2 AND prev = 0),
+  i AS (SELECT 'asset-' || (CAST(substring(asset_id, 2) AS BIGINT) % 10) AS a, date_trunc('day', "start") AS st, min(uid) AS uid, min("start") + INTERVAL 6 HOUR AS en FROM injections WHERE "end" IS NOT NULL GROUP BY 1, 2),
+  o AS (SELECT setting, asset_id, metric, bucket, z, min(i.uid) AS uid FROM e LEFT JOIN i ON i.a = e.asset_id AND e.bucket >= i.st AND e.bucket <= i.en + INTERVAL 5 MINUTE GROUP BY 1, 2, 3, 4, 5)
+  SELECT setting, count(*) AS events, count(uid) AS inside, count(*) - count(uid) AS noise, count(DISTINCT uid) AS found, count_if(z / 3.5 >= 100 AND uid IS NOT NULL) AS high_inside FROM o GROUP BY 1"""
+
+
+@query("w28_settings_sweep", _SWEEP, "hourly injections")
 def _(t):
     pts = t.hourly.withColumn("floor", F.lit(1.0))
     inj = t.injections.withColumn("asset_id", F.concat(F.lit("asset-"), (F.substring("asset_id", 2, 20).cast("bigint") % 10).cast("string"))).where("end is not null")
@@ -170,6 +191,12 @@ def _(t):
     return incidents.incident_list(t.anomalies, t.diagnoses, start=ts("2024-01-10 00:00:00"), end=ts("2024-01-20 00:00:00")).select("anomaly_id", "severity", "has_diagnosis")
 
 
+@query("k01_open_incidents_first", """SELECT anomaly_id, severity, state FROM anomalies ORDER BY CASE WHEN "end" IS NOT NULL OR state IN ('cerrada', 'falso_positivo') THEN 1 ELSE 0 END,
+  CASE severity WHEN 'alta' THEN 0 WHEN 'media' THEN 1 WHEN 'baja' THEN 2 ELSE 3 END, "start" DESC, anomaly_id DESC LIMIT 500""", "anomalies")
+def _(t):
+    return incidents.incident_list(t.anomalies, t.diagnoses, open_first=True).select("anomaly_id", "severity", "state")
+
+
 @query("p17_awaiting_diagnosis", """SELECT anomaly_id FROM anomalies a WHERE state = 'detectada' AND severity IN ('baja', 'media') AND detected_at >= TIMESTAMP '2024-01-20'
   AND NOT EXISTS (SELECT 1 FROM diagnoses d WHERE d.anomaly_id = a.anomaly_id)""", "anomalies diagnoses")
 def _(t):

@@ -229,3 +229,13 @@ def _(t):
     pending = t.keys.where("kind = 'host.name'").select(F.col("key").alias("host_name"), F.col("asset_id").alias("new_asset"))
     once = catalog.reassign(rows, pending, ["ts", "event_id"])
     return catalog.reassign(once, pending, ["ts", "event_id"]).groupBy("asset_id", "reassigned").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j23_series_with_source_health", f"""SELECT count(*) AS buckets, any_value(l.state) = 'degradado' AS source_degraded, strftime(any_value(l.last_seen), '%Y-%m-%d %H:%M:%S') AS source_last_seen FROM (SELECT DISTINCT metric, date_trunc('hour', ts) AS b FROM points WHERE asset_id = 'asset-3'),
+  (SELECT max(ts) AS last_seen, CASE WHEN TIMESTAMP '{AS_OF}' - max(ts) > INTERVAL 5 MINUTE THEN 'degradado' ELSE 'ok' END AS state FROM points WHERE asset_id = 'asset-3') l""", "points")
+def _(t):
+    from ..operators import series
+    mine = t.points.where("asset_id = 'asset-3'").select("metric", F.date_trunc("hour", "ts").alias("b")).distinct().agg(F.count(F.lit(1)).alias("buckets"))
+    led = health.last_reception(t.points.select("asset_id", F.lit("metricas").alias("signal"), F.col("ts").alias("last_seen")))
+    out = series.with_health(mine, led.withColumn("state", health.state_of(F.col("last_seen"), _now())), "asset-3")
+    return out.select("buckets", "source_degraded", text("source_last_seen"))
