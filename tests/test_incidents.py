@@ -196,3 +196,18 @@ def test_assignment_is_the_nearest_centre(spark):
     df = spark.createDataFrame([(i, [float(i % 3) * 10, float(i % 3)]) for i in range(60)], "id int, v array<double>").withColumn("features", array_to_vector("v"))
     m = ml.train_kmeans(df, k=3, restarts=2)
     assert ml.assign(m, df).agg(F.max("distance")).first()[0] < 1e-6
+
+
+def test_logs_without_ids_are_kept_and_match_nothing(spark):
+    from tidegauge.operators import logs
+    lg = spark.createDataFrame([(1, "t", "s"), (2, "", ""), (3, None, "s"), (4, "t", "x")], "i int, trace_id string, span_id string")
+    sp = spark.createDataFrame([("t", "s", "op", 5, "ok"), ("", "", "ghost", 1, "ok")], "trace_id string, span_id string, name string, duration_ns bigint, status string")
+    assert {r["i"]: r["operation"] for r in logs.correlated(lg, sp).collect()} == {1: "op", 2: None, 3: None, 4: None}
+
+
+def test_span_tree_order_and_orphans(spark):
+    from tidegauge.operators import logs
+    rows = [("t", "r", "", 0), ("t", "b", "r", 5), ("t", "a", "r", 2), ("t", "c", "a", 3), ("t", "o", "gone", 1), ("u", "r", "", 0)]
+    sp = spark.createDataFrame([(t, s, p, at(m)) for t, s, p, m in rows], "trace_id string, span_id string, parent_id string, start_ts timestamp")
+    got = [(r["span_id"], r["level"]) for r in logs.span_tree(sp).where("trace_id = 't'").orderBy("path").collect()]
+    assert got == [("r", 0), ("a", 1), ("c", 2), ("b", 1), ("o", 0)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import money
@@ -88,9 +89,9 @@ def trend(charges: DataFrame, envs: DataFrame, by: str) -> DataFrame:
     months = charges.agg(F.collect_set(F.date_format("start", "yyyy-MM")).alias("_ms"))
     grid = spent.select(by).distinct().join(months, F.lit(True)).select(by, F.explode("_ms").alias("month"))
     full = grid.join(spent, [by, "month"], "left").select(by, "month", money(F.coalesce("_s", F.lit(0))).alias("amount"))
-    before = full.select(by, F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM").alias("month"),
-                         F.col("amount").alias("previous"))
-    return full.join(before, [by, "month"], "left").withColumn("change", F.try_divide(
+    # a name has one row per month, so this window is as small as the calendar
+    previous = F.lag("amount").over(W.partitionBy(by).orderBy("month"))
+    return full.withColumn("previous", previous).withColumn("change", F.try_divide(
         (F.col("amount") - F.col("previous")).cast("double"), F.nullif(F.col("previous").cast("double"), F.lit(0.0))))
 
 

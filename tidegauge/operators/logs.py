@@ -50,10 +50,15 @@ def trace_summary(spans: DataFrame, only_errors: bool = False) -> DataFrame:
 
 
 def correlated(logs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Logs with their span; both sides are cut to asset and window by the caller. Empty ids match nothing."""
+    """Logs with their span; both sides are cut to asset and window by the caller.
+
+    Empty ids match nothing. Most logs have none, so they pass beside the join
+    instead of meeting in one partition of it.
+    """
+    linked = (F.coalesce("trace_id", F.lit("")) != "") & (F.coalesce("span_id", F.lit("")) != "")
     s = spans.where("trace_id <> '' and span_id <> ''").select(
         "trace_id", "span_id", F.col("name").alias("operation"), "duration_ns", F.col("status").alias("span_status"))
-    return logs.join(s, ["trace_id", "span_id"], "left")
+    return logs.where(linked).join(s, ["trace_id", "span_id"], "left").unionByName(logs.where(~linked), allowMissingColumns=True)
 
 
 def error_rows(pairs: DataFrame) -> DataFrame:

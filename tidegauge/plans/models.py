@@ -254,7 +254,13 @@ def _(t):
     return ml.overall_scores(ml.class_scores(ml.linear_svm(cols, max_iter=5).fit(a).transform(b))).select(r("macro_f1"), r("accuracy"))
 
 
-@query("m06_nearest_neighbours")
+_KNN = """WITH c AS (SELECT floor(count(*) * 0.7) AS cut FROM embeddings), e AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),
+  x AS (SELECT vec_id, label, rn, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM e), s AS (SELECT d, stddev_samp(v) AS sd FROM x, c WHERE rn <= cut GROUP BY d), z AS (SELECT vec_id, label, rn, d, v / sd AS v FROM x JOIN s USING (d)),
+  p AS (SELECT q.vec_id, t.vec_id AS other, t.label, sum((q.v - t.v) * (q.v - t.v)) AS dist FROM z q JOIN z t USING (d), c WHERE q.rn > cut AND t.rn <= cut GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS k FROM p),
+  v AS (SELECT vec_id, label, count(*) AS n FROM r WHERE k <= 5 GROUP BY 1, 2) SELECT vec_id, CAST(arg_max(label, (n, -label)) AS DOUBLE) AS prediction FROM v GROUP BY 1"""
+
+
+@query("m06_nearest_neighbours", _KNN)
 def _(t):
     rows, cols = _cells(t)
     a, b = ml.time_split(rows, "ts")

@@ -1,10 +1,10 @@
 """Streaming jobs over the event table, run to the end of what is there."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import detect, rollup
 from .base import HOUR, query, r, text
 
@@ -12,9 +12,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def scratch(spark) -> str:
-    """A new folder below the cluster's shared one; on one machine without it, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A new folder below the one all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _source(t):
