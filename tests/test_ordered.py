@@ -109,7 +109,7 @@ def test_counter_is_watched_as_a_rate(spark):
     rnd = random.Random(5)
     total, ramp = 0.0, []
     for i in range(200):
-        total += 100 + rnd.random() + (5000 if 120 <= i < 130 else 0)
+        total += 100 + rnd.random() + (200 if 120 <= i < 130 else 0)
         ramp.append(total)
     reset = [*ramp[:50], *[v - ramp[50] for v in ramp[50:100]]]
     df = minute_series(spark, {"ramp": ramp, "reset": reset})

@@ -139,6 +139,9 @@ def test_ingest_job_counts_every_row_and_repeats_safely(spark, folder):
     orphans = versions.latest(spark, paths.orphans, ingest.ORPHANS)
     # the orphan's host becomes known: its rows move, and their hours are to be redone
     keys = spark.createDataFrame([("h2", "A2", "host.name", "aws")], ingest.KEYS)
+    late = ingest.associate(ingest.read_points(spark, paths), orphans, keys)
+    assert late[0].where("asset_id = 'A2'").count() == 0  # older than two hours before the orphan was first seen
+    orphans = orphans.withColumn("first_seen", F.lit(T0 + timedelta(hours=1)))
     moved, hours, by_hand = ingest.associate(ingest.read_points(spark, paths), orphans, keys)
     assert moved.where("asset_id = 'A2'").count() == 10 and moved.count() == 30 and hours.count() == 1 and by_hand.count() == 0
     spark.streams.removeListener(log)

@@ -193,15 +193,18 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("provider").agg(F.max_by(F.struct(*cols), F.struct("started", "run_id")).alias("r")).select("provider", "r.*")
 
 
-def reassign(df: DataFrame, pending: DataFrame, fingerprint: list[str]) -> DataFrame:
+def reassign(df: DataFrame, pending: DataFrame, fingerprint: list[str], ts: str | None = None) -> DataFrame:
     """Rows of an orphan host move to the asset its key resolves to.
 
-    ``pending``: host_name, new_asset. A moved row replaces the orphan row
+    ``pending``: host_name, new_asset, and with ``ts`` also ``since``: rows
+    before it stay (metrics are moved from two hours before the orphan was
+    first seen). A moved row replaces the orphan row
     (where the reference's store could only copy); rows that already have their
     copy are not doubled, so a repeated run changes nothing. The fingerprint
     columns, not only their hash, decide what is the same row.
     """
-    hit = F.coalesce((F.col("asset_id") == UNRESOLVED) & F.col("new_asset").isNotNull(), F.lit(False))
+    due = F.lit(True) if ts is None else F.col(ts) >= F.col("since")
+    hit = F.coalesce((F.col("asset_id") == UNRESOLVED) & F.col("new_asset").isNotNull() & due, F.lit(False))
     moved = df.join(pending, "host_name", "left").withColumn("_hit", hit).withColumn(
         "reassigned", F.coalesce("reassigned", F.lit(False)) | F.col("_hit")).withColumn(
         "asset_id", F.when(F.col("_hit"), F.col("new_asset")).otherwise(F.col("asset_id")))

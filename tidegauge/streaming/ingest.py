@@ -125,9 +125,9 @@ def associate(points: DataFrame, orphans: DataFrame, keys: DataFrame):
     """What one pass moves. Returns ``(points after the move, hours to redo, keys that only a person can associate)``."""
     pending = catalog.resolvable(orphans, keys, pending_only=True)
     auto = pending.where("key_type = 'host.name'")
-    moves = auto.select(F.col("key").alias("host_name"), F.col("resolves_to").alias("new_asset"), (F.col("first_seen") - F.expr("interval 2 hours")).alias("_from"))
+    moves = auto.select(F.col("key").alias("host_name"), F.col("resolves_to").alias("new_asset"), (F.col("first_seen") - F.expr("interval 2 hours")).alias("since"))
     p = points if "reassigned" in points.columns else points.withColumn("reassigned", F.lit(False))
-    out = catalog.reassign(p, moves.select("host_name", "new_asset"), ["metric", "time_ns", "value"])
-    hours = p.join(moves, "host_name").where((F.col("asset_id") == "sin_resolver") & (F.col("ts") >= F.col("_from"))).select(
+    out = catalog.reassign(p, moves, ["metric", "time_ns", "value"], ts="ts")
+    hours = p.join(moves, "host_name").where((F.col("asset_id") == "sin_resolver") & (F.col("ts") >= F.col("since"))).select(
         "metric", F.date_trunc("hour", "ts").alias("hour")).distinct()
     return out, hours, pending.where("key_type <> 'host.name'")
