@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
 
@@ -23,7 +24,7 @@ from .common import map_rows, texts, type_of
 
 #: Fixed value: the pre-token pattern of byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -60,7 +61,7 @@ def merged(symbols: list[int], ranks: dict[tuple[int, int], int], rules: list[tu
 
 
 def pack(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def unpack(packed: bytes) -> list[int]:
@@ -68,16 +69,17 @@ def unpack(packed: bytes) -> list[int]:
 
 
 class Known(dict):
-    """Encoded words; emptied when full, and long ones are never kept."""
+    """Encoded words in two generations: when the young one is full it becomes the old one. Long words are never kept."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.make(word)
+        ids = self.old.get(word) or self.make(word)
         if len(word) < 64:
             if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
