@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import pin_utc
-from . import bpe, quality
+from . import bpe, neardup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,8 @@ def _bpe(read):
 @query("op8_quality_rules")
 def _quality(read):
     return quality.judge(read("documents"))
+
+
+@query("op6_near_duplicates")
+def _near_duplicates(read):
+    return neardup.near_duplicates(read("documents"))
