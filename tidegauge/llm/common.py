@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the word definitions, as Java and RE2 both read them.
@@ -59,5 +60,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], ddl: list[t
     return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in ddl))
 
 
+def fixed_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table written in code, as a constant of the plan."""
+    names = [x.split()[0] for x in ddl.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in ddl.split(', '))}>>")))
+
+
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import pin_utc
-from . import bpe, neardup, quality
+from . import bpe, decontaminate, licenses, neardup, oracles, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,18 @@ def _quality(read):
 @query("op6_near_duplicates")
 def _near_duplicates(read):
     return neardup.near_duplicates(read("documents"))
+
+
+@query("op2_secrets", oracles.secrets())
+def _secrets(read):
+    return secrets.digests(read("documents"))
+
+
+@query("op3_licenses", oracles.licenses())
+def _licenses(read):
+    return licenses.scan(read("documents"))
+
+
+@query("op7_decontamination", oracles.decontamination())
+def _decontamination(read):
+    return decontaminate.decontaminate(read("documents"), read("benchmark"))
