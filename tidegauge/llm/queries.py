@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import pin_utc
-from . import bpe, decontaminate, licenses, neardup, oracles, quality, secrets
+from . import bpe, decontaminate, licenses, neardup, oracles, quality, secrets, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,13 @@ def _licenses(read):
 @query("op7_decontamination", oracles.decontamination())
 def _decontamination(read):
     return decontaminate.decontaminate(read("documents"), read("benchmark"))
+
+
+@query("op1_html_text")
+def _html(read):
+    return wrappers.extract(read("pages"))
+
+
+@query("op5_toxicity")
+def _toxicity(read):
+    return toxicity.score(read("documents"), read("labels"))
