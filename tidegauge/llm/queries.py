@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import pin_utc
-from . import bpe, decontaminate, licenses, neardup, oracles, quality, secrets, toxicity, wrappers
+from . import bpe, decontaminate, licenses, neardup, oracles, quality, repeats, secrets, sharding, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,13 @@ def _html(read):
 @query("op5_toxicity")
 def _toxicity(read):
     return toxicity.score(read("documents"), read("labels"))
+
+
+@query("op9_repeated_passages")
+def _repeats(read):
+    return repeats.passages(read("documents"))
+
+
+@query("op10_sharding")
+def _sharding(read):
+    return sharding.shard(read("documents"))
