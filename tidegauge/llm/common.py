@@ -15,6 +15,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased: upper-case letters are inside words too.
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_GAP_CHARS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
@@ -39,8 +40,14 @@ def ascii_lower(c: Column) -> Column:
 
 
 def alnum_words(c: Column) -> Column:
-    """The words of a text, not yet lower-cased, as an array."""
-    return F.filter(F.split(c, ALNUM_GAP, -1), lambda w: w != "")
+    """The words of a text, not yet lower-cased, as an array. Trimmed first, so that no empty piece is left to filter."""
+    bare = F.btrim(c, F.lit(_GAP_CHARS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, ALNUM_GAP, -1))
+
+
+def folded(words: Column) -> Column:
+    """Words in the engine's lower case, which folds more than A-Z: equal words stay equal, so it is fit to find candidates."""
+    return F.transform(words, F.lower)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], ddl: list[tuple[str, str]], rows: int = 256) -> DataFrame:

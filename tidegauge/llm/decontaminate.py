@@ -1,8 +1,8 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
 An item's windows are its runs of ten words (an item of fewer words is one window). A window occurs in a text only if all of
-its shingles (word pairs) do, so one of them, the rarest by document frequency over the corpus, is a sufficient prefix.
-Texts are joined to windows on that shingle alone; the window must fit into the text at the relative position (length and
+its one-word shingles do, so one of them, the rarest by document frequency over the corpus, is a sufficient prefix. Texts
+are joined to windows on that shingle alone; the window must fit into the text at the relative position (length and
 positional bounds) and is then verified word by word. DataFrame functions only.
 
 Defined cases: null texts have no words; an item without words has no window; repeated rows of either table get equal
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import alnum_words, ascii_lower, keyed, texts
+from ..session import cut_lineage
+from .common import alnum_words, ascii_lower, folded, keyed, texts
 
 WINDOW = 10
 #: So many different shingles, or windows, go to every task as constants or a broadcast; beyond it they are joined by shuffle.
@@ -32,61 +33,45 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
     return w.select("doc_id", F.unhex(F.md5(F.array_join("words", " "))).alias("wid"), "words").distinct()
 
 
-def shingle(words: Column, i: Column) -> Column:
-    """Fingerprint of the word pair from place i on. Case is folded more than the definition of words does: verifying decides."""
-    return F.xxhash64(F.lower(F.get(words, i)), F.lower(F.get(words, i + 1)))
-
-
-def single(words: Column, i: Column) -> Column:
-    return F.xxhash64(F.lower(F.get(words, i)))
-
-
-def shingles(words: Column) -> Column:
-    """(place, fingerprint) of the pairs of a window; a window of one word has that word."""
-    n = F.size(words)
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.struct(i.alias("place"), F.when(n > 1, shingle(words, i)).otherwise(single(words, i)).alias("shingle")))
-    return pairs
-
+def occurrences(d: DataFrame, wanted: DataFrame, n: int, width: int) -> DataFrame:
+    """(key, n_words, i, shingle, near) of the wanted shingles in rows of (key, words, low); ``near``: the words around place i."""
+    w, low, total = F.col("words"), F.col("low"), F.size("low")
+    few = [r[0] for r in wanted.collect()] if n <= SMALL else None
+    places = F.when(total > 0, F.sequence(F.lit(0), total - 1))
+    if few is not None:
+        places = F.filter(places, lambda i: F.get(low, i).isin(few))
+    found = F.transform(places, lambda i: F.struct(i.alias("i"), F.get(low, i).alias("shingle"), F.slice(w, F.greatest(i - width, F.lit(0)) + 1, 2 * width + 1).alias("near")))
+    out = d.select("key", total.alias("n_words"), F.explode(found).alias("o")).select("key", "n_words", "o.*")
+    return out if few is not None else out.join(wanted, "shingle")
 
-def occurrences(d: DataFrame, wanted: DataFrame, n: int, width: int, near: bool, singles: bool) -> DataFrame:
-    """(key, n_words, i, shingle[, near]) of the wanted shingles in rows of (key, words): ``near`` is the words around place i."""
-    w, total = F.col("words"), F.size("words")
-    few = {r[0] for r in wanted.collect()} if n <= SMALL else None
 
-    def found(fingerprint, last):
-        def one(i):
-            fields = [i.alias("i"), fingerprint(w, i).alias("shingle")]
-            if near:
-                fields.append(F.slice(w, F.greatest(i - width, F.lit(0)) + 1, 2 * width + 1).alias("near"))
-            return F.struct(*fields)
-        places = F.when(last >= 0, F.sequence(F.lit(0), last))
-        if few is not None:
-            places = F.filter(places, lambda i: fingerprint(w, i).isin(*few) if few else F.lit(False))
-        return F.coalesce(F.transform(places, one), F.array())
-    both = found(shingle, total - 2)
-    if singles:
-        both = F.concat(both, found(single, total - 1))
-    out = d.select("key", total.alias("n_words"), F.explode(both).alias("o")).select("key", "n_words", "o.*")
-    return out if few is not None else out.join(wanted, "shingle")
+def document_frequency(d: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(shingle, df): in how many rows of (key, low) each wanted shingle occurs."""
+    held = F.col("low")
+    if n <= SMALL:
+        few = [r[0] for r in wanted.collect()]
+        held = F.filter(held, lambda w: w.isin(few))
+    out = d.select(F.explode(F.array_distinct(held)).alias("shingle"))
+    return (out if n <= SMALL else out.join(wanted, "shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
 
 
 def hits(d: DataFrame, w: DataFrame, width: int = WINDOW) -> DataFrame:
     """(key, start, length, wid) of every occurrence of a window in rows of (key, words)."""
-    w = w.select("wid", "words").distinct()
-    every = w.select("wid", "words", F.explode(shingles(F.col("words"))).alias("s")).select("wid", "words", "s.*")
+    d = d.select("key", "words", folded(F.col("words")).alias("low"))
+    w = cut_lineage(w.select("wid", "words").distinct())
+    places = F.transform("words", lambda x, i: F.struct(F.lower(x).alias("shingle"), i.alias("place")))
+    every = w.select("wid", F.explode(places).alias("s")).select("wid", "s.*")
     wanted = every.select("shingle").distinct()
-    singles = bool(w.where(F.size("words") == 1).head(1))
     n = wanted.count()
-    df = occurrences(d, wanted, n, width, False, singles).select("key", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("df"))
+    df = document_frequency(d, wanted, n)
     if n <= SMALL:
         df = F.broadcast(df)  # at most one row for each wanted shingle
     ranked = every.join(df, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    prefix = ranked.groupBy("wid").agg(F.min_by(F.struct("shingle", "place", "words"), F.struct("df", "shingle", "place")).alias("p")).select("wid", "p.*")
+    prefix = ranked.groupBy("wid").agg(F.min_by(F.struct("shingle", "place"), F.struct("df", "shingle", "place")).alias("p")).select("wid", "p.*")
+    prefix = cut_lineage(prefix.join(w, "wid"))
     rare = prefix.select("shingle").distinct()
-    m = rare.count()
-    o = occurrences(d, rare, m, width, True, singles)
-    n_windows = prefix.count()
-    on = o.join(F.broadcast(prefix) if n_windows <= SMALL else prefix, "shingle")
+    o = occurrences(d, rare, rare.count(), width)
+    on = o.join(F.broadcast(prefix) if prefix.count() <= SMALL else prefix, "shingle")
     start, length = F.col("i") - F.col("place"), F.size("words")
     on = on.where((start >= 0) & (start + length <= F.col("n_words")))
     here = F.least("i", F.lit(width)) - F.col("place")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower, fixed_table, keyed
+from .common import alnum_words, ascii_lower, fixed_table, folded, keyed
 
 
 @dataclass(frozen=True)
@@ -64,9 +64,9 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
 
 
 def document_frequency(d: DataFrame, words: list[str]) -> dict[str, int]:
-    """In how many rows each of the given words occurs: one pass, as many counts as words."""
-    held = F.array_distinct(F.transform(F.filter(alnum_words(F.col("text")), lambda w: F.lower(w).isin(words)), ascii_lower))
-    return {r["w"]: r["count"] for r in d.select(F.explode(held).alias("w")).groupBy("w").count().collect() if r["w"] in set(words)}
+    """In how many rows of (words) each of the given words occurs: one pass, as many counts as words."""
+    held = F.array_distinct(F.filter(folded(F.col("words")), lambda w: w.isin(words)))
+    return {r["w"]: r["count"] for r in d.select(F.explode(held).alias("w")).groupBy("w").count().collect()}
 
 
 def postings(df: dict[str, int], templates=TEMPLATES) -> list[tuple[str, int, int]]:
@@ -88,10 +88,11 @@ def places(d: DataFrame, templates=TEMPLATES) -> DataFrame:
                                   "word string, template int, place int, label string, base boolean, wanted array<string>, key_at int, key_words array<string>")
     rare = sorted({w for w, _, _ in posted})
     # a rare word takes along the words around it, so that nothing else of the text is needed to verify
-    w = F.col("words")
-    around = F.transform(w, lambda x, i: F.when(F.lower(x).isin(rare), F.struct(
-        i.alias("i"), F.transform(F.slice(w, F.greatest(i - REACH, F.lit(0)) + 1, 2 * REACH + 1), ascii_lower).alias("near"))))
-    hits = d.select("key", "n_words", F.explode(F.filter(around, lambda x: x.isNotNull())).alias("h")).select("key", "n_words", "h.*")
+    w, low = F.col("words"), F.col("low")
+    at_rare = F.filter(F.sequence(F.lit(0), F.size(low) - 1), lambda i: F.get(low, i).isin(rare))
+    around = F.transform(F.when(F.size(low) > 0, at_rare), lambda i: F.struct(i.alias("i"), F.transform(F.slice(w, F.greatest(i - REACH, F.lit(0)) + 1, 2 * REACH + 1), ascii_lower).alias("near")))
+    d = d.select("key", "words", folded(w).alias("low"))
+    hits = d.select("key", F.explode(around).alias("h")).select("key", "h.*")
     here = F.least(F.col("i"), F.lit(REACH))
     hits = hits.withColumn("word", F.element_at("near", here + 1))
     on = hits.join(F.broadcast(table), "word")  # one row for each template
@@ -106,13 +107,13 @@ def places(d: DataFrame, templates=TEMPLATES) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row."""
     d = keyed(docs, id_col, text_col)
-    words = d.select("doc_id", "key", "text", alnum_words(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("bigint"))
+    words = d.select("doc_id", "key", alnum_words(F.col("text")).alias("words"))
     found = places(words, templates).distinct()  # repeated rows have equal keys
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     base = F.col("base")
     by = found.groupBy("key").agg(
         F.sum(base.cast("bigint")).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
         joined(F.when(base, F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("score").alias("score"))
-    return words.select("doc_id", "key", "n_words").join(by, "key", "left").select(
+    return words.select("doc_id", "key", F.size("words").cast("bigint").alias("n_words")).join(by, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

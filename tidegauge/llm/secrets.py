@@ -126,9 +126,8 @@ def trigram_query(pattern: str) -> Query:
 
 def postings(d: DataFrame, grams: list[str]) -> DataFrame:
     """(gram, key): which texts hold which of the wanted trigrams. Every text is read whole."""
-    low = F.lower("text")
-    held = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(low, g))
-    return d.select("key", F.explode(held).alias("gram"))
+    low = d.select("key", F.lower("text").alias("low"), F.explode(F.array(*map(F.lit, grams))).alias("gram"))
+    return low.where(F.contains("low", "gram")).select("key", "gram")
 
 
 def candidates(d: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
