@@ -7,7 +7,7 @@ optional, what is repeated in one is repeated, and texts that differ become slot
 done piecewise: each task folds the pages it reads, then each (host, slice) folds what came from the tasks, then each host.
 
 The host's wrapper decides which slots hold the main text: those inside article or main elements, else those that are
-neither furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) nor the same text on every page.
+neither furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) nor the same text wherever they were seen.
 
 Defined cases: a null page is empty, its text is empty; a null URL is the host without a name; cut-off pages, unclosed and
 stray tags are read as browsers do; repeated rows get equal results; pages of any length are read whole; other columns are
@@ -129,9 +129,9 @@ def tree(page: str) -> Node:
 
 
 def expression(node: Node) -> list:
-    """[label, mark, text, children] with neighbouring groups of equal shape (up to three elements long) as one repeated group."""
+    """[label, mark, text, children, for texts: on how many pages] with neighbouring groups of equal shape (up to three elements long) as one repeated group."""
     if node.name == "#":
-        return ["#", "", hashlib.blake2b(node.text.encode(), digest_size=6).hexdigest(), []]
+        return ["#", "", hashlib.blake2b(node.text.encode(), digest_size=6).hexdigest(), [], 1]
     out: list[list] = []
     shapes: list[str] = []
     for child in node.children:
@@ -141,13 +141,18 @@ def expression(node: Node) -> list:
         for k in (1, 2, 3):
             if len(out) >= 2 * k and shapes[-k:] == shapes[-2 * k:-k]:
                 for a, b in zip(out[-2 * k:-k], out[-k:], strict=True):
-                    a[:] = merged(a, b)
+                    a[:] = once(merged(a, b))
                     a[1] = "+"
                 del out[-k:], shapes[-k:]
                 break
     return [node.label, "", None, out]
 
 
+def once(e: list) -> list:
+    """What is repeated within a page is still seen on one page."""
+    return ["#", e[1], e[2], [], 1] if e[0] == "#" else [*e[:3], list(map(once, e[3]))]
+
+
 def shape(e: list) -> str:
     """Structure without marks and texts."""
     return e[0] + ("(" + ",".join(map(shape, e[3])) + ")" if e[3] else "")
@@ -162,7 +167,8 @@ def _mark(*marks: str) -> str:
 
 def merged(a: list, b: list) -> list:
     """The alignment of two expressions with the same label."""
-    return [a[0], _mark(a[1], b[1]), a[2] if a[2] == b[2] else None, aligned(a[3], b[3])]
+    out = [a[0], _mark(a[1], b[1]), a[2] if a[2] == b[2] else None, aligned(a[3], b[3])]
+    return [*out, a[4] + b[4]] if a[0] == "#" else out
 
 
 def aligned(a: list[list], b: list[list]) -> list[list]:
@@ -215,13 +221,14 @@ def is_main(label: str) -> bool:
     return not label.endswith("!") and (label in MAIN or label.endswith("*"))
 
 
-def decisions(wrapper: list, pages: int) -> dict[tuple[str, ...], str]:
-    """What each text slot (the labels down to it) is: main (in a main element), body (elsewhere), or not in the result."""
+def decisions(wrapper: list) -> dict[tuple[str, ...], str]:
+    """What each text slot (the labels down to it) is: main (in a main element), body (elsewhere), all (elsewhere, and the same text
+    wherever it was seen more than once), or not in the result."""
     out: dict[tuple[str, ...], str] = {}
 
     def walk(e: list, path: tuple[str, ...], main: bool, dropped: bool) -> None:
         if e[0] == "#":
-            kind = "" if dropped else "main" if main else "" if e[2] is not None and pages > 1 else "body"
+            kind = "" if dropped else "main" if main else "all" if e[2] is not None and e[4] > 1 else "body"
             out[path] = max(out.get(path, ""), kind)
             return
         main, dropped = main or is_main(e[0]), dropped or furniture(e[0], main) and (main or not holds_main(e))
@@ -232,8 +239,8 @@ def decisions(wrapper: list, pages: int) -> dict[tuple[str, ...], str]:
 
 
 def main_text(root: Node, slots: dict[tuple[str, ...], str]) -> str:
-    """The blocks of the page that lie in main slots; on a page without any, those in body slots."""
-    found: dict[str, list[str]] = {"main": [], "body": [], "": []}
+    """The blocks of the page that lie in main slots; on a page without any, those in body slots; without those too, in the rest."""
+    found: dict[str, list[str]] = {"main": [], "body": [], "all": [], "": []}
 
     def walk(node: Node, path: tuple[str, ...]) -> None:
         if node.name == "#":
@@ -242,7 +249,7 @@ def main_text(root: Node, slots: dict[tuple[str, ...], str]) -> str:
         for c in node.children:
             walk(c, (*path, node.label))
     walk(root, ())
-    return "\n\n".join(found["main"] or found["body"])
+    return "\n\n".join(found["main"] or found["body"] or found["all"])
 
 
 _OUT = pa.schema([("host", pa.string()), ("slice", pa.int32()), ("pages", pa.int64()), ("wrapper", pa.string())])
@@ -300,9 +307,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every row."""
     host = F.lower(F.regexp_extract(F.coalesce(pages[url_col], F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     d = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), host.alias("host"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
-    w = infer(d).select("host", F.col("pages").alias("n"), "wrapper")
+    w = infer(d).select("host", "wrapper")
     # one wrapper a host: a host with very many pages is split on the side of the pages
-    joined = d.join(w.hint("shuffle_hash"), "host").select("page_id", "url", "html", "n", "wrapper")
+    joined = d.join(w.hint("shuffle_hash"), "host").select("page_id", "url", "html", "wrapper")
     ids = d.schema["page_id"].dataType.simpleString()
     schema = pa.schema([("page_id", pa.int64() if ids == "bigint" else pa.int32() if ids == "int" else pa.string()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -310,13 +317,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         known: dict[str, dict] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                i, url, page, n, wrapper = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                i, url, page, wrapper = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 texts = []
-                for p, k, x in zip(page, n, wrapper, strict=True):
+                for p, x in zip(page, wrapper, strict=True):
                     if x not in known:
                         if len(known) > 500:
                             known.clear()
-                        known[x] = decisions(json.loads(x), k)
+                        known[x] = decisions(json.loads(x))
                     texts.append(main_text(tree(p), known[x]))
                 yield pa.RecordBatch.from_arrays([pa.array(i, schema.field(0).type), pa.array(url, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
     return joined.mapInArrow(run, f"page_id {ids}, url string, text string, n_chars bigint")
