@@ -1,5 +1,6 @@
 """Closing, evaluation, evidence, redaction, clustering properties."""
 
+import ipaddress
 import random
 import re
 from datetime import datetime, timedelta
@@ -81,21 +82,43 @@ def test_slices_do_not_lose_long_intervals(spark):
     assert evaluate.overlap_join(p, i, "key", "t", "a", "z", width=3600).count() == 5
 
 
-def brute_redact(texts, known):
-    counts, marks, out = {}, {}, []
-    low = {k.lower(): v for k, v in known.items() if not k.isdigit()}
+def plain_redact(texts, known):
+    """Every place tried by hand: known values first, then shapes, at each position from the left."""
+    low = {k.lower().strip(): v for k, v in known.items() if not k.isdigit()}
+    edge = lambda t, a, z: not (a and (t[a - 1].isalnum() or t[a - 1] in "_.-")) and not (z < len(t) and (t[z].isalnum() or t[z] in "_-" or t[z] == "." and z + 1 < len(t) and (t[z + 1].isalnum() or t[z + 1] == "_")))
+    counts, marks, out, back = {}, {}, [], {}
     for t in texts:
-        spans = redaction.find_spans(t, low)
-        res, pos = "", 0
-        for s in spans:
-            key = (s["kind"], s["norm"])
+        blocked = {i for m in re.finditer(redaction.MARKER, t) for i in range(*m.span())}
+        res, at = "", 0
+        while at < len(t):
+            was = at
+            hits = [(len(k), v) for k, v in low.items() if t[at:at + len(k)].lower() == k and edge(t, at, at + len(k))]
+            if not hits:
+                for kind, p in redaction.SHAPES:
+                    m = re.compile(redaction.BEFORE + p + redaction.AFTER, re.I).match(t, at)
+                    if m and kind in ("IP4", "IP6"):
+                        try:
+                            ipaddress.ip_address(m[0])
+                        except ValueError:
+                            res, at = res + m[0], m.end()  # what only looks like an address is left as a whole
+                            break
+                    if m:
+                        hits.append((len(m[0]), "IP" if kind.startswith("IP") else kind))
+            if at > was:
+                continue
+            hits = [(n, k) for n, k in hits if not blocked & set(range(at, at + n))]
+            if not hits:
+                res, at = res + t[at], at + 1
+                continue
+            n, kind = max(hits)
+            key = (kind, t[at:at + n].lower())
             if key not in marks:
-                counts[s["kind"]] = counts.get(s["kind"], 0) + 1
-                marks[key] = f"[{s['kind']}_{counts[s['kind']]}]"
-            res += t[pos:s["s"]] + marks[key]
-            pos = s["e"]
-        out.append(res + t[pos:])
-    return out
+                counts[kind] = counts.get(kind, 0) + 1
+                marks[key] = f"[{kind}_{counts[kind]}]"
+                back[marks[key]] = t[at:at + n]
+            res, at = res + marks[key], at + n
+        out.append(res)
+    return out, back
 
 
 def test_redaction(spark):
@@ -106,7 +129,7 @@ def test_redaction(spark):
     kn = spark.createDataFrame(list(known.items()), "value string, kind string")
     out, marks = redaction.redact(df, "incident", "seq", "text", kn)
     got = {(r["incident"], r["seq"]): r["text"] for r in out.collect()}
-    assert [got[("inc", i)] for i in range(len(texts))] == brute_redact(texts, known)
+    assert [got[("inc", i)] for i in range(len(texts))] == plain_redact(texts, known)[0]
     assert got[("inc", 0)] == "[ANFITRION_1] talks to [ANFITRION_2] at [IP_1], not 300.1.2.3 nor 12:30:45"
     assert got[("inc", 1)].startswith("[ANFITRION_1] again, web-011 not, ip [IP_2] and [IP_1].") and got[("other", 0)] == "[IP_1]"
     assert "42 stays" in got[("inc", 3)] and "[IP_1] stays" in got[("inc", 3)]
@@ -114,6 +137,20 @@ def test_redaction(spark):
     assert back == texts[0] and not re.search(redaction.MARKER, back)
 
 
+def test_redaction_of_any_characters_and_case(spark):
+    texts = ["Customer#000000001 called nodo-ÑU about Customer#000000002.", "see node one (rack 2), NODE ONE (Rack 2) and customer#000000001x", "2001:db8::1 1::2::3 :1: 10:20:30 ::1 1:2:3:4:5:6:7:8 01.2.3.4 1.2.3.4.",
+             r"a\Eb[x] and Nodo-ñu; /subscriptions/123e4567-e89b-12d3-a456-426614174000/x", "[ID_9] Customer#000000002[IP_1]"]
+    known = {"Customer#000000001": "ID", "Customer#000000002": "ID", "nodo-ñu": "ANFITRION", "node one (rack 2)": "ACTIVO", r"a\Eb[x]": "ID", "node": "ACTIVO"}
+    df = spark.createDataFrame([("inc", i, t) for i, t in enumerate(texts)] + [("inc", 9, None)], "incident string, seq int, text string")
+    out, marks = redaction.redact(df, "incident", "seq", "text", spark.createDataFrame(list(known.items()), "value string, kind string"))
+    want, back = plain_redact(texts, known)
+    got = {r["seq"]: r["text"] for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == want and got[9] is None
+    assert want[0] == "[ID_1] called [ANFITRION_1] about [ID_2]." and want[1].startswith("see [ACTIVO_1], [ACTIVO_1] and customer#")
+    assert {r["marker"]: r["value"] for r in marks.collect()} == back and back["[ANFITRION_1]"] == "nodo-ÑU"
+    assert redaction.restore(out.where("seq = 0"), "incident", "seq", "text", marks).first()["text"] == texts[0]
+
+
 def test_evidence_windows_and_summary(spark):
     inc = spark.createDataFrame([("1", "A", "m", at(100), at(120)), ("2", "A", "m", at(100), None)], "anomaly_id string, asset_id string, metric string, start timestamp, end timestamp")
     w = {r["anomaly_id"]: r for r in evidence.windows(inc, F.lit(at(1000))).collect()}

@@ -1,16 +1,19 @@
-"""Replacing identifiers in texts by stable numbered markers."""
+"""Replacing identifiers in texts by stable numbered markers.
 
-from __future__ import annotations
+All of it is DataFrame work. Known values are found through their rarest word: the words of a text meet the known values that
+hold such a word, and only these values are searched in the text, whatever characters they consist of. Shapes of
+identifiers are searched in every text. Of places that overlap, the one that starts first counts, a known value before a
+shape, a longer one before a shorter one; a place that touches an existing marker never counts.
+"""
 
-import ipaddress
-import re
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators.ordered import with_position
+from ..session import cut_lineage
 
 # ---- fixed values: marker kinds and the shapes that are recognised, first match at a place wins
 MARKER = r"\[(?:ACTIVO|ANFITRION|ID|IP)_\d+\]"
@@ -26,98 +29,118 @@ SHAPES = [
 BEFORE, AFTER = r"(?<![\w.-])", r"(?![\w-]|\.\w)"
 # ---- end of fixed values
 
-WORD_RUN = r"((?:[\w-]|[.:/](?=[\w-]))+)"
-SPAN = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()),
-                                 T.StructField("kind", T.StringType()), T.StructField("norm", T.StringType())]))
-_SHAPED = [f"(?P<s{i}>{BEFORE}{p}{AFTER})" for i, (_, p) in enumerate(SHAPES)]
-
-
-def _valid(kind: str, text: str) -> str | None:
-    if kind == "IP6":
-        test = lambda: ipaddress.IPv6Address(text.split("%")[0])
-    elif kind == "IP4":
-        test = lambda: ipaddress.IPv4Address(text)
-    else:
-        return kind
-    try:
-        test()
-    except ValueError:
-        return None
-    return "IP"
-
-
-def find_spans(text: str, known: dict[str, str]) -> list[dict]:
-    """Identifier places in one text: known values (longest first), then shapes; existing markers are left alone."""
-    names = sorted(known, key=len, reverse=True)
-    parts = ([f"(?P<known>{BEFORE}(?:{'|'.join(map(re.escape, names))}){AFTER})"] if names else []) + _SHAPED
-    pattern = re.compile("|".join(parts), re.IGNORECASE)
-    out, at = [], 0
-    marks = [m.span() for m in re.finditer(MARKER, text)] + [(len(text), len(text))]
-    for a, z in marks:
-        for m in pattern.finditer(text[at:a]):
-            hit = m.group(0)
-            kind = known[hit.lower()] if m.lastgroup == "known" else _valid(SHAPES[int(m.lastgroup[1:])][0], hit)
-            if kind and hit:
-                out.append({"s": at + m.start(), "e": at + m.end(), "kind": kind, "norm": hit.lower()})
-        at = z
-    return out
-
-
-@F.pandas_udf(SPAN)
-def _spans(text: pd.Series, names: pd.Series, kinds: pd.Series) -> pd.Series:
-    return pd.Series([find_spans(t or "", dict(zip(n, k)) if n is not None else {}) for t, n, k in zip(text, names, kinds)])
-
-
-def _known_hits(texts: DataFrame, keys: list[str], text: str, known: DataFrame) -> DataFrame:
-    """The known values that occur in each text, through an equi join of its words.
-
-    Every run of word characters and its pieces cut at ``:`` and ``/`` are
-    words, so host names, ids and native keys are all found; the exact
-    boundaries are checked again where the text is searched.
-    """
-    low = known.select(F.lower(F.trim("value")).alias("word"), F.upper("kind").alias("kind")).where("word <> '' and not word rlike '^[0-9]+$'")
-    low = low.groupBy("word").agg(F.min("kind").alias("kind")).withColumn(
-        "kind", F.when(F.col("kind").isin("ACTIVO", "ANFITRION", "ID", "IP"), F.col("kind")).otherwise("ID"))
-    runs = F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), F.lit(1))
-    words = texts.select(*keys, F.explode(F.array_distinct(F.concat(runs, F.flatten(F.transform(runs, lambda x: F.split(x, "[:/]")))))).alias("word"))
-    return words.join(low, "word").groupBy(*keys).agg(F.collect_list("word").alias("_names"), F.collect_list("kind").alias("_kinds"))
+KINDS = ("ACTIVO", "ANFITRION", "ID", "IP")
+#: Case and letters of any script; a known value stands as it is.
+FLAGS = "(?iuU)"
+WORD = r"[\p{L}\p{N}]+"
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+PLACE = "array<struct<before:int,hit:string>>"
+
+
+def _places(text: Column, pattern: Column) -> Column:
+    """Every match, in order, with the length of the text since the match before it."""
+    before = F.transform(F.split(text, pattern, -1), F.length)
+    both = F.arrays_zip(before.alias("before"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
+    return F.filter(both, lambda z: z["hit"].isNotNull()).cast(PLACE)
+
+
+def _offsets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``places`` exploded to (s, e, hit): code points from 0, end exclusive; ``keys`` name one search of one text."""
+    x = rows.select(*keys, F.posexplode("places").alias("_n", "_p")).select(*keys, "_n", "_p.*")
+    upto = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("e", F.sum(F.col("before") + F.length("hit")).over(upto).cast("int"))
+    return x.select(*keys, (F.col("e") - F.length("hit")).alias("s"), "e", "hit")
+
+
+def is_ipv4(c: Column) -> Column:
+    return c.rlike(f"^{OCTET}([.]{OCTET}){{3}}$")
+
+
+def is_ipv6(c: Column) -> Column:
+    """Eight groups, or fewer around one gap; a zone may follow."""
+    a = F.lower(F.substring_index(c, "%", 1))
+    full = a.rlike("^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$")
+    gaps = F.length(a) - F.length(F.replace(a, F.lit("::"), F.lit("")))
+    short = (gaps == 2) & ~a.contains(":::") & ~a.rlike("^:[^:]|[^:]:$") & a.rlike("^([0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}$")
+    return full | short
+
+
+def shaped(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, s, e, hit, kind) of identifiers by shape, and of existing markers (kind null), in the column ``_t``."""
+    every = [*[(k, f"{FLAGS}{BEFORE}{p}{AFTER}") for k, p in SHAPES], ("", MARKER)]
+    found = F.array(*[F.struct(F.lit(k).alias("shape"), F.lit(i).alias("nth"), _places(F.col("_t"), F.lit(p)).alias("places")) for i, (k, p) in enumerate(every)])
+    x = texts.select(*keys, F.explode(found).alias("f")).select(*keys, "f.*").where(F.size("places") > 0)
+    x = _offsets(x, [*keys, "shape", "nth"])
+    ok = F.when(F.col("shape") == "IP4", is_ipv4(F.col("hit"))).when(F.col("shape") == "IP6", is_ipv6(F.col("hit"))).otherwise(True)
+    kind = F.when(F.col("shape").startswith("IP"), "IP").when(F.col("shape") != "", F.col("shape"))
+    return x.where(ok).select(*keys, "s", "e", "hit", kind.alias("kind"), F.lit(1).alias("rank"))
+
+
+def known_values(known: DataFrame) -> DataFrame:
+    """(word, value, kind): each value in lower case under the word of it that the fewest values have."""
+    low = known.select(F.lower(F.trim("value")).alias("value"), F.upper("kind").alias("kind")).where("not value rlike '^[0-9]*$'")
+    low = low.groupBy("value").agg(F.min("kind").alias("kind")).withColumn("kind", F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("ID"))
+    words = low.select("value", "kind", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(f"({WORD})"), F.lit(1)))).alias("word"))
+    held = words.groupBy("word").agg(F.count("*").alias("n"))
+    return words.join(held, "word").groupBy("value", "kind").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+
+
+def named(texts: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
+    """(keys, s, e, hit, kind) of the known values in the column ``_t``."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(f"({WORD})"), F.lit(1)))
+    asked = texts.select(*keys, F.explode(words).alias("word")).join(known_values(known), "word").drop("word")
+    quoted = F.concat(F.lit("\\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.concat(F.lit(FLAGS + BEFORE), quoted, F.lit(AFTER))
+    x = asked.join(texts, keys).select(*keys, "value", "kind", _places(F.col("_t"), pattern).alias("places")).where(F.size("places") > 0)
+    return _offsets(x, [*keys, "value", "kind"]).select(*keys, "s", "e", "hit", "kind", F.lit(0).alias("rank"))
+
+
+def identifiers(texts: DataFrame, keys: list[str], text: str, known: DataFrame) -> DataFrame:
+    """(keys, s, e, kind, norm, value): the places that count. One text's places meet in one row; they are no longer than it."""
+    t = texts.select(*keys, F.coalesce(text, F.lit("")).alias("_t"))
+    every = shaped(t, keys).unionByName(named(t, keys, known))
+    one = F.struct("s", "rank", (-F.col("e")).alias("far"), "e", "kind", "hit")
+    g = every.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("all"))
+    free = F.filter("all", lambda x: x["kind"].isNotNull() & ~F.exists("marks", lambda m: (m["s"] < x["e"]) & (x["s"] < m["e"])))
+    g = g.withColumn("marks", F.filter("all", lambda x: x["kind"].isNull())).withColumn("free", free)
+    none = F.filter("free", lambda x: F.lit(False))
+    last = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1))["e"], F.lit(0))
+    kept = F.aggregate("free", none, lambda kept, x: F.when(x["s"] >= last(kept), F.array_append(kept, x)).otherwise(kept))
+    return g.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.s", "x.e", "x.kind", F.lower("x.hit").alias("norm"), F.col("x.hit").alias("value"))
 
 
 def redact(texts: DataFrame, incident: str, seq: str, text: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts with markers, and ``incident, marker, norm`` to restore them.
+    """Texts with markers, and ``incident, marker, norm, value`` to restore them.
 
     The number of a marker follows the first place of its value inside the
-    incident. ``(incident, seq)`` names one text. A long incident is numbered
-    by position over slices of its texts, so it is never in one task.
+    incident, and ``value`` is spelled as it is there. ``(incident, seq)``
+    names one text. A long incident is numbered by position over slices of its
+    texts, so it is never in one task.
     """
     keys = [incident, seq]
-    hits = _known_hits(texts, keys, text, known)
-    none = F.array().cast("array<string>")
-    t = texts.join(hits, keys, "left").withColumn("_spans", _spans(F.col(text), F.coalesce("_names", none), F.coalesce("_kinds", none)))
-    found = t.select(*keys, F.explode("_spans").alias("x")).select(*keys, "x.*")
-    first = found.groupBy(incident, "kind", "norm").agg(F.min(F.struct(F.col(seq).alias("q"), F.col("s").alias("s"))).alias("f")).select(
-        incident, "kind", "norm", F.col("f.q").alias("_q"), F.col("f.s").alias("_s"))
+    found = cut_lineage(identifiers(texts, keys, text, known))
+    first = found.groupBy(incident, "kind", "norm").agg(F.min(F.struct(F.col(seq).alias("q"), "s", "value")).alias("f")).select(
+        incident, "kind", "norm", F.col("f.q").alias("_q"), F.col("f.s").alias("_s"), "f.value")
     numbered = with_position(first, [incident, "kind"], "_q", 0, ["_s", "norm"], bucket=F.floor(F.col("_q") / 256))
-    marks = numbered.select(incident, "kind", "norm", F.concat(F.lit("["), "kind", F.lit("_"), F.col("pos").cast("string"), F.lit("]")).alias("marker"))
-    placed = found.join(marks, [incident, "kind", "norm"]).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("s", "e", "marker"))).alias("_m"))
+    marks = numbered.select(incident, "kind", "norm", "value", F.concat(F.lit("["), "kind", F.lit("_"), F.col("pos").cast("string"), F.lit("]")).alias("marker"))
+    placed = found.drop("value").join(marks, [incident, "kind", "norm"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s", "e", "marker"))).alias("_m"))
     j = texts.join(placed, keys, "left")
     m = F.col("_m")
     start_of = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(m, i)["e"])
     pieces = F.transform(m, lambda x, i: F.concat(F.substring(F.col(text), start_of(i) + 1, x["s"] - start_of(i)), x["marker"]))
     tail = F.substring(F.col(text), F.try_element_at(m, F.lit(-1))["e"] + 1, F.length(text))
     out = F.when(m.isNull(), F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    return j.select(*[c for c in texts.columns if c != text], out.alias(text)), marks.select(incident, "marker", "norm")
+    return j.select(*[c for c in texts.columns if c != text], out.alias(text)), marks.select(incident, "marker", "norm", "value")
 
 
 def restore(texts: DataFrame, incident: str, seq: str, text: str, mapping: DataFrame) -> DataFrame:
     """Markers back to values; a marker that is not in the map stays."""
     marks = texts.select(incident, seq, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({MARKER})"), F.lit(1)))).alias("marker"))
     hits = marks.join(mapping, [incident, "marker"]).groupBy(incident, seq).agg(
-        F.collect_set(F.struct("marker", "norm")).alias("_m"))
+        F.collect_set(F.struct("marker", "value")).alias("_m"))
     j = texts.join(hits, [incident, seq], "left")
-    back = F.aggregate(F.coalesce("_m", F.array().cast("array<struct<marker:string,norm:string>>")), F.col(text),
-                       lambda s, x: F.replace(s, x["marker"], x["norm"]))
+    back = F.aggregate(F.coalesce("_m", F.array().cast("array<struct<marker:string,value:string>>")), F.col(text),
+                       lambda s, x: F.replace(s, x["marker"], x["value"]))
     return j.select(*[c for c in texts.columns if c != text], back.alias(text))
 
 
