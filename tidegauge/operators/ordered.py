@@ -17,6 +17,22 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 4096
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows by (keys, bucket), dealt once: the sums of the buckets and the rows themselves both read this exchange."""
+    return df.repartition(*keys, "_b")
+
+
+def _seal(columns: list[str]) -> Column:
+    """An aggregate over all columns. It keeps the optimizer from pruning the branch of the bucket sums, whose exchange would
+    then differ from that of the rows, so that the input would be read twice in every layer."""
+    return F.any_value(F.struct(*columns)).alias("_seal")
+
+
+def _sealed(value: Column) -> Column:
+    """``value``; the seal of a bucket is never null."""
+    return F.when(F.col("_seal").isNotNull(), value)
+
+
 def with_position(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int, ties: list[str] | None = None,
                   bucket: Column | None = None) -> DataFrame:
     """Adds ``pos``: the 1-based place of the row in its series.
@@ -25,8 +41,9 @@ def with_position(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int,
     must not fall as the order rises.
     """
     ties = ties or []
-    cut = df.withColumn("_b", F.floor(F.unix_seconds(F.col(ts)) / bucket_seconds) if bucket is None else bucket)
-    counts = cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    cut = _dealt(df.withColumn("_b", F.floor(F.unix_seconds(F.col(ts)) / bucket_seconds) if bucket is None else bucket), keys)
+    counts = cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), _seal(cut.columns))
+    counts = counts.select(*keys, "_b", _sealed(F.col("_n")).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*keys, "_b").orderBy(ts, *ties)
@@ -73,8 +90,8 @@ def running_sum(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int, va
                 ties: list[str] | None = None) -> DataFrame:
     """Cumulative sum per series: bucket totals accumulate first, rows add inside their bucket."""
     value = F.col(value) if isinstance(value, str) else value
-    cut = df.withColumn("_v", value).withColumn("_b", F.floor(F.unix_seconds(F.col(ts)) / bucket_seconds))
-    totals = cut.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
+    cut = _dealt(df.withColumn("_v", value).withColumn("_b", F.floor(F.unix_seconds(F.col(ts)) / bucket_seconds)), keys)
+    totals = cut.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"), _seal(cut.columns)).select(*keys, "_b", _sealed(F.col("_t")).alias("_t"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(*keys, "_b").orderBy(ts, *(ties or [])).rowsBetween(W.unboundedPreceding, 0)
@@ -86,11 +103,12 @@ def running_sum(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int, va
 
 def filled(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int, columns: list[str]) -> DataFrame:
     """Forward fill, then backward fill, per series."""
-    cut = df.withColumn("_b", F.floor(F.unix_seconds(F.col(ts)) / bucket_seconds))
+    cut = _dealt(df.withColumn("_b", F.floor(F.unix_seconds(F.col(ts)) / bucket_seconds)), keys)
     known = {c: F.when(F.col(c).isNotNull(), F.col(ts)) for c in columns}
     edge = cut.groupBy(*keys, "_b").agg(
         *[F.max_by(c, known[c]).alias(f"_l_{c}") for c in columns],
-        *[F.min_by(c, known[c]).alias(f"_f_{c}") for c in columns])
+        *[F.min_by(c, known[c]).alias(f"_f_{c}") for c in columns], _seal(cut.columns))
+    edge = edge.select(*keys, "_b", *[_sealed(F.col(c)).alias(c) for c in edge.columns if c[:3] in ("_l_", "_f_")])
     past = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     future = W.partitionBy(*keys).orderBy("_b").rowsBetween(1, W.unboundedFollowing)
     edge = edge.select(*keys, "_b",
