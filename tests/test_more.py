@@ -116,3 +116,37 @@ def test_nested_values_and_bytes(spark):
     a, b = otlp.log_rows(df, F.lit(datetime(2030, 1, 1, tzinfo=timezone.utc))).collect()
     assert (a["body"], a["trace_id"], a["attributes"], a["time_ns"]) == ("0102", "ab", {"k": "5", "e": ""}, 1704067200000000001)
     assert b["body"] == '["a\\"b", 1, false]' and b["ts"] == T0
+
+
+def test_invoices_of_any_width_with_line_ends_in_quotes(spark):
+    from tidegauge.sources import files
+    head = [f"extra{i}" for i in range(60)] + ["Description", "USD", "start", "end", "product"]
+    line = [""] * 60 + ['"two\nlines, ""quoted"""', '"$1,234.50"', "2024-01-01", "2024-01-31", '""']
+    text = ",".join(head) + "\r\n" + ",".join(line) + "\n" + ",".join([""] * 65) + "\n"
+    f = spark.createDataFrame([("a.csv", bytearray(text.encode()), "d1", len(text)), ("b.csv", bytearray(b"x"), "d2", 5_000_000)], "file string, content binary, digest string, bytes bigint")
+    charges, refused = files.invoice_charges(f)
+    r = charges.collect()
+    assert [(x["description"], float(x["amount"]), x["line"]) for x in r] == [('two\nlines, "quoted"', 1234.5, 2)]
+    assert [(x["file"], x["reason"]) for x in refused.collect()] == [("b.csv", "file over 2 MB")]
+    assert [x["file"] for x in files.invoice_charges(f, max_lines=0)[1].where("reason = 'too many lines'").collect()] == ["a.csv"]
+
+
+def test_span_tree_of_any_depth_and_cycles(spark):
+    from tidegauge.operators import logs
+    n = 1500
+    rows = [("t", f"s{i}", f"s{i - 1}" if i else "", i) for i in range(n)] + [("t", "x", "y", 1), ("t", "y", "x", 2), ("u", "z", "s3", 1)]
+    sp = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, n int").withColumn("start_ts", F.timestamp_seconds("n"))
+    got = {(r["trace_id"], r["span_id"]): r["level"] for r in logs.span_tree(sp).select("trace_id", "span_id", "level").collect()}
+    assert got == {("t", f"s{i}"): i for i in range(n)} | {("u", "z"): 0}
+
+
+def test_layers_of_ordered_rows_read_the_input_once(spark, folder):
+    import re
+
+    from tidegauge.operators.ordered import with_position
+    spark.range(2000).selectExpr("id % 3 as k", "timestamp_seconds(id * 7) as ts", "cast(id as double) as value").write.parquet(f"{folder}/in")
+    d = with_position(spark.read.parquet(f"{folder}/in"), ["k"], "ts", 3600)
+    rows = sorted((r["k"], r["ts"], r["pos"]) for r in d.collect())
+    assert [p for _, _, p in rows] == [i + 1 for k in range(3) for i in range(sum(x[0] == k for x in rows))]
+    plan = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall("FileScan", plan)) == 1 and "ReusedExchange" in plan

@@ -145,3 +145,16 @@ def test_ingest_job_counts_every_row_and_repeats_safely(spark, folder):
     moved, hours, by_hand = ingest.associate(ingest.read_points(spark, paths), orphans, keys)
     assert moved.where("asset_id = 'A2'").count() == 10 and moved.count() == 30 and hours.count() == 1 and by_hand.count() == 0
     spark.streams.removeListener(log)
+    # all of it came too late for the stream: the queue names its hour once, and a second pass has nothing to do
+    hours = ingest.run_redo(spark, paths).collect()
+    assert [(r["metric"], r["hour"]) for r in hours] == [("load", T0)]
+    again = spark.read.parquet(paths.points_1m)
+    assert again.agg(F.sum("value_count")).first()[0] == 30 and spark.read.parquet(paths.points_1h).agg(F.sum("value_count")).first()[0] == 30
+    assert ingest.run_redo(spark, paths).count() == 0
+    # a later batch sends two samples again with other values: they replace, also in the summaries
+    with open(f"{folder}/inbox/b.json", "w") as f:
+        f.write("\n".join(x.replace('"asDouble": 4.0', '"asDouble": 400.0').replace('"asDouble": 5.0', '"asDouble": 500.0') for x in list(otlp_lines(30))[4:6]))
+    ingest.start_metrics(spark, f"{folder}/inbox", paths, available_now=True).awaitTermination()
+    assert ingest.read_points(spark, paths).count() == 30
+    assert ingest.run_redo(spark, paths).count() == 1
+    assert spark.read.parquet(paths.points_1m).agg(F.max("value_max")).first()[0] == 500.0 and spark.read.parquet(paths.points_1m).agg(F.sum("value_count")).first()[0] == 30

@@ -17,21 +17,22 @@ def resolve(df: DataFrame, keys: DataFrame, attrs: str = "attrs", default_servic
     """J1 + P5: the six tags of a resource, ``orphan``, and the key that was used.
 
     The first native key that the catalogue knows decides; when none does, the
-    first one that is present is reported. Rows that share a resource repeat
-    the same attributes, so the lookup runs on the distinct key values and the
-    large side is joined once per key. The planner broadcasts the catalogue
-    while it is under the session's size limit and shuffles it otherwise.
+    first one that is present is reported. Resources repeat: their distinct key
+    values are looked up in one join, and the hits go back to the rows by
+    resource. Rows without any key match nothing; they are spread instead of
+    meeting in one task.
     """
     a = F.col(attrs)
-    out = df
-    for i, name in enumerate(NATIVE_KEYS):
-        k = keys.select(F.col("key").alias(f"_k{i}"), F.col("asset_id").alias(f"_a{i}"))
-        out = out.join(k, a[name] == k[f"_k{i}"], "left")
-    hit = [F.when(F.col(f"_a{i}").isNotNull(), F.struct(F.lit(n).alias("name"), a[n].alias("value"), F.col(f"_a{i}").alias("asset")))
-           for i, n in enumerate(NATIVE_KEYS)]
+    values = F.array(*[a[n] for n in NATIVE_KEYS])
+    name = lambda i: F.element_at(F.array(*map(F.lit, NATIVE_KEYS)), i + 1)
+    keyed = df.withColumn("_res", F.when(F.coalesce(*[a[n] for n in NATIVE_KEYS]).isNotNull(), F.to_json(values)))
+    known = keyed.where("_res is not null").select("_res", values.alias("_v")).distinct().select("_res", F.posexplode("_v").alias("_i", "_key")).where("_key is not null")
+    hit = known.join(keys.select(F.col("key").alias("_key"), "asset_id"), "_key").groupBy("_res").agg(
+        F.min_by(F.struct(name(F.col("_i")).alias("name"), F.col("_key").alias("value"), F.col("asset_id").alias("asset")), F.col("_i")).alias("_hit"))
+    out = keyed.withColumn("_res", F.coalesce("_res", F.concat(F.lit("~"), F.spark_partition_id().cast("string")))).join(hit, "_res", "left")
     present = [F.when(a[n].isNotNull(), F.struct(F.lit(n).alias("name"), a[n].alias("value"),
                                                  F.lit(None).cast("string").alias("asset"))) for n in NATIVE_KEYS]
-    out = out.withColumn("_id", F.coalesce(*hit, *present))
+    out = out.withColumn("_id", F.coalesce("_hit", *present))
     tags = {t: fill_tag(a[src]) for t, src in TAG_ATTRIBUTE.items()}
     tags["service_name"] = fill_tag(a[TAG_ATTRIBUTE["service_name"]], default_service)
     return out.select(*df.columns, F.coalesce("_id.asset", F.lit(UNRESOLVED)).alias("asset_id"),

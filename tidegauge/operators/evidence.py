@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.values import significant
 from . import logs as L
 from .evaluate import overlap_join
+from .series import every, peaks
 
 # ---- fixed values
 MAX_POINTS, MAX_RELATED, MAX_LOGS, MAX_TRACES, MAX_PAIRS = 180, 3, 50, 20, 50
@@ -98,7 +99,7 @@ def evidence(incidents: DataFrame, points: DataFrame, logs: DataFrame, spans: Da
         F.collect_list(F.struct("end_ts", "trace_id", "root", "spans", "errors")), False).alias("error_traces"))
     so = sp.where("trace_id <> '' and span_id <> ''").select("anomaly_id", "trace_id", "span_id", F.col("name").alias("operation"),
                                                              F.col("status").alias("span_status"), "duration_ns")
-    pairs = L.error_rows(_top_per_incident(lg.join(so, ["anomaly_id", "trace_id", "span_id"], "left"), [F.desc("ts"), "body"], MAX_PAIRS * 4))
+    pairs = L.error_rows(lg.join(so, ["anomaly_id", "trace_id", "span_id"], "left"))
     pa = _top_per_incident(pairs, [F.desc("ts"), "body"], MAX_PAIRS).groupBy("anomaly_id").agg(F.sort_array(
         F.collect_list(F.struct("ts", "service_name", "operation", "span_status", "body")), False).alias("correlation"))
     counts = L.window_counts(lg, sp, ["anomaly_id"]).withColumnRenamed("error_logs", "error_log_count")
@@ -110,18 +111,31 @@ def evidence(incidents: DataFrame, points: DataFrame, logs: DataFrame, spans: Da
 
 
 def compact(records: DataFrame, points: DataFrame, ts: str = "bucket") -> DataFrame:
-    """a small JSON text per incident: caps on points, logs, traces, pairs and text, 4 significant digits."""
+    """a small JSON text per incident: caps on points, logs, traces, pairs and text, 4 significant digits.
+
+    The points are every third of 180 peaks of the whole window, so its end is
+    as well covered as its start. Parts without rows are empty lists.
+    """
     cut = lambda c: F.substring(c, 1, PACK_TEXT)
-    pts = points.groupBy("anomaly_id").agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), significant(F.col("value")).alias("v")))).alias("puntos"))
+    few = every(peaks(points, ["anomaly_id"], ts, "value", MAX_POINTS), ["anomaly_id"], ts, PACK_POINTS)
+    pts = few.groupBy("anomaly_id").agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), significant(F.col("value")).alias("v")))).alias("puntos"))
     j = records.join(pts, "anomaly_id", "left")
+    had = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
+    four = lambda c: significant(F.col(f"affected.{c}")).alias(c)
+    logs = F.transform(F.slice("error_logs", 1, PACK_LOGS), lambda x: F.struct(
+        x["ts"].alias("momento"), x["service_name"].alias("servicio"), x["severity"].alias("severidad"), cut(x["body"]).alias("cuerpo")))
+    traces = F.transform(F.slice("error_traces", 1, PACK_TRACES), lambda x: F.struct(
+        x["trace_id"].alias("traza"), x["root"].alias("operacion"), x["end_ts"].alias("fin"), x["spans"].alias("tramos"), x["errors"].alias("errores")))
+    pairs = F.transform(F.slice("correlation", 1, PACK_PAIRS), lambda x: F.struct(
+        x["ts"].alias("momento"), x["service_name"].alias("servicio"), x["operation"].alias("operacion"), x["span_status"].alias("estado"), cut(x["body"]).alias("cuerpo")))
     pack = F.struct(
-        F.col("anomaly_id").alias("incidente"), F.col("metric").alias("metrica"), F.slice("puntos", 1, PACK_POINTS).alias("puntos"),
-        F.transform(F.slice("error_logs", 1, PACK_LOGS), lambda x: F.struct(x["ts"].alias("momento"), cut(x["body"]).alias("cuerpo"))).alias("registros_error"),
-        F.slice("error_traces", 1, PACK_TRACES).alias("trazas_error"),
-        F.transform(F.slice("correlation", 1, PACK_PAIRS), lambda x: F.struct(x["ts"].alias("momento"), x["operation"].alias("operacion"),
-                                                                              cut(x["body"]).alias("cuerpo"))).alias("correlacion"),
+        F.col("anomaly_id").alias("incidente"), F.col("asset_id").alias("activo"), F.col("metric").alias("metrica"), had("severity").alias("severidad"), had("score").alias("puntuacion"),
+        had("model_version").alias("metodo"), F.col("start").alias("inicio"), F.col("end").alias("fin"),
+        F.struct(F.col("metrics_from").alias("desde"), F.col("until").alias("hasta"), F.col("logs_from").alias("registros_desde")).alias("ventana"),
+        F.struct(four("before_median"), four("during_median"), four("during_min"), four("during_max"), four("change_abs"), four("change_rel")).alias("resumen"),
+        F.coalesce("puntos", F.array()).alias("puntos"), F.coalesce(logs, F.array()).alias("registros_error"), F.coalesce(traces, F.array()).alias("trazas_error"), F.coalesce(pairs, F.array()).alias("correlacion"),
         F.struct("logs", "error_log_count", "spans", "error_spans").alias("conteos"), F.col("missing").alias("no_recuperado"))
-    return j.select("anomaly_id", F.to_json(pack).alias("pack"))
+    return j.select("anomaly_id", F.to_json(pack, {"ignoreNullFields": "false"}).alias("pack"))
 
 
 CITATION = "array<struct<metrica:string,desde:string,hasta:string,observacion:string>>"

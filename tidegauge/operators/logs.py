@@ -82,33 +82,28 @@ def spans_in_order(spans: DataFrame, trace_id: str, limit: int = 5000) -> DataFr
     return spans.where(F.col("trace_id") == trace_id).orderBy("start_ts", F.col("parent_id") != "", "span_id").limit(limit)
 
 
-def span_tree(spans: DataFrame, depth_limit: int = 1000) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """``level`` and ``path`` of every span; ordering by path is the depth-first order.
 
-    A span whose parent is not in its trace is a root. Each level is one equi
-    join on (trace, parent), so traces are never gathered and a very long trace
-    spreads over the tasks. The loop is over levels, not rows; a recursive query
-    would stop at its row limit.
+    A span whose parent is not in its trace is a root. Every span points to an
+    ancestor, and each round follows the ancestor's own pointer, so a tree of
+    any depth d takes log2(d) rounds of one equi join on (trace, span); traces
+    are never gathered. Spans in a cycle of parents have no root and no row.
     """
     cols = spans.select("trace_id", "span_id", "parent_id", "start_ts")
     ids = cols.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"))
-    known = cols.join(ids, (cols["trace_id"] == ids["_t"]) & (cols["parent_id"] == ids["_s"]), "left").select(
-        "trace_id", "span_id", F.when(F.col("_s").isNull(), "").otherwise(F.col("parent_id")).alias("parent"),
-        F.concat(F.lpad(F.unix_micros("start_ts").cast("string"), 20, "0"), F.lit("/"), "span_id").alias("step"))
-    # every level reads this again, so it is written once
-    known = cut_lineage(known)
-    level = known.where("parent = ''").select("trace_id", "span_id", F.lit(0).alias("level"), F.array("step").alias("path"))
-    tree, depth = level, 0
-    while True:
-        above = level.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("parent"), F.col("path").alias("_p"))
-        depth += 1
-        level = cut_lineage(known.join(above, (F.col("trace_id") == F.col("_t")) & (known["parent"] == above["parent"])).select(
-            "trace_id", "span_id", F.lit(depth).alias("level"), F.array_append("_p", F.col("step")).alias("path")))
-        if level.isEmpty():
-            return tree
-        if depth > depth_limit:
-            raise ValueError(f"spans nested deeper than {depth_limit} levels")
-        tree = tree.unionByName(level)
+    step = F.concat(F.lpad(F.unix_micros("start_ts").cast("string"), 20, "0"), F.lit("/"), "span_id")
+    tree = cut_lineage(cols.join(ids, (cols["trace_id"] == ids["_t"]) & (cols["parent_id"] == ids["_s"]), "left").select(
+        "trace_id", "span_id", F.when(F.col("_s").isNotNull(), F.col("parent_id")).alias("above"), F.array(step).alias("path")))
+    left = tree.where("above is not null").count()
+    while left:
+        up = tree.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("above").alias("_a"), F.col("path").alias("_p"))
+        j = tree.join(up, (tree["trace_id"] == up["_t"]) & (tree["above"] == up["_s"]), "left")
+        tree = cut_lineage(j.select("trace_id", "span_id", F.col("_a").alias("above"), F.when(F.col("_s").isNull(), F.col("path")).otherwise(F.concat("_p", "path")).alias("path")))
+        was, left = left, tree.where("above is not null").count()
+        if left == was:
+            break
+    return tree.where("above is null").select("trace_id", "span_id", (F.size("path") - 1).alias("level"), "path")
 
 
 def gantt(spans: DataFrame) -> DataFrame:

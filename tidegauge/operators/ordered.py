@@ -18,8 +18,12 @@ CHUNK_ROWS = 4096
 
 
 def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows by (keys, bucket), dealt once: the sums of the buckets and the rows themselves both read this exchange."""
-    return df.repartition(*keys, "_b")
+    """The rows by (keys, bucket), dealt once: the sums of the buckets and the rows themselves both read this exchange.
+
+    Rows without a time have no place. They go here, on both branches alike; the
+    join would drop them on one of them only.
+    """
+    return df.where("_b is not null").repartition(*keys, "_b")
 
 
 def _seal(columns: list[str]) -> Column:

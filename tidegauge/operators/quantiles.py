@@ -2,8 +2,7 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer.
 That is right for frames and incidents, whose size is bounded, and wrong for
-"all rows of an asset". The largest group is therefore counted first: while it
-is small the built-in is used. Beyond that a mergeable sketch first brackets the wanted rank;
+"all rows of an asset". Here a mergeable sketch first brackets the wanted rank;
 its error bound is known, so the rank cannot lie outside. Only the values
 inside the bracket are then counted and ordered; everything below it is one
 number. Two rounds shrink a group by about six orders of magnitude.
@@ -16,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACCURACY = 1000
-SMALL_GROUP = 1_000_000
+ROUNDS = 2
 
 
 def _with(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,20 +27,17 @@ def _with(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(other, on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str, rounds: int | None = None) -> DataFrame:
+def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str, rounds: int = ROUNDS) -> DataFrame:
     """One row per group: ``keys, name``; null values are ignored, linear interpolation.
 
-    ``rounds`` = 0 is the built-in, more is that many bracketing rounds; by
-    default the size of the largest group decides.
+    ``rounds`` bracketing rounds, whatever the size of the groups; 0 is the
+    built-in, for groups that are bounded by their meaning. No job runs here.
 
     The group table is small next to the rows, so the join of brackets is left
     to the planner (it broadcasts below the session's own size limit only).
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     group = lambda d: d.groupBy(*keys) if keys else d.groupBy()
-    if rounds is None:
-        largest = group(rows).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        rounds = 0 if largest <= SMALL_GROUP else 2
     if rounds == 0:
         return group(rows).agg(F.percentile("_v", F.lit(p)).alias(name)).where(F.col(name).isNotNull())
     want = group(rows).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(

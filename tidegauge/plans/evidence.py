@@ -69,11 +69,19 @@ def _(t):
                     F.col("affected.during_max").alias("during_max"), F.array_contains("missing", "serie afectada").alias("no_series"))
 
 
-@query("f21_compact_packs")
+@query("f21_compact_packs", f"""WITH n AS (SELECT i.anomaly_id, count(*) AS n, strftime(min(p.ts), '%Y-%m-%d %H:%M:%S') AS a, strftime(max(p.ts), '%Y-%m-%d %H:%M:%S') AS z FROM ({_INC}) i JOIN points p ON p.asset_id = i.asset_id AND p.metric = i.metric AND p.ts >= metrics_from AND p.ts < until GROUP BY 1),
+  e AS (SELECT i.anomaly_id, count(*) AS n FROM ({_INC}) i JOIN logs l ON l.asset_id = i.asset_id AND l.ts >= i.logs_from AND l.ts < i.until WHERE severity_num >= 17 GROUP BY 1)
+  SELECT i.anomaly_id, i.severity, i.score, CASE WHEN n.n IS NULL THEN 0 ELSE least(n.n, 60) END AS points, CASE WHEN n.n < 60 THEN n.a END AS first, CASE WHEN n.n < 60 THEN n.z END AS last, least(coalesce(e.n, 0), 15) AS logs, least(coalesce(e.n, 0), 10) AS traces, least(coalesce(e.n, 0), 15) AS pairs,
+  s.anomaly_id IS NULL AS no_series FROM anomalies i LEFT JOIN n USING (anomaly_id) LEFT JOIN e USING (anomaly_id) LEFT JOIN ({_SUM}) s USING (anomaly_id)""", "anomalies points logs")
 def _(t):
     inc = _incidents(t)
     rec = E.evidence(inc, t.points, _logs(t), _spans(t), _now(), "ts")
-    return E.compact(rec, E.incident_points(inc, t.points, "ts"), "ts").select("anomaly_id", F.length("pack").alias("characters"))
+    pack = E.compact(rec, E.incident_points(inc, t.points, "ts"), "ts").select("anomaly_id", F.from_json("pack", """severidad string, puntuacion double, puntos array<struct<t:timestamp>>, registros_error array<string>,
+        trazas_error array<string>, correlacion array<string>, no_recuperado array<string>""").alias("p"))
+    n = lambda c, name: F.size(f"p.{c}").cast("bigint").alias(name)
+    edge = lambda c, name: F.when(F.size("p.puntos") < 60, F.date_format(c("p.puntos.t"), "yyyy-MM-dd HH:mm:ss")).alias(name)
+    return pack.select("anomaly_id", F.col("p.severidad").alias("severity"), F.col("p.puntuacion").alias("score"), n("puntos", "points"), edge(F.array_min, "first"), edge(F.array_max, "last"), n("registros_error", "logs"),
+                       n("trazas_error", "traces"), n("correlacion", "pairs"), F.array_contains("p.no_recuperado", "serie afectada").alias("no_series"))
 
 
 @query("j16_related_signals", """WITH a AS (SELECT event_id AS ask_id, CASE WHEN k % 4 = 0 THEN 'u' WHEN k % 4 = 1 THEN 'w' WHEN k % 4 = 2 THEN 'm' ELSE 'n' END AS c FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),

@@ -40,14 +40,14 @@ def _(t):
     return d.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) for c in d.columns])
 
 
-_TREND = """WITH c AS (SELECT c.*, strftime(c."start", '%Y-%m') AS month, CASE WHEN c.asset_id IS NULL THEN 'sin asignar' ELSE coalesce(a.env, 'desconocido') END AS env FROM charges c LEFT JOIN (SELECT asset_id, env FROM assets WHERE env <> 'NATION_3') a USING (asset_id)),
+_TREND = """WITH c AS (SELECT c.*, strftime(c."start", '%Y-%m') AS month, CASE WHEN c.asset_id IS NULL THEN 'sin asignar' ELSE coalesce(a.env, 'desconocido') END AS env FROM charges c LEFT JOIN (SELECT asset_id, env FROM assets) a USING (asset_id)),
   g AS (SELECT k.{by}, m.month, coalesce((SELECT sum(amount) FROM c WHERE c.{by} = k.{by} AND c.month = m.month), 0) AS amount FROM (SELECT DISTINCT {by} FROM c WHERE {by} IS NOT NULL) k CROSS JOIN (SELECT DISTINCT month FROM c) m)
   SELECT {by}, month, CAST(round_even(amount, 2) AS DOUBLE) AS amount, rnd((CAST(round_even(amount, 2) AS DOUBLE) - CAST(round_even(p, 2) AS DOUBLE)) / nullif(CAST(round_even(p, 2) AS DOUBLE), 0), 4) AS change FROM (SELECT *, lag(amount) OVER (PARTITION BY {by} ORDER BY month) AS p FROM g)"""
 
 
 @query("a23_trend_by_environment", _TREND.replace("{by}", "env"), "charges assets")
 def _(t):
-    return costs.trend(t.charges, t.assets.where("env <> 'NATION_3'"), "env").select("env", "month", F.col("amount").cast("double").alias("amount"), r("change"))
+    return costs.trend(t.charges, t.assets, "env").select("env", "month", F.col("amount").cast("double").alias("amount"), r("change"))
 
 
 @query("a23_trend_by_asset", """WITH c AS (SELECT asset_id, strftime("start", '%Y-%m') AS month, sum(amount) AS s FROM charges WHERE asset_id IS NOT NULL GROUP BY 1, 2)
@@ -109,9 +109,9 @@ def _(t):
     return costs.totals(t.charges, t.assets).where("env is not null").select("env", F.col("amount").cast("double").alias("amount"))
 
 
-@query("k06_costliest", f"""SELECT asset_id, provider, CAST(round_even(sum(amount), 2) AS DOUBLE) AS cost FROM charges WHERE asset_id IS NOT NULL AND "start" BETWEEN {A} AND {Z} GROUP BY 1, 2 ORDER BY sum(amount) DESC, asset_id LIMIT 20""", "charges")
+@query("k06_costliest", f"""SELECT asset_id, provider, CAST(round_even(sum(amount), 2) AS DOUBLE) AS cost FROM charges WHERE asset_id IS NOT NULL AND "start" BETWEEN {A} AND {Z} GROUP BY 1, 2""", "charges")
 def _(t):
-    return costs.report(_period(t)).limit(20).select("asset_id", "provider", F.col("cost").cast("double").alias("cost"))
+    return costs.report(_period(t)).select("asset_id", "provider", F.col("cost").cast("double").alias("cost"))
 
 
 @query("k08_most_common", "SELECT p_type AS common FROM part GROUP BY 1 ORDER BY count(*) DESC, min(p_partkey) LIMIT 1")

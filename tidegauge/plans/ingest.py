@@ -48,9 +48,9 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.count_if("first").alias("points"), r(F.sum("value"), 2, "total"))
 
 
-@query("s01_resolved_points", f"""SELECT coalesce(k.asset_id, 'sin_resolver') AS asset_id, CASE WHEN user_id % 2 = 0 THEN 'api' ELSE 'host' END AS service_name, count(*) AS n, count(DISTINCT user_id) AS hosts FROM ({_ROWS}) LEFT JOIN keys k ON k.key = 'host-' || user_id WHERE route = 'valid' AND event_type <> 'error' GROUP BY 1, 2""", "keys")
+@query("s01_resolved_points", f"""SELECT coalesce(k.asset_id, 'sin_resolver') AS asset_id, CASE WHEN user_id % 2 = 0 THEN 'api' ELSE 'host' END AS service_name, count(*) AS n, count(DISTINCT user_id) AS hosts FROM (SELECT user_id FROM ({_ROWS}) WHERE route = 'valid' UNION ALL SELECT user_id FROM ({_ROWS}) WHERE route = 'valid' AND event_type = 'error' AND k % 3 <> 0) LEFT JOIN keys k ON k.key = 'host-' || user_id GROUP BY 1, 2""", "keys")
 def _(t):
-    p = otlp.points(_metrics(t), t.keys).where("not startswith(metric, 'app_error')")
+    p = otlp.points(_metrics(t), t.keys)
     return p.groupBy("asset_id", "service_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("host_name").alias("hosts"))
 
 

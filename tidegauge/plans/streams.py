@@ -47,7 +47,7 @@ def _(t):
     return _drained(t, rollup.deduplicated(twice).drop("dims")).groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t02_late_hours", "SELECT DISTINCT metric, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour FROM points WHERE floor(value) > 180", "points")
+@query("t02_late_hours", "SELECT DISTINCT metric, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour FROM points WHERE floor(value) > 30", "points")
 def _(t):
     b = t.points.withColumn("received_at", F.timestamp_micros(F.unix_micros("ts") + F.floor("value").cast("bigint") * 1000000))
     return rollup.late_hours(b).select("metric", text("hour"))

@@ -56,27 +56,34 @@ def new_files(files: DataFrame, imported: DataFrame) -> DataFrame:
     return files.join(imported.select("digest").distinct(), "digest", "left_anti").dropDuplicates(["digest"])
 
 
-def invoice_charges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Stand-ins, from the private-use area, for a comma between cells and for a line end inside quotes.
+CELL, BREAK = "\ue001", "\ue000"
+
+
+def _marked(text):
+    """A CSV text without its quotes. Cut at the quotes, every other piece was quoted; an empty piece between two of those is a
+    doubled quote. A line end is put behind the text, so the last piece is never empty."""
+    piece = lambda x, i: (F.when(i % 2 == 1, F.regexp_replace(x, "\r?\n", BREAK)).when((x == "") & (i > 0), F.lit('"'))
+                          .otherwise(F.replace(x, F.lit(","), F.lit(CELL))))
+    return F.array_join(F.transform(F.split(F.concat(text, F.lit("\n")), '"', -1), piece), "")
+
+
+def invoice_charges(files: DataFrame, max_bytes: int = MAX_BYTES, max_lines: int = MAX_LINES) -> tuple[DataFrame, DataFrame]:
     """``(charges, refused)``. One bad amount refuses its whole file.
 
     The header is looked up by lower-case name; the amount column may be called
-    usd, amount or cost. Every line is parsed by ``from_csv`` into positions
-    and picked by the header's place, so column order does not matter.
+    usd, amount or cost. Cells are cut at commas outside quotes and lines at
+    line ends outside quotes, so any number of columns in any order will do.
     """
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    lines = files.select("file", "digest", "bytes", F.when(F.col("bytes") <= MAX_BYTES, F.split(text, "\r?\n")).alias("ls"))
-    width = 40
-    cells = "array(" + ",".join(f"c{i}" for i in range(width)) + ")"
-    row_schema = ",".join(f"c{i} string" for i in range(width))
-    parse = lambda c: F.from_csv(c, row_schema, {"mode": "PERMISSIVE", "escape": '"'})
-    # inline() is a barrier: as plain columns the parse would be repeated for every cell that is read
-    head = lines.select("file", "digest", "bytes", "ls", F.inline(F.array(parse(F.try_element_at("ls", F.lit(1)))))).select(
-        "file", "digest", "bytes", "ls", F.transform(F.expr(cells), lambda x: F.lower(F.trim(x))).alias("head"))
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    lines = files.select("file", "digest", "bytes", F.when(F.col("bytes") <= max_bytes, F.split(_marked(text), "\r?\n")).alias("ls"))
+    parse = lambda c: F.transform(F.split(c, CELL, -1), lambda x: F.replace(x, F.lit(BREAK), F.lit("\n")))
+    head = lines.withColumn("head", F.transform(parse(F.try_element_at("ls", F.lit(1))), lambda x: F.lower(F.trim(x))))
     spot = lambda *names: F.coalesce(*[F.nullif(F.array_position("head", n), F.lit(0).cast("bigint")) for n in names])
     head = head.select("file", "digest", "bytes", "ls", spot(*AMOUNT_NAMES).alias("i_amount"), spot("description").alias("i_desc"),
                        spot("product").alias("i_prod"), spot("group_description").alias("i_group"), spot("start").alias("i_start"), spot("end").alias("i_end"))
     body = head.select("*", F.posexplode_outer(F.slice("ls", 2, F.greatest(F.lit(1), F.size("ls") - 1))).alias("n", "line_text")).drop("ls")
-    body = body.select("*", F.inline(F.array(parse(F.col("line_text"))))).withColumn("cells", F.expr(cells))
+    body = body.withColumn("cells", parse(F.col("line_text")))
     cell = lambda i: F.trim(F.coalesce(F.try_element_at("cells", F.col(i).cast("int")), F.lit("")))
     full = F.exists("cells", lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
     raw = F.regexp_replace(cell("i_amount"), "[$,]", "")
@@ -88,8 +95,8 @@ def invoice_charges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     why = body.groupBy("file", "digest").agg(
         F.max("bytes").alias("b"), F.count_if("full").alias("n"), F.bool_or(F.col("i_amount").isNull() | F.col("i_desc").isNull()).alias("no_cols"),
         F.min(F.when(F.col("full") & F.col("amount").isNull(), F.struct("line", "raw"))).alias("bad"))
-    reason = (F.when(F.col("b") > MAX_BYTES, "file over 2 MB").when(F.col("no_cols"), "missing columns")
-              .when(F.col("n") > MAX_LINES, "too many lines")
+    reason = (F.when(F.col("b") > max_bytes, "file over 2 MB").when(F.col("no_cols"), "missing columns")
+              .when(F.col("n") > max_lines, "too many lines")
               .when(F.col("bad").isNotNull(), F.concat(F.lit("line "), F.col("bad.line").cast("string"), F.lit(": not a number"))))
     why = why.select("file", "digest", reason.alias("reason"))
     concept = F.coalesce(F.nullif(F.concat_ws(" · ", F.nullif("grp", F.lit("")), F.nullif("descr", F.lit(""))), F.lit("")), F.nullif("product", F.lit("")),

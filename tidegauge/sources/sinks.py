@@ -22,18 +22,18 @@ def last_write(points: DataFrame) -> DataFrame:
 def write_points(points: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet by (metric, date), sorted inside files, so a request reads few row groups.
 
-    The shuffle key has the asset too, so a metric that holds a third of all
-    rows is spread over its assets; files per partition stay few per asset hash.
+    Rows are rebalanced: a metric that holds a third of all rows is split into
+    partitions of the advisory size, small ones are not cut at all.
     """
     out = last_write(points)
-    (out.repartition("metric", "date", F.pmod(F.xxhash64("asset_id"), F.lit(8))).sortWithinPartitions("metric", "asset_id", "ts")
+    (out.hint("rebalance", "metric", "date").sortWithinPartitions("metric", "asset_id", "ts")
         .write.mode(mode).partitionBy("metric", "date").parquet(path))
 
 
 def write_signal(rows: DataFrame, path: str, ts: str, mode: str = "append") -> None:
     """Day partitions, (asset, service, time) order, bloom filter on the trace id."""
     d = rows.withColumn("date", F.to_date(ts))
-    (d.repartition("date", F.pmod(F.xxhash64("asset_id", "trace_id"), F.lit(32))).sortWithinPartitions("asset_id", "service_name", ts)
+    (d.hint("rebalance", "date").sortWithinPartitions("asset_id", "service_name", ts)
         .write.mode(mode).option("parquet.bloom.filter.enabled#trace_id", "true").partitionBy("date").parquet(path))
 
 
@@ -52,7 +52,7 @@ def export_range(points: DataFrame, injections: DataFrame, gaps: DataFrame, star
     from ..functions.times import as_lit
     from ..operators.series import in_range
     rows = in_range(points, start, end)
-    rows.drop("date").repartition("metric", F.pmod(F.xxhash64("asset_id"), F.lit(8))).write.mode("overwrite").partitionBy("metric").parquet(f"{path}/metrics")
+    rows.drop("date").hint("rebalance", "metric").write.mode("overwrite").partitionBy("metric").parquet(f"{path}/metrics")
     flat = lambda d: d.select(*[F.to_json(c).alias(c) if t.startswith(("map", "struct", "array")) else F.col(c) for c, t in d.dtypes])
     flat(overlapping(injections, as_lit(start), as_lit(end))).write.mode("overwrite").csv(f"{path}/injections", header=True, escape='"')
     flat(gaps).write.mode("overwrite").csv(f"{path}/gaps", header=True)

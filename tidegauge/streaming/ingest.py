@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import catalog, evaluate, health
 from ..schema import METRIC_POINTS
+from ..session import cut_lineage
 from ..sources import otlp, sinks, versions
 from . import rollup
 
@@ -101,7 +102,27 @@ def _before(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataF
 
 
 def read_points(spark: SparkSession, paths: Paths) -> DataFrame:
-    return spark.read.schema(METRIC_POINTS).option("basePath", paths.points_raw).option("recursiveFileLookup", "false").parquet(paths.points_raw)
+    """Over all batches the latest arrival of a series and nanosecond counts, so a sample sent again counts once."""
+    rows = spark.read.schema(METRIC_POINTS).option("basePath", paths.points_raw).option("recursiveFileLookup", "false").parquet(paths.points_raw)
+    return sinks.last_write(rows)
+
+
+def run_redo(spark: SparkSession, paths: Paths) -> DataFrame:
+    """T2 + T3: recomputes the hours that batches since the last pass have queued, and notes how far it came.
+
+    Returns the (metric, hour) pairs of this pass. A pass that dies before the
+    note is repeated, which changes nothing: summaries replace whole partitions.
+    """
+    done = versions.latest(spark, paths.redo_done, "batch bigint")
+    last = done.agg(F.max("batch")).first()[0]
+    queue = spark.read.schema("metric string, hour timestamp, batch bigint").option("basePath", paths.redo).parquet(paths.redo)
+    queue = queue.where(F.col("batch") > F.lit(-1 if last is None else last))
+    newest = queue.agg(F.max("batch")).first()[0]
+    hours = cut_lineage(queue.select("metric", "hour").distinct())
+    if newest is not None:
+        rollup.redo(spark, hours, read_points(spark, paths), paths.points_1m, paths.points_1h)
+        versions.publish(spark.createDataFrame([(newest,)], "batch bigint"), paths.redo_done, versions.next_version(spark, paths.redo_done))
+    return hours
 
 
 def start_metrics(spark: SparkSession, inbox: str, paths: Paths, files_per_trigger: int = 100, available_now: bool = False):
