@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "ingest", "metrics", "observability", "detection", "evaluation", "inventory", "governance", "models", "evidence", "audits", "streams")
+MODULES = ("scalars", "ingest", "metrics", "observability", "detection", "evaluation", "inventory", "governance", "models", "evidence", "audits", "streams", "stores")
 
 
 def load():

@@ -23,7 +23,7 @@ def _arrival():
     return F.to_timestamp(F.lit("2024-02-01 00:00:00"))
 
 
-def _metrics(t):
+def _metrics_lines(t):
     ns = (F.unix_micros("ts") * 1000).cast("string")
     k, v = F.col("k"), F.col("value")
     dp = lambda **f: F.array(F.struct(F.array(_attr("Slot.Id", (k % 4).cast("string"))).alias("attributes"), ns.alias("timeUnixNano"), *[x.alias(n) for n, x in f.items()]))
@@ -33,8 +33,11 @@ def _metrics(t):
     total = F.when(e == "signup", F.struct(dp(asInt=F.floor(v).cast("string"), flags=flags).alias("dataPoints")))
     hist = F.when(e == "error", F.struct(dp(count=F.floor(v).cast("string"), sum=F.when(k % 3 != 0, v), flags=flags).alias("dataPoints")))
     m = F.struct(F.concat(F.lit("App."), F.col("event_type")).alias("name"), gauge.alias("gauge"), total.alias("sum"), hist.alias("histogram"))
-    raw = _batch(t, "resourceMetrics", "scopeMetrics", "metrics", m)
-    return otlp.metric_rows(otlp.parsed(raw, "metrics"), _arrival())
+    return _batch(t, "resourceMetrics", "scopeMetrics", "metrics", m)
+
+
+def _metrics(t):
+    return otlp.metric_rows(otlp.parsed(_metrics_lines(t), "metrics"), _arrival())
 
 
 _ROWS = """SELECT event_type, user_id, ts, k, CASE event_type WHEN 'signup' THEN floor(value) WHEN 'error' THEN floor(value) ELSE value END AS value, value AS v0, CASE WHEN event_type = 'purchase' OR k % 10 = 0 THEN 'no_value' ELSE 'valid' END AS route

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import catalog, evaluate, health
-from ..schema import METRIC_POINTS
+from ..schema import LOGS, METRIC_POINTS, SPANS
 from ..session import cut_lineage
 from ..sources import otlp, sinks, versions
 from . import rollup
@@ -79,22 +79,81 @@ def metric_batch(paths: Paths):
                 F.to_json(F.struct("metric", "time_ns", "dims")).alias("line"), F.lit("time out of range").alias("error"))), f"{paths.rejects}/{folder}", "overwrite")
             sinks.write_points(pts, f"{paths.points_raw}/{folder}", "overwrite")
             ident = catalog.resolve(rows.where("first"), keys)
-            arrivals = ident.groupBy("asset_id", "host_name", F.col("cloud_provider").alias("provider"), "received_at", "orphan", "key_name", "key_value").agg(
-                F.count_if(F.col("route") == "valid").alias("received"), F.count_if(F.col("route") == "error").alias("errors"))
-            arrivals = arrivals.withColumn("signal", F.lit("metricas"))
-            delta = health.source_deltas(arrivals)
-            old = _before(spark, paths.sources, SOURCES, batch_id)
-            versions.publish(health.merge_sources(old, delta.select(*old.columns)), paths.sources, batch_id)
-            orphans = arrivals.where("orphan and received > 0 and key_value is not null").select(
-                F.col("key_value").alias("key"), F.col("key_name").alias("key_type"), "provider", "signal", "received_at", F.col("received").alias("n"))
-            old_o = _before(spark, paths.orphans, ORPHANS, batch_id)
-            versions.publish(health.merge_orphans(old_o, health.orphan_deltas(orphans).select(*old_o.columns)), paths.orphans, batch_id)
+            _count(spark, ident, "metricas", paths.sources, paths.orphans, batch_id)
             rollup.late_hours(pts).write.mode("overwrite").parquet(f"{paths.redo}/{folder}")
         finally:
             rows.unpersist()
     return handle
 
 
+def _count(spark: SparkSession, ident: DataFrame, signal: str, sources: str, orphans: str, batch_id: int) -> None:
+    """Adds a batch of resolved rows (with ``route`` and ``received_at``) to the source and orphan ledgers of one signal."""
+    arrivals = ident.groupBy("asset_id", "host_name", F.col("cloud_provider").alias("provider"), "received_at", "orphan", "key_name", "key_value").agg(
+        F.count_if(F.col("route") == "valid").alias("received"), F.count_if(F.col("route") == "error").alias("errors")).withColumn("signal", F.lit(signal))
+    old = _before(spark, sources, SOURCES, batch_id)
+    versions.publish(health.merge_sources(old, health.source_deltas(arrivals).select(*old.columns)), sources, batch_id)
+    found = arrivals.where("orphan and received > 0 and key_value is not null").select(
+        F.col("key_value").alias("key"), F.col("key_name").alias("key_type"), "provider", "signal", "received_at", F.col("received").alias("n"))
+    old = _before(spark, orphans, ORPHANS, batch_id)
+    versions.publish(health.merge_orphans(old, health.orphan_deltas(found).select(*old.columns)), orphans, batch_id)
+
+
+SIGNALS = {"logs": ("registros", otlp.log_rows, "ts", LOGS), "spans": ("trazas", otlp.span_rows, "start_ts", SPANS)}
+
+
+def signal_batch(paths: Paths, kind: str):
+    """The ``foreachBatch`` handler of log or span batches: rows, rejects, ledgers, and for logs the tee of fault events.
+
+    Each signal keeps ledgers of its own, so the jobs never write one table;
+    :func:`all_sources` and :func:`all_orphans` read them together.
+    """
+    signal, rows_of, ts, schema = SIGNALS[kind]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        now = F.current_timestamp()
+        keys = versions.last_good(spark, paths.keys, KEYS)
+        folder = f"batch={batch_id}"
+        broken = batch.where("_corrupt_record is not null").select(F.col("_corrupt_record").alias("line"), F.lit("not an OTLP/JSON batch").alias("error"))
+        sinks.write_rejects(broken, f"{paths.rejects}_{signal}/{folder}", "overwrite")
+        # rows are read by several writers below; the batch is bounded by the source's rate cap
+        rows = catalog.resolve(rows_of(batch.where("_corrupt_record is null"), now), keys).withColumn("route", F.lit("valid")).withColumn("received_at", now).persist()
+        try:
+            sinks.write_signal(rows.select(*[c for c in schema.names if c in rows.columns]), f"{paths.root}/{kind}/{folder}", ts, "overwrite")
+            if kind == "logs":
+                truth = rows.where(otlp.is_truth(F.col("attributes"), F.col("body"))).select(*[c for c in schema.names if c in rows.columns])
+                sinks.write_signal(truth, f"{paths.truth}/{folder}", ts, "overwrite")
+            _count(spark, rows, signal, f"{paths.sources}_{signal}", f"{paths.orphans}_{signal}", batch_id)
+        finally:
+            rows.unpersist()
+    return handle
+
+
+def start_signal(spark: SparkSession, inbox: str, paths: Paths, kind: str, files_per_trigger: int = 100, available_now: bool = False):
+    """The job of one of the two signals, as :func:`start_metrics`."""
+    src = otlp.read(spark, inbox, kind, stream=True, maxFilesPerTrigger=str(files_per_trigger))
+    w = src.writeStream.foreachBatch(signal_batch(paths, kind)).option("checkpointLocation", f"{paths.root}/checkpoint_{kind}").queryName(kind)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+
+
+def read_signal(spark: SparkSession, paths: Paths, kind: str, folder: str | None = None) -> DataFrame:
+    """Logs, spans, or with ``folder`` = "truth" the teed fault events, of all batches."""
+    root = f"{paths.root}/{folder or kind}"
+    return spark.read.schema(SIGNALS[kind][3]).option("basePath", root).parquet(root)
+
+
+def all_sources(spark: SparkSession, paths: Paths) -> DataFrame:
+    """The source ledgers of the three signals."""
+    parts = [versions.latest(spark, paths.sources + s, SOURCES) for s in ("", "_registros", "_trazas")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def all_orphans(spark: SparkSession, paths: Paths) -> DataFrame:
+    """The orphan ledgers of the three signals, merged by key."""
+    parts = [versions.latest(spark, paths.orphans + s, ORPHANS) for s in ("", "_registros", "_trazas")]
+    return health.merge_orphans(parts[0], health.merge_orphans(parts[1], parts[2]))
+
+
 def _before(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataFrame:
     """The version a batch builds on: a repeated batch must not add to its own earlier result."""
     done = [f for f in versions._folders(spark, root) if int(f.rsplit("v=", 1)[1]) < batch_id]
