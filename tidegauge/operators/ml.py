@@ -152,43 +152,36 @@ def perceptron(features: list[str], classes: int, label: str = "label", seed: in
 
 
 def knn(train: DataFrame, rows: DataFrame, train_id: str, row_id: str, features: list[str], label: str = "label", k: int = 5,
-        block_rows: int = 20000) -> DataFrame:
+        cells: int = 32) -> DataFrame:
     """M6: exact majority of the k nearest, after standard scaling. Ties go to the lower label.
 
-    Both sides are cut by a hash of their ids into blocks of bounded size, and
-    each pair of blocks is one task that returns only k candidates per row, so
-    neither side is ever whole in one place and no pair of rows is written.
+    Training rows are grouped around ``cells`` centres. A row's distance to a
+    centre and the radius of its group bound all distances in the group, so the
+    groups that surely hold k rows bound the k-th distance, and only groups that
+    can come closer are met, by an equi join on the group. What is gathered is
+    one centre, radius and count for each of the ``cells`` groups.
     """
-    import numpy as np
-    import pandas as pd
-
     scaler = Pipeline(stages=_scaled(features)).fit(train)
-    vec = lambda d, i, *more: scaler.transform(d).select(F.col(i).alias("_id"), vector_to_array("features").alias("_x"), *more)
-    n_t, n_q = max(1, -(-train.count() // block_rows)), max(1, -(-rows.count() // block_rows))
-    t = vec(train, train_id, F.col(label).cast("double").alias("_y")).withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(n_t))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
-    q = vec(rows, row_id).withColumn("_q", F.pmod(F.xxhash64("_id"), F.lit(n_q))).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1)).cast("array<bigint>")))
-    id_type = rows.schema[row_id].dataType.simpleString()
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"_id": left["_id"].iloc[:0], "d": np.zeros(0), "y": np.zeros(0)})
-        a, b = np.stack(left["_x"].to_numpy()), np.stack(right["_x"].to_numpy())
-        y = right["_y"].to_numpy()
-        parts = []
-        for i in range(0, len(a), 512):
-            d = ((a[i:i + 512, None, :] - b[None, :, :]) ** 2).sum(axis=2) if len(b) <= 2048 else (
-                (a[i:i + 512] ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2 * a[i:i + 512] @ b.T)
-            kk = min(k, d.shape[1])
-            top = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-            parts.append(pd.DataFrame({"_id": np.repeat(left["_id"].to_numpy()[i:i + 512], kk),
-                                       "d": np.take_along_axis(d, top, 1).ravel(), "y": y[top].ravel()}))
-        return pd.concat(parts)
-
-    near = q.groupBy("_b", "_q").cogroup(t.groupBy("_b", "_q")).applyInPandas(nearest, f"_id {id_type}, d double, y double")
-    top = near.withColumn("_r", F.row_number().over(W.partitionBy("_id").orderBy("d", "y"))).where(F.col("_r") <= k)
-    votes = top.groupBy("_id", "y").agg(F.count(F.lit(1)).alias("_v"))
+    vec = lambda d, i, *more: scaler.transform(d).select(F.col(i).alias("_id"), "features", *more)
+    t, q = vec(train, train_id, F.col(label).cast("double").alias("_y")), vec(rows, row_id)
+    model = KMeans(k=cells, seed=SEED, maxIter=5).fit(t.select("features"))
+    homes = assign(model, t).select("cluster", "_y", "distance", vector_to_array("features").alias("_t"))
+    sizes = {r["cluster"]: (r["far"], r["n"]) for r in homes.groupBy("cluster").agg(F.max("distance").alias("far"), F.count("*").alias("n")).collect()}
+    x = vector_to_array("features")
+    root = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
+    near = []
+    for i, c in enumerate(model.clusterCenters()):
+        if i in sizes:
+            far, n = sizes[i]
+            d = root(x, F.array(*[F.lit(float(v)) for v in c]))
+            near.append(F.struct((d + F.lit(far)).alias("most"), (d - F.lit(far)).alias("least"), F.lit(n).cast("bigint").alias("n"), F.lit(i).alias("cell")))
+    state = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("most"))
+    bound = F.aggregate("_c", state, lambda s, c: F.when(s["n"] >= k, s).otherwise(F.struct((s["n"] + c["n"]).alias("n"), c["most"].alias("most"))), lambda s: s["most"])
+    q = q.select("_id", x.alias("_x"), F.array_sort(F.array(*near)).alias("_c")).withColumn("_most", bound * (1 + 1e-9))
+    met = q.select("_id", "_x", F.explode(F.filter("_c", lambda c: c["least"] <= F.col("_most"))["cell"]).alias("cluster"))
+    pairs = met.join(homes, "cluster").select("_id", "_y", root(F.col("_x"), F.col("_t")).alias("_d"))
+    top = pairs.withColumn("_r", F.row_number().over(W.partitionBy("_id").orderBy("_d", "_y"))).where(F.col("_r") <= k)
+    votes = top.groupBy("_id", F.col("_y").alias("y")).agg(F.count(F.lit(1)).alias("_v"))
     return votes.groupBy("_id").agg(F.max_by("y", F.struct("_v", -F.col("y"))).alias("prediction")).withColumnRenamed("_id", row_id)
 
 

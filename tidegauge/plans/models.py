@@ -1,6 +1,6 @@
 """Feature tables, rolling scores, runs, forecasts, clustering and classification."""
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import features as X
@@ -271,3 +271,48 @@ def _(t):
   JOIN (SELECT toxic AS class, count(*) AS predicted FROM labels GROUP BY 1) USING (class)""")
 def _(t):
     return ml.class_scores(t.read("labels"), "quality", "toxic").select("class", "support", "predicted", "tp", r("precision"), r("recall"))
+
+
+@query("m01_nearest_centres", "SELECT vec_id, true AS nearest FROM embeddings")
+def _(t):
+    """Each row's centre is nearer than any other, measured pair by pair."""
+    v = _vectors(t)
+    model = ml.train_kmeans(v, restarts=1, max_iter=10)
+    rows = ml.assign(model, v).withColumn("x", vector_to_array("features"))
+    centres = t.spark.createDataFrame([(i, [float(y) for y in c]) for i, c in enumerate(model.clusterCenters())], "centre int, c array<double>")
+    d = F.sqrt(F.aggregate(F.zip_with("x", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda p, q: p + q))
+    each = rows.join(F.broadcast(centres), F.lit(True)).groupBy("vec_id", "cluster", "distance").agg(F.min(d).alias("least"))
+    return each.select("vec_id", (F.abs(F.col("distance") - F.col("least")) < 1e-9).alias("nearest"))
+
+
+@query("m02_rows_inside", "SELECT count(*) AS n, true AS few FROM embeddings")
+def _(t):
+    """With every cluster normal, only the farthest half percent of the training rows lies outside."""
+    v = _vectors(t)
+    m = ml.train_kmeans(v, restarts=1, max_iter=10)
+    a = ml.anomalous(m, v, v)
+    normal = [c["cluster"] for c in ml.centres(m, [f"e{i}" for i in range(len(m.clusterCenters()[0]))]) if c["normal"]]
+    inside = F.col("cluster").isin(*normal) if normal else F.lit(False)
+    return a.agg(F.count("*").alias("n"), (F.count_if(inside & F.col("anomalous")) <= 0.005 * F.count_if(inside) + 1).alias("few"))
+
+
+@query("m05_tree_support", """SELECT CAST(label AS DOUBLE) AS class, count(*) AS support FROM (SELECT label, row_number() OVER (ORDER BY vec_id) AS rn, count(*) OVER () AS n FROM embeddings) WHERE rn > floor(n * 0.7) GROUP BY 1""")
+def _(t):
+    rows, cols = _cells(t)
+    a, b = ml.time_split(rows, "ts")
+    return ml.class_scores(ml.tree(cols).fit(a).transform(b)).where("support > 0").select("class", "support")
+
+
+@query("m06_svm_support", """SELECT CAST(label AS DOUBLE) AS class, count(*) AS support FROM (SELECT label, row_number() OVER (ORDER BY vec_id) AS rn, count(*) OVER () AS n FROM embeddings) WHERE rn > floor(n * 0.7) GROUP BY 1""")
+def _(t):
+    rows, cols = _cells(t)
+    a, b = ml.time_split(rows, "ts")
+    return ml.class_scores(ml.linear_svm(cols, max_iter=2).fit(a).transform(b)).where("support > 0").select("class", "support")
+
+
+@query("m10_stored_baseline", f"SELECT asset_id, metric, rnd(med, 4) AS med FROM ({_BASE})", "points")
+def _(t):
+    from .streams import scratch
+    path = scratch(t.spark)
+    ml.save_baseline(X.history_baseline(t.points, KEYS), path)
+    return t.spark.read.parquet(path).select("asset_id", "metric", r("med"))
