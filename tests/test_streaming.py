@@ -105,6 +105,21 @@ def test_detection_cycle_stream_in_many_batches(spark, folder):
     assert got == want and [w[1] for w in want] == ["close", "close", "open", "open"]
 
 
+def test_detection_cycle_floors_late_points_and_closing_span(spark):
+    rnd = random.Random(4)
+    base = [50 + rnd.gauss(0, 0.1) for _ in range(70)]
+    at = lambda i: T0 + timedelta(minutes=i)
+    jump = [(i, v) for i, v in enumerate(base)] + [(70 + i, 52.0) for i in range(5)]
+    # 15 normal points, two minutes apart, span 28 minutes: not close enough; then one a minute
+    sparse = [(76 + 2 * i, 50.0) for i in range(15)]
+    dense = [(76 + 2 * 14 + 1 + i, 50.0) for i in range(14)]
+    rows = [("low", at(i), v, 0.0) for i, v in jump + sparse] + [("high", at(i), v, 5.0) for i, v in jump + sparse] + [("both", at(i), v, None) for i, v in jump + sparse + dense]
+    rows += [("low", at(3), 9.9, 0.0)]  # a second value of an instant
+    got = detect.cycle(spark.createDataFrame(rows, "series string, ts timestamp, value double, floor double")).collect()
+    assert sorted((r["series"], r["event"]) for r in got) == [("both", "close"), ("both", "open"), ("low", "late"), ("low", "open")]
+    assert next(r["end"] for r in got if r["event"] == "close") == at(73)  # a twentieth of the level is normal
+
+
 def otlp_lines(n):
     for i in range(n):
         attrs = [{"key": "host.name", "value": {"stringValue": f"h{i % 3}"}}, {"key": "cloud.provider", "value": {"stringValue": "aws"}}]

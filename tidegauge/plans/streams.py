@@ -57,7 +57,7 @@ def _(t):
 def _(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     pts = t.hourly.select(F.concat_ws("/", "asset_id", "metric").alias("series"), F.col("bucket").alias("ts"), "value")
-    return detect.cycle(pts, floor=1.0, run=2, calm=3).select("series", "event", text("ts"), r("z"), text("end"))
+    return detect.cycle(pts, floor=1.0, run=2, calm=3, step=HOUR).select("series", "event", text("ts"), r("z"), text("end"))
 
 
 @query("t06_silent_sources", """SELECT host_name FROM (SELECT host_name, max(received_at) AS m FROM arrivals GROUP BY 1) WHERE TIMESTAMP '2024-01-30 12:00:00' - m > INTERVAL 5 MINUTE""", "arrivals")
