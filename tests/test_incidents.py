@@ -220,7 +220,7 @@ def test_knn_equals_brute_force(spark):
     pts = [(i, float(rnd.random() > .5), rnd.random(), rnd.random() * 50) for i in range(300)]
     df = spark.createDataFrame(pts, "id int, label double, a double, b double")
     train, rows = df.where("id < 220"), df.where("id >= 220")
-    got = {r["id"]: r["prediction"] for r in ml.knn(train, rows, "id", "id", ["a", "b"], block_rows=60).collect()}
+    got = {r["id"]: r["prediction"] for r in ml.knn(train, rows, "id", "id", ["a", "b"], cells=7).collect()}
     import statistics as st
     tr = [p for p in pts if p[0] < 220]
     sa, sb = st.stdev(p[2] for p in tr), st.stdev(p[3] for p in tr)
