@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = texts(docs.withColumn(id_col, docs[id_col].cast("bigint")), id_col, text_col)
     base = cut_lineage(sketches(d))
     full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    # written, so that the joins below stand alone in their stages and a set with very many copies is split
+    classes = cut_lineage(full.groupBy("set_key").agg(F.min("doc_id").alias("node")))
     # a repeated row makes a repeated member of a bucket, which changes no minimum, pair or component
     reps = cut_lineage(full.join(classes, "set_key").where("doc_id = node").select("node", "n_shingles", "keys", "bits"))
     entries = reps.select("node", F.explode("keys").alias("bucket"))
