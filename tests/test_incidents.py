@@ -151,6 +151,34 @@ def test_redaction_of_any_characters_and_case(spark):
     assert redaction.restore(out.where("seq = 0"), "incident", "seq", "text", marks).first()["text"] == texts[0]
 
 
+def test_redaction_queries_over_whole_texts(spark, folder):
+    import hashlib
+
+    from tidegauge.plans import base, evidence as plans, load
+    queries = load()[0]
+    texts = ["7 calls from 10.1.2.3 to 10.1.2.4, then 10.1.2.3", "guid 123e4567-e89b-12d3-a456-426614174000, i-0abc1234, fe80::1 and host-2 in 2024", "HOST-2 at 10.1.2.4", ""]
+    docs = [(i, x) for i, x in enumerate(texts)] + [(9, None)]
+    turns = [(1, 0, texts[0]), (1, 1, texts[2]), (1, 2, texts[1]), (2, 0, texts[2]), (2, 1, "10.0.2.7 again")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(1, "Customer#000000001", "BUILDING", 5.0), (2, "Customer#000000002", "BUILDING", 3000.0), (3, "Customer#000000003", "BUILDING", -1.0)],
+                          "c_custkey bigint, c_name string, c_mktsegment string, c_acctbal double").write.parquet(f"{folder}/customer.parquet")
+    known = {r["value"]: r["kind"] for r in plans._known(base.Tables(spark, folder)).collect()}
+    tail = lambda n: f" Customer#{n:09d} Host-{n}, 10.0.{n % 9}.7 300.1.1.1"
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    want = {9: (None, 0)}
+    for i, x in docs[:-1]:
+        out, back = plain_redact([x + tail(i)], known)
+        want[i] = (md5(out[0]), len(back))
+    assert {r["doc_id"]: (r["digest"], r["markers"]) for r in queries["f19_redacted_whole_documents"](spark, folder).collect()} == want
+    want = {}
+    for c in (1, 2):
+        own = [(k, x + tail(c * 10 + k)) for i, k, x in turns if i == c]
+        out, back = plain_redact([x for _, x in own], known)
+        want |= {(c, k): (md5(o), len(back)) for (k, _), o in zip(own, out)}
+    assert {(r["conv_id"], r["turn"]): (r["digest"], r["markers"]) for r in queries["f19_redacted_whole_conversations"](spark, folder).collect()} == want
+
+
 def test_evidence_windows_and_summary(spark):
     inc = spark.createDataFrame([("1", "A", "m", at(100), at(120)), ("2", "A", "m", at(100), None)], "anomaly_id string, asset_id string, metric string, start timestamp, end timestamp")
     w = {r["anomaly_id"]: r for r in evidence.windows(inc, F.lit(at(1000))).collect()}

@@ -137,3 +137,23 @@ def _(t):
     out, marks = redact(d, "doc_id", "part", "text", _known(t))
     n = marks.groupBy("doc_id").agg(F.count("*").cast("int").alias("markers"))
     return out.join(n, "doc_id").select("doc_id", F.md5("text").alias("digest"), "markers")
+
+
+def _whole(rows, incident, seq, n, known):
+    """The texts as they are, with the tail, under their incident; ``markers`` is that of the whole incident."""
+    out, marks = redact(rows.withColumn("text", F.concat("text", _tail(n))), incident, seq, "text", known)
+    count = marks.groupBy(incident).agg(F.count("*").cast("int").alias("markers"))
+    return out.join(count, incident, "left").withColumn("digest", F.md5("text")).withColumn("markers", F.coalesce("markers", F.lit(0)))
+
+
+# no SQL: identifiers of any shape stand anywhere in these texts, and a value keeps its number over all turns of a conversation; tests hold them against a plain reading
+@query("f19_redacted_whole_conversations")
+def _(t):
+    c = t.read("conversations").select("conv_id", "turn", "text")
+    return _whole(c, "conv_id", "turn", F.col("conv_id") * 10 + F.col("turn"), _known(t)).select("conv_id", "turn", "digest", "markers")
+
+
+@query("f19_redacted_whole_documents")
+def _(t):
+    d = t.read("documents").select("doc_id", F.lit(0).cast("bigint").alias("part"), "text")
+    return _whole(d, "doc_id", "part", F.col("doc_id"), _known(t)).select("doc_id", "digest", "markers")
