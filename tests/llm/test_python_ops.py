@@ -136,6 +136,19 @@ def test_page_blocks_and_furniture(spark):
     assert out[4].text == "plain <text" and out[5].text == "" and out[6].text == "cut of"
 
 
+def test_names_with_main_in_them_are_not_the_main_part(spark):
+    story = '<div class="story"><p>one {0}</p><p>two {0}</p></div>'
+    pages = {"title": '<h1 class="main-title">T {0}</h1>' + story, "header": '<header id="main-header">Site</header>' + story, "article": '<header id="main-header">Site</header><article><p>A {0}</p></article>',
+             "bare": '<div class="main"><h1>T {0}</h1></div>' + story, "block": '<p class="main">T {0}</p>' + story, "nav": '<nav role="main"><p>N</p></nav>' + story,
+             "real": '<div id="main-content"><h1>T {0}</h1><p>M {0}</p></div><div>more {0}</div>', "role": '<div role="main"><p>M {0}</p></div><div>more {0}</div>',
+             "mixed": '<div class="main"><h1>T {0}</h1></div>' + story}
+    rows = [(k, f"http://{k}.org/{i}", page.format(i)) for k, page in pages.items() for i in (1, 2)] + [("other", "http://mixed.org/3", '<div class="main"><p>M</p></div><div>more</div>')]
+    out = {(r.page_id, r.url[-1]): r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    want = {"title": "T {0}|one {0}|two {0}", "header": "one {0}|two {0}", "article": "A {0}", "bare": "T {0}|one {0}|two {0}", "block": "T {0}|one {0}|two {0}", "nav": "one {0}|two {0}", "real": "T {0}|M {0}", "role": "M {0}",
+            "mixed": "T {0}|one {0}|two {0}"}
+    assert out == {(k, str(i)): t.format(i).replace("|", "\n\n") for k, t in want.items() for i in (1, 2)} | {("other", "3"): "M"}
+
+
 def test_pages_equal_a_plain_reading(spark):
     pages = read(spark, "pages")
     want = {}

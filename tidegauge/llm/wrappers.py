@@ -33,6 +33,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FURNITURE = frozenset("nav footer aside form button dialog menu fieldset label option legend head datalist".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Containers that can be the main part by their attributes, the names that make them so, and the blocks of text it must hold.
+CONTAINERS = frozenset("div section td".split())
+MAIN_NAMES = frozenset("main main-content".split())
+BLOCKS = frozenset("p pre blockquote li dd td th".split())
 CLOSES = {"p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset("tr td th".split()), "td": frozenset("td th".split()),
           "th": frozenset("td th".split())}
 #: Block elements that end an open paragraph.
@@ -62,13 +66,15 @@ class Node:
 def _label(name: str, attrs: str) -> str:
     """The element's name, with ! where its attributes mark furniture or hide it, and * where they mark the main part."""
     words: set[str] = set()
+    main = False
     for key, *values in ATTR.findall(attrs) if attrs else ():
         value, key = "".join(values).lower(), key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             words.add("nav")
         elif key != "style":
             words.update(re.split(r"[^a-z0-9]+", value))
-    return name + ("!" if words & (OF_ARTICLES if name in MAIN else WORDS) else "*" if "main" in words else "")
+            main |= name in CONTAINERS and not MAIN_NAMES.isdisjoint(value.split())
+    return name + ("!" if words & (OF_ARTICLES if name in MAIN else WORDS) else "*" if main else "")
 
 
 def tree(page: str) -> Node:
@@ -214,24 +220,29 @@ def furniture(label: str, inside_main: bool) -> bool:
 
 def holds_main(e: list) -> bool:
     """Whether a main element lies below: a frame around it is no furniture, whatever its class says."""
-    return any(is_main(c[0]) or holds_main(c) for c in e[3])
+    return any(is_main(c) or holds_main(c) for c in e[3])
 
 
-def is_main(label: str) -> bool:
-    return not label.endswith("!") and (label in MAIN or label.endswith("*"))
+def is_main(e: list) -> bool:
+    """An article or main element, or a container named so that holds blocks of text."""
+    return e[0] in MAIN or e[0].endswith("*") and holds_blocks(e)
+
+
+def holds_blocks(e: list) -> bool:
+    return any(c[0].rstrip("!*") in BLOCKS and any(x[0] == "#" for x in c[3]) or holds_blocks(c) for c in e[3] if not furniture(c[0], True))
 
 
 def decisions(wrapper: list) -> dict[tuple[str, ...], str]:
-    """What each text slot (the labels down to it) is: main (in a main element), body (elsewhere), all (elsewhere, and the same text
-    wherever it was seen more than once), or not in the result."""
+    """What each text slot (the labels down to it) is: main (in an article or main element), named (in a container named main), body
+    (elsewhere), all (elsewhere, and the same text wherever it was seen more than once), or not in the result."""
     out: dict[tuple[str, ...], str] = {}
 
     def walk(e: list, path: tuple[str, ...], main: bool, dropped: bool) -> None:
         if e[0] == "#":
-            kind = "" if dropped else "main" if main else "all" if e[2] is not None and e[4] > 1 else "body"
+            kind = "" if dropped else "main" if main and not MAIN.isdisjoint(path) else "named" if main else "all" if e[2] is not None and e[4] > 1 else "body"
             out[path] = max(out.get(path, ""), kind)
             return
-        main, dropped = main or is_main(e[0]), dropped or furniture(e[0], main) and (main or not holds_main(e))
+        main, dropped = main or is_main(e), dropped or furniture(e[0], main) and (main or not holds_main(e))
         for c in e[3]:
             walk(c, (*path, e[0]), main, dropped)
     walk(wrapper, (), False, False)
@@ -239,17 +250,24 @@ def decisions(wrapper: list) -> dict[tuple[str, ...], str]:
 
 
 def main_text(root: Node, slots: dict[tuple[str, ...], str]) -> str:
-    """The blocks of the page that lie in main slots; on a page without any, those in body slots; without those too, in the rest."""
-    found: dict[str, list[str]] = {"main": [], "body": [], "all": [], "": []}
+    """The blocks of the page that lie in main slots; on a page without any, those in body slots; without those too, in the rest.
+    What is only named main counts as main where the page has blocks of text in it, else as body."""
+    found: list[tuple[str, str]] = []
+    blocks = False
 
-    def walk(node: Node, path: tuple[str, ...]) -> None:
+    def walk(node: Node, path: tuple[str, ...], named: bool, block: bool) -> None:
+        nonlocal blocks
         if node.name == "#":
-            found[slots.get(path, "")].append(node.text)
+            kind = slots.get(path, "")
+            blocks |= named and block and kind in ("main", "named")
+            found.append((kind, node.text))
             return
+        block = named and (block or node.name in BLOCKS)
         for c in node.children:
-            walk(c, (*path, node.label))
-    walk(root, ())
-    return "\n\n".join(found["main"] or found["body"] or found["all"])
+            walk(c, (*path, node.label), named or node.label.endswith("*"), block)
+    walk(root, (), False, False)
+    ranks = (("main", "named"), ("body",), ("all",)) if blocks else (("main",), ("body", "named"), ("all",))
+    return "\n\n".join(next(filter(None, ([t for kind, t in found if kind in rank] for rank in ranks)), []))
 
 
 _OUT = pa.schema([("host", pa.string()), ("slice", pa.int32()), ("pages", pa.int64()), ("wrapper", pa.string())])
