@@ -149,6 +149,26 @@ def test_names_with_main_in_them_are_not_the_main_part(spark):
     assert out == {(k, str(i)): t.format(i).replace("|", "\n\n") for k, t in want.items() for i in (1, 2)} | {("other", "3"): "M"}
 
 
+def test_copies_of_a_page_do_not_make_its_texts_constant(spark):
+    page = "<div class=tagline>same line</div><div class=story><p>a long text about {0} and more of {0}</p><p>another text about {0}</p>{1}<p>seen {2}</p></div>"
+    quote = "<blockquote>quoted</blockquote>"
+    p1, near, p2, p3 = page.format("one", quote, "x"), page.format("one", quote, "y"), page.format("two", "", "x"), page.format("three", "", "z")
+    hosts = {"single": [p1, p2], "copied": [p1, p1, p2], "many": [p1] * 50 + [p2], "near": [p1, near, near, p2, p3]}
+    rows = [(f"{k} {i}", f"http://{k}.org/{i}", x) for k, pages in hosts.items() for i, x in enumerate(pages)]
+    out = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(7)).collect()}
+    for k, _, x in rows:
+        assert ("quoted" in out[k]) == (quote in x) and "same line" not in out[k] and "a long text about" in out[k], k
+
+
+def test_pages_are_counted_beyond_the_digests_kept():
+    e = None
+    for i in range(1500):
+        x = wrappers.expression(wrappers.tree(f"<div class=tagline>same</div><p>page {i}</p>" + ("<pre>rare</pre>" if i % 10 == 0 else "")))
+        e = wrappers.merged(e, x) if e else x
+    kinds = {path[-1]: kind for path, kind in wrappers.decisions(wrappers.settled(e)).items()}
+    assert abs(wrappers.count(e[2]) / 1500 - 1) < 0.5 and kinds == {"div": "all", "p": "body", "pre": "body"}
+
+
 def test_pages_equal_a_plain_reading(spark):
     pages = read(spark, "pages")
     want = {}

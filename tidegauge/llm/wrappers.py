@@ -7,7 +7,9 @@ optional, what is repeated in one is repeated, and texts that differ become slot
 done piecewise: each task folds the pages it reads, then each (host, slice) folds what came from the tasks, then each host.
 
 The host's wrapper decides which slots hold the main text: those inside article or main elements, else those that are
-neither furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) nor the same text wherever they were seen.
+neither furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) nor the same text on most of the host's pages.
+Pages count once however often they were copied: a page is known by the two longest of its other texts, so copies that differ
+elsewhere are one page too, and a slot's pages are counted by the SEEN smallest digests (exact up to SEEN, estimated above).
 
 Defined cases: a null page is empty, its text is empty; a null URL is the host without a name; cut-off pages, unclosed and
 stray tags are read as browsers do; repeated rows get equal results; pages of any length are read whole; other columns are
@@ -134,14 +136,27 @@ def tree(page: str) -> Node:
     return root
 
 
-def expression(node: Node) -> list:
-    """[label, mark, text, children, for texts: on how many pages] with neighbouring groups of equal shape (up to three elements long) as one repeated group."""
+def texts_of(node: Node) -> set[str]:
+    return {node.text} if node.name == "#" else set().union(*map(texts_of, node.children))
+
+
+def page_digest(longest: list[str], text: str = "") -> int:
+    """The page as it is known beside ``text``."""
+    return int.from_bytes(hashlib.blake2b("\0".join([t for t in longest if t != text][:2]).encode(), digest_size=6).digest(), "big")
+
+
+def expression(node: Node, longest: list[str] | None = None) -> list:
+    """[label, mark, text, children, for texts: digests of pages] with neighbouring groups of equal shape (up to three elements long) as
+    one repeated group. In the place of its text, the root has the digests of all pages."""
+    root = longest is None
+    if longest is None:
+        longest = sorted(texts_of(node), key=lambda t: (-len(t), t))[:3]
     if node.name == "#":
-        return ["#", "", hashlib.blake2b(node.text.encode(), digest_size=6).hexdigest(), [], 1]
+        return ["#", "", hashlib.blake2b(node.text.encode(), digest_size=6).hexdigest(), [], [page_digest(longest, node.text)]]
     out: list[list] = []
     shapes: list[str] = []
     for child in node.children:
-        e = expression(child)
+        e = expression(child, longest)
         out.append(e)
         shapes.append(shape(e))
         for k in (1, 2, 3):
@@ -151,12 +166,22 @@ def expression(node: Node) -> list:
                     a[1] = "+"
                 del out[-k:], shapes[-k:]
                 break
-    return [node.label, "", None, out]
+    return [node.label, "", [page_digest(longest)] if root and longest else None, out]
+
+
+def seen(a: list[int] | None, b: list[int] | None) -> list[int]:
+    """The smallest digests of both."""
+    return a or [] if a == b else sorted({*(a or []), *(b or [])})[:SEEN]
+
+
+def count(digests: list[int] | None) -> float:
+    n = len(digests or [])
+    return n if n < SEEN else (SEEN - 1) * 2.0 ** 48 / max(digests[-1], 1)
 
 
 def once(e: list) -> list:
     """What is repeated within a page is still seen on one page."""
-    return ["#", e[1], e[2], [], 1] if e[0] == "#" else [*e[:3], list(map(once, e[3]))]
+    return ["#", e[1], e[2], [], e[4][:1]] if e[0] == "#" else [*e[:3], list(map(once, e[3]))]
 
 
 def shape(e: list) -> str:
@@ -173,8 +198,21 @@ def _mark(*marks: str) -> str:
 
 def merged(a: list, b: list) -> list:
     """The alignment of two expressions with the same label."""
-    out = [a[0], _mark(a[1], b[1]), a[2] if a[2] == b[2] else None, aligned(a[3], b[3])]
-    return [*out, a[4] + b[4]] if a[0] == "#" else out
+    if a[0] != "#":
+        pages = None if a[2] is None and b[2] is None else seen(a[2], b[2])
+        return [a[0], _mark(a[1], b[1]), pages, aligned(a[3], b[3])]
+    same = a[2] == b[2] and a[2] is not None
+    return ["#", _mark(a[1], b[1]), a[2] if same else None, [], seen(a[4], b[4]) if same else []]
+
+
+def settled(e: list, pages: float | None = None) -> list:
+    """The finished wrapper of a host: constant texts are those on most of its pages, and on two at least; digests are left out."""
+    if pages is None:
+        pages = count(e[2])
+    if e[0] == "#":
+        n = count(e[4])
+        return [*e[:2], e[2] if n > 1 and 2 * n > pages else None, []]
+    return [*e[:2], None, [settled(c, pages) for c in e[3]]]
 
 
 def aligned(a: list[list], b: list[list]) -> list[list]:
@@ -234,12 +272,12 @@ def holds_blocks(e: list) -> bool:
 
 def decisions(wrapper: list) -> dict[tuple[str, ...], str]:
     """What each text slot (the labels down to it) is: main (in an article or main element), named (in a container named main), body
-    (elsewhere), all (elsewhere, and the same text wherever it was seen more than once), or not in the result."""
+    (elsewhere), all (elsewhere, and the same text on most pages of the host), or not in the result."""
     out: dict[tuple[str, ...], str] = {}
 
     def walk(e: list, path: tuple[str, ...], main: bool, dropped: bool) -> None:
         if e[0] == "#":
-            kind = "" if dropped else "main" if main and not MAIN.isdisjoint(path) else "named" if main else "all" if e[2] is not None and e[4] > 1 else "body"
+            kind = "" if dropped else "main" if main and not MAIN.isdisjoint(path) else "named" if main else "all" if e[2] is not None else "body"
             out[path] = max(out.get(path, ""), kind)
             return
         main, dropped = main or is_main(e), dropped or furniture(e[0], main) and (main or not holds_main(e))
@@ -274,6 +312,7 @@ _OUT = pa.schema([("host", pa.string()), ("slice", pa.int32()), ("pages", pa.int
 _DDL = "host string, slice int, pages bigint, wrapper string"
 SLICES = 16
 OPEN = 2_000
+SEEN = 64
 
 
 def _rows(wrappers: dict) -> pa.RecordBatch:
@@ -313,11 +352,16 @@ def _of_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows({key: (n, wrapper)})
 
 
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _of_wrappers(batches):
+        yield _rows({(host, part): (n, settled(json.loads(w))) for host, part, n, w in zip(*[c.to_pylist() for c in batch.columns], strict=True)})
+
+
 def infer(pages: DataFrame) -> DataFrame:
     """(host, pages, wrapper) from rows of (host, html)."""
     w = pages.select("host", "html").mapInArrow(_of_pages, _DDL)
     w = w.repartition("host", "slice").sortWithinPartitions("host", "slice").mapInArrow(_of_wrappers, _DDL)
-    w = w.withColumn("slice", F.lit(0)).repartition("host").sortWithinPartitions("host").mapInArrow(_of_wrappers, _DDL)
+    w = w.withColumn("slice", F.lit(0)).repartition("host").sortWithinPartitions("host").mapInArrow(_finished, _DDL)
     return w.select("host", "pages", "wrapper")
 
 
