@@ -82,6 +82,18 @@ def test_slices_do_not_lose_long_intervals(spark):
     assert evaluate.overlap_join(p, i, "key", "t", "a", "z", width=3600).count() == 5
 
 
+def test_sweep_meets_every_fault(spark):
+    from tidegauge.operators import detect
+    day = lambda d, m=0: T0 + timedelta(days=d, minutes=m)
+    spikes = {75: 500.0, 76: 500.0, 85: 500.0, 86: 500.0}
+    pts = spark.createDataFrame([("A", "m", day(d), spikes.get(d, 10.0 + d % 3), 1.0) for d in range(90)], "asset_id string, metric string, bucket timestamp, value double, floor double")
+    # events start on days 76 and 86: one fault is open, one covers three days, the others miss by minutes or by asset
+    inj = spark.createDataFrame([("open", "A", day(76, -5), None), ("long", "A", day(84), day(87)), ("late", "A", day(76, 1), day(77)), ("past", "A", day(85), day(86, -6)), ("other", "B", day(76), day(77))],
+                                "uid string, asset_id string, start timestamp, end timestamp")
+    got = {r["setting"]: (r["events"], r["inside"], r["noise"], r["found"], r["high_inside"]) for r in detect.sweep(pts, ["asset_id", "metric"], inj, run=2).collect()}
+    assert len(got) == 7 and all(v[:4] == (2, 2, 0, 2) for k, v in got.items() if "piso relativo 5" not in k), got
+
+
 def plain_redact(texts, known):
     """Every place tried by hand: known values first, then shapes, at each position from the left."""
     low = {k.lower().strip(): v for k, v in known.items() if not k.isdigit()}

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import TERMINAL_STATES
+from .evaluate import overlap_join
 from .ordered import local_frames
 
 # ---- fixed values
@@ -177,7 +178,8 @@ def sweep(points: DataFrame, keys: list[str], injections: DataFrame, ts: str = "
     """Events, hits, noise, injections found and high hits for every setting.
 
     The setting is part of the series key, so all settings share one plan; the
-    copies are made by an explode of a literal array of seven entries.
+    copies are made by an explode of a literal array of seven entries. An event belongs to an injection as in J3, so one
+    without an end counts from its start to the margin.
     """
     arr = F.array(*[F.struct(F.lit(n).alias("setting"), F.lit(h).alias("least"), F.lit(r).alias("rel"), F.lit(a).alias("abs"))
                     for n, h, r, a in (settings or SETTINGS)])
@@ -185,9 +187,9 @@ def sweep(points: DataFrame, keys: list[str], injections: DataFrame, ts: str = "
     floor = F.when(F.col("abs"), F.col("floor")).otherwise(0.0)
     sc = scored(many, [*keys, "setting"], ts, run=run, least=F.col("least"), rel=F.col("rel"), floor=floor, bucket_seconds=bucket_seconds)
     ev = events(sc).withColumn("event_id", F.xxhash64(*keys, "setting", ts))
-    margin = F.expr(f"interval {margin_minutes} minutes")
-    inj = injections.select(F.col("asset_id").alias("_a"), "uid", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = ev.join(inj, (ev["asset_id"] == inj["_a"]) & (F.col(ts) >= F.col("_s")) & (F.col(ts) <= F.col("_e") + margin), "left")
+    until = F.coalesce("end", "start") + F.expr(f"interval {margin_minutes} minutes")
+    inj = injections.select("asset_id", "uid", F.col("start").alias("_s"), until.alias("_e"))
+    hit = overlap_join(ev, inj, "asset_id", ts, "_s", "_e", "left")
     one = hit.groupBy("setting", "event_id", "severity").agg(F.min("uid").alias("uid"))
     return one.groupBy("setting").agg(
         F.count(F.lit(1)).alias("events"), F.count("uid").alias("inside"), F.count_if(F.col("uid").isNull()).alias("noise"),

@@ -135,6 +135,17 @@ def _(t):
     return detect.sweep(pts, KEYS, per_day, bucket_seconds=DAY, run=2)
 
 
+# the same sweep against every fault, with its own start and end
+_SWEEP_ALL = _SWEEP.replace("""date_trunc('day', "start") AS st, min(uid) AS uid, min("start") + INTERVAL 6 HOUR AS en FROM injections WHERE "end" IS NOT NULL GROUP BY 1, 2)""",
+                            """"start" AS st, uid, coalesce("end", "start") AS en FROM injections)""")
+
+
+@query("w28_settings_sweep_all_faults", _SWEEP_ALL, "hourly injections")
+def _(t):
+    inj = t.injections.withColumn("asset_id", F.concat(F.lit("asset-"), (F.substring("asset_id", 2, 20).cast("bigint") % 10).cast("string")))
+    return detect.sweep(t.hourly.withColumn("floor", F.lit(1.0)), KEYS, inj, bucket_seconds=DAY, run=2)
+
+
 @query("p19_fresh_events", "SELECT anomaly_id FROM anomalies WHERE \"start\" >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 30 MINUTE", "anomalies")
 def _(t):
     return detect.fresh(t.anomalies, F.to_timestamp(F.lit("2024-01-30 00:00:00"))).select("anomaly_id")
