@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Fixed values of the word definitions, as Java and RE2 both read them.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -76,3 +79,11 @@ def fixed_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
 
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
+
+
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Written as a table in the shared folder, which survives lost executors, and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

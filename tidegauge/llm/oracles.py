@@ -55,3 +55,25 @@ def decontamination(width: int = 10) -> str:
       named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY rid)
       SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
         coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""
+
+
+def divergence(least_docs: int = 3, top: int = 200) -> str:
+    gap = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    p = "CAST(1 + (1000000000::HUGEINT * ({} + 1)) // ({} + {}) AS HUGEINT)"
+    f = "CAST((p - q) * (p - q) // q AS HUGEINT)"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({low}, {gap}) AS w FROM documents),
+      t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+      l AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= {least_docs}),
+      ln AS (SELECT lang, count(*) AS v, sum(n) AS total FROM l GROUP BY ALL),
+      c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN l USING (lang, term) GROUP BY ALL),
+      g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) AS total, coalesce(own, 0) AS own FROM (SELECT DISTINCT lang, source FROM d)
+        LEFT JOIN ln USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS own FROM c GROUP BY ALL) USING (lang, source)),
+      a AS (SELECT g.lang, g.source, l.term, {p.format("coalesce(c.n, 0)", "g.own", "g.v")} AS p, coalesce(c.n, 0) AS n, {p.format("l.n", "g.total", "g.v")} AS q
+        FROM g JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+      e AS (SELECT lang, source, item, sum({f}) AS value FROM (SELECT a.lang, a.source, b.source AS item, a.p, b.p AS q FROM a JOIN a b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source) GROUP BY ALL),
+      x AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+          LEFT JOIN e ON e.lang = g.lang AND e.source = g.source AND e.item = h.source
+        UNION ALL SELECT lang, source, 'term', term, {f} FROM a WHERE n > 0 AND p > q),
+      r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+      SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= {top}"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import pin_utc
-from . import bpe, decontaminate, licenses, neardup, oracles, quality, repeats, secrets, sharding, toxicity, wrappers
+from . import bpe, decontaminate, divergence, licenses, neardup, oracles, quality, repeats, secrets, sharding, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def _repeats(read):
 @query("op10_sharding")
 def _sharding(read):
     return sharding.shard(read("documents"))
+
+
+@query("op11_source_divergence", oracles.divergence())
+def _divergence(read):
+    return divergence.audit(read("documents"))
