@@ -23,11 +23,12 @@ def write_points(points: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet by (metric, date), sorted inside files, so a request reads few row groups.
 
     Rows are rebalanced: a metric that holds a third of all rows is split into
-    partitions of the advisory size, small ones are not cut at all.
+    partitions of the advisory size, small ones are not cut at all. An overwrite
+    replaces the whole folder, which then carries the marker of a finished write.
     """
     out = last_write(points)
     (out.hint("rebalance", "metric", "date").sortWithinPartitions("metric", "asset_id", "ts")
-        .write.mode(mode).partitionBy("metric", "date").parquet(path))
+        .write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("metric", "date").parquet(path))
 
 
 def write_signal(rows: DataFrame, path: str, ts: str, mode: str = "append") -> None:

@@ -5,14 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: Versions that stay: readers of an older one have that long to finish.
+KEEP = 10
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path object) of a path or a file URI."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def listed(spark: SparkSession, root: str, pattern: str) -> list[str]:
+    """Folders and files below ``root`` by pattern, sorted."""
+    fs, path = file_system(spark, root)
+    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, pattern)) or []
+    return sorted(s.getPath().toString() for s in found)
+
+
+def committed(spark: SparkSession, root: str, key: str) -> dict[int, str]:
+    """Number and folder of every ``key=<number>`` whose write has finished: only those carry the marker of the committer."""
+    found = [p.rsplit("/", 1)[0] for p in listed(spark, root, f"{key}=*/_SUCCESS")]
+    return dict(sorted((int(p.rsplit("=", 1)[1]), p) for p in found))
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+
 
 def _folders(spark: SparkSession, root: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # only folders whose write has finished carry the marker of the committer
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "v=*/_SUCCESS")) or []
-    return sorted(s.getPath().getParent().toString() for s in found)
+    return list(committed(spark, root, "v").values())
 
 
 def latest(spark: SparkSession, root: str, schema: T.StructType | str, back: int = 0) -> DataFrame:
@@ -35,13 +57,18 @@ def last_good(spark: SparkSession, root: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def publish(df: DataFrame, root: str, version: int) -> str:
-    """Write one version. Writing the same version again (a retried batch) replaces it with the same rows."""
+def publish(df: DataFrame, root: str, version: int, keep: int = KEEP) -> str:
+    """Write one version. Writing the same version again (a retried batch) replaces it with the same rows.
+
+    Versions before the last ``keep`` ones are dropped, so a job that publishes with every batch has a bounded number of folders.
+    """
     path = f"{root}/v={version:012d}"
     df.write.mode("overwrite").parquet(path)
+    for old in _folders(df.sparkSession, root)[:-keep]:
+        drop(df.sparkSession, old)
     return path
 
 
 def next_version(spark: SparkSession, root: str) -> int:
-    folders = _folders(spark, root)
-    return int(folders[-1].rsplit("v=", 1)[1]) + 1 if folders else 0
+    done = committed(spark, root, "v")
+    return max(done) + 1 if done else 0

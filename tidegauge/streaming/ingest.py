@@ -1,4 +1,4 @@
-"""The ingest stream: one micro-batch is routed to points, rejects, ledgers and the redo queue."""
+"""The ingest stream: one micro-batch is routed to points, rejects, ledgers and its change set."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import catalog, evaluate, health
-from ..schema import LOGS, METRIC_POINTS, SPANS
+from ..schema import LOGS, SPANS
 from ..session import cut_lineage
 from ..sources import otlp, sinks, versions
+from ..sources import store as stores
 from . import rollup
 
 KEYS = "key string, asset_id string, kind string, provider string"
@@ -30,6 +31,14 @@ class Paths:
     def __getattr__(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    @property
+    def store(self) -> stores.PointStore:
+        return stores.PointStore(self.points_raw, self.points_merged, self.points_manifest)
+
+    @property
+    def levels(self) -> rollup.Levels:
+        return rollup.Levels(self.changes, self.rolled, self.points_1m, self.points_1h)
+
 
 def observed(rows: DataFrame, name: str = "ingest") -> DataFrame:
     """Counts of every batch, read by :class:`ProgressLog`."""
@@ -63,7 +72,7 @@ def metric_batch(paths: Paths):
 
     Everything it writes can be repeated for the same batch: points carry
     last-write-wins keys, state tables are versioned by the batch id, and the
-    redo set only names hours.
+    change set only names keys. It is written last: where it is, the points are.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -77,10 +86,10 @@ def metric_batch(paths: Paths):
             folder = f"batch={batch_id}"
             sinks.write_rejects(broken.unionByName(rows.where("route = 'error'").select(
                 F.to_json(F.struct("metric", "time_ns", "dims")).alias("line"), F.lit("time out of range").alias("error"))), f"{paths.rejects}/{folder}", "overwrite")
-            sinks.write_points(pts, f"{paths.points_raw}/{folder}", "overwrite")
+            stores.write_run(pts, paths.store, batch_id)
             ident = catalog.resolve(rows.where("first"), keys)
             _count(spark, ident, "metricas", paths.sources, paths.orphans, batch_id)
-            rollup.late_hours(pts).write.mode("overwrite").parquet(f"{paths.redo}/{folder}")
+            rollup.note_changes(pts, paths.levels, batch_id)
         finally:
             rows.unpersist()
     return handle
@@ -160,28 +169,19 @@ def _before(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataF
     return spark.read.schema(schema).parquet(done[-1]) if done else spark.createDataFrame([], schema)
 
 
-def read_points(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Over all batches the latest arrival of a series and nanosecond counts, so a sample sent again counts once."""
-    rows = spark.read.schema(METRIC_POINTS).option("basePath", paths.points_raw).option("recursiveFileLookup", "false").parquet(paths.points_raw)
-    return sinks.last_write(rows)
+def read_points(spark: SparkSession, paths: Paths, parts: DataFrame | None = None) -> DataFrame:
+    """Over all batches the latest arrival of a series and nanosecond counts; ``parts`` (metric, date) cuts the scan."""
+    return stores.read(spark, paths.store, parts)
 
 
-def run_redo(spark: SparkSession, paths: Paths) -> DataFrame:
-    """T2 + T3: recomputes the hours that batches since the last pass have queued, and notes how far it came.
+def run_redo(spark: SparkSession, paths: Paths, as_of=None, most: int | None = None) -> DataFrame:
+    """T2 + T3: one cycle of the roll-up; returns the (metric, hour) pairs of this pass."""
+    return rollup.cycle(spark, paths.store, paths.levels, as_of, most)
 
-    Returns the (metric, hour) pairs of this pass. A pass that dies before the
-    note is repeated, which changes nothing: summaries replace whole partitions.
-    """
-    done = versions.latest(spark, paths.redo_done, "batch bigint")
-    last = done.agg(F.max("batch")).first()[0]
-    queue = spark.read.schema("metric string, hour timestamp, batch bigint").option("basePath", paths.redo).parquet(paths.redo)
-    queue = queue.where(F.col("batch") > F.lit(-1 if last is None else last))
-    newest = queue.agg(F.max("batch")).first()[0]
-    hours = cut_lineage(queue.select("metric", "hour").distinct())
-    if newest is not None:
-        rollup.redo(spark, hours, read_points(spark, paths), paths.points_1m, paths.points_1h)
-        versions.publish(spark.createDataFrame([(newest,)], "batch bigint"), paths.redo_done, versions.next_version(spark, paths.redo_done))
-    return hours
+
+def run_merge(spark: SparkSession, paths: Paths, least: int = 4) -> int:
+    """Merges the runs of partitions that have ``least`` of them; queued hours of moves stay until a cycle has taken them."""
+    return stores.merge(spark, paths.store, least, rollup.progress(spark, paths.levels)["1m"][1])
 
 
 def start_metrics(spark: SparkSession, inbox: str, paths: Paths, files_per_trigger: int = 100, available_now: bool = False):
@@ -201,13 +201,46 @@ def load_truth(spark: SparkSession, logs: DataFrame, keys: DataFrame, root: str)
     return versions.latest(spark, root, INJECTIONS)
 
 
-def associate(points: DataFrame, orphans: DataFrame, keys: DataFrame):
-    """What one pass moves. Returns ``(points after the move, hours to redo, keys that only a person can associate)``."""
+def due_moves(points: DataFrame, orphans: DataFrame, keys: DataFrame):
+    """(moves: host_name, new_asset, since; touched hours; keys that only a person can associate)."""
     pending = catalog.resolvable(orphans, keys, pending_only=True)
     auto = pending.where("key_type = 'host.name'")
     moves = auto.select(F.col("key").alias("host_name"), F.col("resolves_to").alias("new_asset"), (F.col("first_seen") - F.expr("interval 2 hours")).alias("since"))
-    p = points if "reassigned" in points.columns else points.withColumn("reassigned", F.lit(False))
-    out = catalog.reassign(p, moves, ["metric", "time_ns", "value"], ts="ts")
-    hours = p.join(moves, "host_name").where((F.col("asset_id") == "sin_resolver") & (F.col("ts") >= F.col("since"))).select(
+    hours = points.join(moves, "host_name").where((F.col("asset_id") == "sin_resolver") & (F.col("ts") >= F.col("since"))).select(
         "metric", F.date_trunc("hour", "ts").alias("hour")).distinct()
-    return out, hours, pending.where("key_type <> 'host.name'")
+    return moves, hours, pending.where("key_type <> 'host.name'")
+
+
+def _moved(points: DataFrame, moves: DataFrame) -> DataFrame:
+    p = points if "reassigned" in points.columns else points.withColumn("reassigned", F.lit(False))
+    return catalog.reassign(p, moves, ["metric", "time_ns", "value"], ts="ts")
+
+
+def associate(points: DataFrame, orphans: DataFrame, keys: DataFrame):
+    """What one pass moves. Returns ``(points after the move, hours to redo, keys that only a person can associate)``."""
+    moves, hours, by_hand = due_moves(points, orphans, keys)
+    return _moved(points, moves), hours, by_hand
+
+
+def run_moves(spark: SparkSession, paths: Paths, keys: DataFrame) -> int:
+    """Rows of orphan hosts that the catalogue now knows move to their asset. Returns the number of partitions rewritten.
+
+    The (metric, date) partitions that hold such rows are swapped as a whole, and their hours are queued for the roll-up in
+    the same manifest, so there is no state in which rows have moved and their summaries will not follow. The ledger is
+    marked afterwards; a pass that dies before that finds nothing to move and marks it.
+    """
+    orphans = all_orphans(spark, paths)
+    moves, hours, _ = due_moves(read_points(spark, paths), orphans, keys)
+    moves, hours = cut_lineage(moves), cut_lineage(hours)
+    parts = hours.select("metric", F.to_date("hour").alias("date")).distinct()
+    n = stores.move(spark, paths.store, parts, lambda rows: sinks.last_write(_moved(rows, moves).drop("reassigned")), hours, rollup.progress(spark, paths.levels)["1m"][1])
+    if not moves.isEmpty():
+        done = moves.select(F.col("host_name").alias("key"), F.col("new_asset").alias("_to")).distinct()
+        for signal in ("", "_registros", "_trazas"):
+            root = paths.orphans + signal
+            old = versions.latest(spark, root, ORPHANS)
+            new = old.join(done, "key", "left").withColumn("associated_at", F.coalesce("associated_at", F.when(F.col("_to").isNotNull(), F.current_timestamp()))).withColumn(
+                "associated_to", F.coalesce("associated_to", "_to")).select(*old.columns)
+            if versions.committed(spark, root, "v"):
+                versions.publish(cut_lineage(new), root, max(versions.committed(spark, root, "v")))
+    return n
