@@ -152,3 +152,15 @@ def test_moved_rows_and_their_hours_are_one_commit(spark, folder):
     assert sorted(r.hour for r in hours.collect()) == [T0, T0 + timedelta(hours=2)]
     assert levels(spark, paths) == batch_levels(pts.unionByName(rows_of(spark, [(9060, 1, 9060)]).select(*pts.columns)))
     assert ingest.run_moves(spark, paths, keys) == 0 and rollup.cycle(spark, paths.store, paths.levels).count() == 0
+
+
+def test_levels_in_days(spark, folder):
+    from dataclasses import replace
+    paths = ingest.Paths(f"{folder}/r")
+    levels_ = replace(paths.levels, unit="day")
+    for b in (0, 2):
+        stores.write_run(rows_of(spark, BATCHES[b]), paths.store, b)
+        rollup.note_changes(rows_of(spark, BATCHES[b]), levels_, b)
+        rollup.cycle(spark, paths.store, levels_)
+    got = [sorted((r.asset_id, r.bucket, round(r.value_avg, 9), r.value_count) for r in rollup.read_level(spark, p, unit="day").collect()) for p in (levels_.minutes, levels_.hours)]
+    assert got == batch_levels(ingest.read_points(spark, paths))

@@ -50,14 +50,16 @@ def late_hours(batch: DataFrame) -> DataFrame:
     return late.select("metric", bucket(F.col("ts"), 3600).alias("hour")).distinct()
 
 
-def _placed(level: DataFrame) -> DataFrame:
-    return level.withColumn("date", F.to_date("bucket")).withColumn("hour", F.hour("bucket"))
+#: Partitions of a level whose unit of replacement is an hour or a day.
+UNITS = {"hour": ["metric", "date", "hour"], "day": ["metric", "date"]}
 
 
-def write_level(level: DataFrame, path: str) -> None:
-    """T4: partitions (metric, date, hour) are replaced as a whole, so a repeat changes nothing."""
-    (_placed(level).hint("rebalance", "metric", "date", "hour").sortWithinPartitions("asset_id", "bucket")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric", "date", "hour").parquet(path))
+def write_level(level: DataFrame, path: str, unit: str = "hour") -> None:
+    """T4: partitions (metric, date, hour) are replaced as a whole, so a repeat changes nothing; (metric, date) where the unit is a day."""
+    by, placed = UNITS[unit], level.withColumn("date", F.to_date("bucket"))
+    placed = placed.withColumn("hour", F.hour("bucket")) if "hour" in by else placed
+    (placed.hint("rebalance", *by).sortWithinPartitions("asset_id", "bucket")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
 
 def redo(spark: SparkSession, hours: DataFrame, raw: DataFrame, minute_path: str, hour_path: str, minute: int = 60, hour: int = 3600) -> None:
@@ -85,16 +87,21 @@ CHANGES = "metric string, minute timestamp, batch bigint"
 #: ``metric`` null: how far the level came (batches, moves, and the time up to which it is published). Else an hour that it still has to do.
 PROGRESS = "level string, upto bigint, moves bigint, published timestamp, metric string, hour timestamp"
 LEVEL = ("asset_id string, host_name string, service_name string, cloud_provider string, cloud_region string, deployment_environment string, dims_key string, "
-         "bucket timestamp, value_avg double, value_min double, value_max double, value_count double, metric string, date date, hour int")
+         "bucket timestamp, value_avg double, value_min double, value_max double, value_count double, metric string, date date")
 
 
 @dataclass
 class Levels:
-    """Folders of the roll-up: change sets of the batches, progress, minute and hour summaries."""
+    """Folders of the roll-up: change sets of the batches, progress, minute and hour summaries.
+
+    ``unit`` is what a touched key makes new, and the partition of both levels: an hour for live data, where only the newest
+    ones are touched; a day where rows come late or in bulk and files of an hour would be many and small.
+    """
     changes: str
     progress: str
     minutes: str
     hours: str
+    unit: str = "hour"
 
 
 def touched(points: DataFrame) -> DataFrame:
@@ -125,20 +132,21 @@ def _note(spark: SparkSession, levels: Levels, done: dict[str, tuple], waiting:
     versions.publish(cut_lineage(rows), levels.progress, versions.next_version(spark, levels.progress))
 
 
-def read_level(spark: SparkSession, path: str, hours: DataFrame | None = None) -> DataFrame:
-    """A summary level, or only the partitions of some (metric, hour) pairs."""
-    df = spark.read.schema(LEVEL).parquet(path)
-    if hours is None:
+def read_level(spark: SparkSession, path: str, units: DataFrame | None = None, unit: str = "hour") -> DataFrame:
+    """A summary level, or only the partitions of some (metric, hour) pairs, ``hour`` being the start of the unit."""
+    by = UNITS[unit]
+    df = spark.read.schema(LEVEL + (", hour int" if "hour" in by else "")).parquet(path)
+    if units is None:
         return df
-    want = hours.select("metric", F.to_date("hour").alias("date"), F.hour("hour").alias("hour")).distinct()
-    return stores.only(df, want).join(want, ["metric", "date", "hour"], "left_semi")
+    want = units.select("metric", F.to_date("hour").alias("date"), F.hour("hour").alias("hour")).select(*by).distinct()
+    return stores.only(df, want).join(want, by, "left_semi")
 
 
 def cycle(spark: SparkSession, store: stores.PointStore, levels: Levels, as_of: Column | None = None, most: int | None = None,
           minute: int = 60, hour: int = 3600) -> DataFrame:
     """One pass over what batches and moves have touched; returns the (metric, hour) pairs whose minutes it redid.
 
-    Minutes of a touched hour are computed anew from the stored rows and replace the partition (metric, date, hour); the
+    Minutes of a touched hour (or day, see ``Levels.unit``) are computed anew from the stored rows and replace the partition (metric, date, hour); the
     scan is cut to the (metric, date) partitions of the pass. The hour level waits until its hour can be published, so it is
     written once if nothing comes late; without ``as_of`` it doesn't wait. With ``most`` a pass does the oldest ``most`` pairs and leaves
     the others to the next one. A pass that dies is repeated: progress is noted after the writes, which replace.
@@ -148,18 +156,18 @@ def cycle(spark: SparkSession, store: stores.PointStore, levels: Levels, as_of:
     queue = _waiting(spark, levels, "1m")
     if batches:
         new = spark.read.schema(CHANGES).option("basePath", levels.changes).parquet(*batches.values())
-        queue = queue.unionByName(new.select("metric", F.date_trunc("hour", "minute").alias("hour")))
+        queue = queue.unionByName(new.select("metric", F.date_trunc(levels.unit, "minute").alias("hour")))
     moved = stores.moved_hours(spark, store, done["1m"][1])
     last_move = moved.agg(F.max("v")).first()[0]
-    queue = cut_lineage(queue.unionByName(moved.select("metric", "hour")).distinct())
+    queue = cut_lineage(queue.unionByName(moved.select("metric", F.date_trunc(levels.unit, "hour").alias("hour"))).distinct())
     now, later = queue, queue.limit(0)
     if most is not None:
         now = cut_lineage(queue.orderBy("hour", "metric").limit(most))
         later = queue.join(now, ["metric", "hour"], "left_anti")
     if not now.isEmpty():
         rows = stores.read(spark, store, now.select("metric", F.to_date("hour").alias("date")))
-        rows = rows.withColumn("_h", F.date_trunc("hour", "ts")).join(now.withColumnRenamed("hour", "_h"), ["metric", "_h"], "left_semi")
-        write_level(rollup.summarise(rows, minute), levels.minutes)
+        rows = rows.withColumn("_h", F.date_trunc(levels.unit, "ts")).join(now.withColumnRenamed("hour", "_h"), ["metric", "_h"], "left_semi")
+        write_level(rollup.summarise(rows, minute), levels.minutes, levels.unit)
     until = {"1m": done["1m"][2], "1h": done["1h"][2]}
     if as_of is not None:
         clock = spark.range(1).select(F.date_trunc("minute", as_of - F.expr(LATE_AFTER)).alias("m")).select("m", F.date_trunc("hour", F.col("m") - F.expr(HOUR_AFTER)).alias("h")).first()
@@ -167,9 +175,9 @@ def cycle(spark: SparkSession, store: stores.PointStore, levels: Levels, as_of:
     done = {"1m": (max([done["1m"][0], *batches]), done["1m"][1] if last_move is None else last_move, until["1m"]), "1h": done["1h"]}
     due = cut_lineage(_waiting(spark, levels, "1h").unionByName(now).distinct())
     _note(spark, levels, done, {"1m": later, "1h": due})
-    ready = due if as_of is None else due.where(F.col("hour") + F.expr("interval 1 hour") <= F.lit(until["1h"]))
+    ready = due if as_of is None else due.where(F.col("hour") + F.expr(f"interval 1 {levels.unit}") <= F.lit(until["1h"]))
     if not ready.isEmpty():
-        write_level(rollup.summarise_again(read_level(spark, levels.minutes, ready), hour), levels.hours)
+        write_level(rollup.summarise_again(read_level(spark, levels.minutes, ready, levels.unit), hour), levels.hours, levels.unit)
     rest = due.limit(0) if as_of is None else due.join(ready, ["metric", "hour"], "left_anti")
     done["1h"] = (done["1m"][0], done["1m"][1], until["1h"])
     _note(spark, levels, done, {"1m": later, "1h": rest})
@@ -183,5 +191,5 @@ def published(spark: SparkSession, levels: Levels, level: str) -> DataFrame:
     """The buckets of a level that are final by the clock; what comes later still changes them."""
     path, width = (levels.minutes, "1 minute") if level == "1m" else (levels.hours, "1 hour")
     until = progress(spark, levels)[level][2]
-    df = read_level(spark, path)
+    df = read_level(spark, path, unit=levels.unit)
     return df if until is None else df.where(F.col("bucket") + F.expr(f"interval {width}") <= F.lit(until))
