@@ -7,12 +7,15 @@ optional, what is repeated in one is repeated, and texts that differ become slot
 done piecewise: each task folds the pages it reads, then each (host, slice) folds what came from the tasks, then each host.
 
 The host's wrapper decides which slots hold the main text: those inside article or main elements, else those that are
-neither furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) nor the same text on most of the host's pages.
+neither furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) nor the same text on most of the host's pages
+nor, on all pages, mostly links. Words in class and id are a weak vote: they must name the element as a whole ("site-footer", not "with-sidebar"),
+inline elements are part of their sentence whatever they are called, and where nothing else is left on a page without article
+or main element, what only words have marked is its text.
 Pages count once however often they were copied: a page is known by the two longest of its other texts, so copies that differ
 elsewhere are one page too, and a slot's pages are counted by the SEEN smallest digests (exact up to SEEN, estimated above).
 
 Defined cases: a null page is empty, its text is empty; a null URL is the host without a name; cut-off pages, unclosed and
-stray tags are read as browsers do; repeated rows get equal results; pages of any length are read whole; other columns are
+stray tags are read as browsers do, and as in browsers elements nested deeper than DEPTH are put beside each other; repeated rows get equal results; pages of any length are read whole; other columns are
 ignored; an empty table gives an empty table.
 """
 
@@ -22,6 +25,7 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,63 +55,136 @@ WORDS = frozenset(("ad ads advert adverts advertisement advertising banner bread
                    "contentinfo complementary masthead alert").split())
 #: Of these, the ones that mark even an article element, as reader comments and teasers are marked up.
 OF_ARTICLES = frozenset("ad advert comment comments promo related reply replies sponsored".split())
+#: Parts that leave the meaning of a word as it is ("footer-links"), and parts that turn it round ("no-ads", "with-sidebar").
+PLACES = frozenset(("area bar block body bottom box button buttons column container content form group header holder inner item items left link links list outer panel posts right row section slot "
+                    "text title top unit wrap wrapper").split())
+TURNS = frozenset("no non not without with has hide hides is".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+READ = frozenset("class id role hidden aria-hidden style".split())
 WHITE = re.compile(r"\s+")
+#: Levels of elements that are kept; browsers have such a limit too.
+DEPTH = 200
+#: Share of a text's characters that stand in links, from which on it is one of a list of links.
+LINKS = 0.7
 
 
 class Node:
-    """An element (name, label, children) or, with name "#", a run of text."""
+    """An element (name, label, children) or, with name "#", a run of text, of which ``links`` characters stand in links."""
 
-    __slots__ = ("name", "label", "children", "text", "shape")
+    __slots__ = ("name", "label", "children", "text", "links")
 
-    def __init__(self, name: str, label: str, text: str = ""):
-        self.name, self.label, self.children, self.text, self.shape = name, label, [], text, ""
+    def __init__(self, name: str, label: str, text: str = "", links: int = 0):
+        self.name, self.label, self.children, self.text, self.links = name, label, [], text, links
+
+
+def names_furniture(word: str, words: frozenset[str]) -> bool:
+    """Whether a class or id as a whole names a piece of furniture: its last part does, or some part does and all others only say where."""
+    parts = [p for p in re.split(r"[^a-z]+", word) if p]
+    if not parts or words.isdisjoint(parts) or not TURNS.isdisjoint(parts):
+        return False
+    return parts[-1] in words or all(p in words or p in PLACES for p in parts)
 
 
 def _label(name: str, attrs: str) -> str:
-    """The element's name, with ! where its attributes mark furniture or hide it, and * where they mark the main part."""
-    words: set[str] = set()
-    main = False
+    """The element's name, with - where its attributes hide it, ! where their words mark furniture, and * where they mark the main part."""
+    marked = main = False
     for key, *values in ATTR.findall(attrs) if attrs else ():
-        value, key = "".join(values).lower(), key.lower()
+        key = key.lower()
+        if key not in READ:
+            continue
+        value = "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            words.add("nav")
-        elif key != "style":
-            words.update(re.split(r"[^a-z0-9]+", value))
+            return name + "-"
+        if key in ("class", "id", "role"):
+            marked |= any(names_furniture(w, OF_ARTICLES if name in MAIN else WORDS) for w in value.split())
             main |= name in CONTAINERS and not MAIN_NAMES.isdisjoint(value.split())
-    return name + ("!" if words & (OF_ARTICLES if name in MAIN else WORDS) else "*" if main else "")
+    return name + ("!" if marked else "*" if main else "")
 
 
 def tree(page: str) -> Node:
-    """The page's block elements and the texts between them; inline elements are part of the text."""
+    """The page's block elements and the texts between them; inline elements are part of the text, but for hidden ones."""
     root = Node("html", "html")
-    stack, at, text = [root], 0, []
+    stack, at = [root], 0
+    opened: dict[str, int] = {}
+    text: list[tuple[str, bool]] = []  # with whether it stands in a link
+    marked: list[list] = []  # inline elements that are hidden or marked: label, depth of their name
+    plain, label_of_text = False, ""  # whether the text has more than marked inline elements
 
     def flush() -> None:
+        nonlocal plain, label_of_text
         if text:
-            t = WHITE.sub(" ", entities.unescape("".join(text))).strip()
-            text.clear()
+            t = WHITE.sub(" ", entities.unescape("".join(x for x, _ in text))).strip()
             if t:
-                stack[-1].children.append(Node("#", "#", t))
+                links = sum(len(x) for x, in_link in text if in_link)
+                node = Node("#", "#", t, min(links, len(t)))
+                if not plain and label_of_text:  # a marked inline element that stands for itself is a block
+                    box = Node(label_of_text[:-1], label_of_text)
+                    box.children.append(node)
+                    node = box
+                stack[-1].children.append(node)
+            text.clear()
+        plain, label_of_text = False, ""
+
+    def cut(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.name] -= 1
+        del stack[k:]
 
     def close(names: frozenset[str], scope: frozenset[str]) -> None:
+        if not any(opened.get(n) for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
                 flush()
-                del stack[k:]
+                cut(k)
                 return
             if stack[k].name in scope:
                 return
 
+    def push(name: str, label: str) -> None:
+        node = Node(name, label)
+        stack[min(len(stack), DEPTH) - 1].children.append(node)
+        stack.append(node)
+        opened[name] = opened.get(name, 0) + 1
+
+    def add(piece: str) -> None:
+        nonlocal plain, label_of_text
+        if piece and not (marked and marked[-1][0][-1] == "-"):
+            text.append((piece, links > 0))
+            if marked:
+                label_of_text = label_of_text or marked[0][0]
+            elif not piece.isspace():
+                plain = True
+
+    links = 0
     while m := TOKEN.search(page, at):
-        text.append(page[at:m.start()])
+        add(page[at:m.start()])
         at = m.end()
         name = (m["tag"] or "").lower()
         if not name or name in ("html", "body"):
             continue
+        if name in INLINE and name not in VOID:
+            if m["end"]:
+                if marked and marked[-1][0][:-1] == name:
+                    marked[-1][1] -= 1
+                    if not marked[-1][1]:
+                        marked.pop()
+                elif opened.get(name):
+                    close(frozenset([name]), SCOPE)
+                links -= name == "a" and links > 0
+                continue
+            links = 1 if name == "a" else links  # links do not nest
+            label = _label(name, m["attrs"])
+            if marked and marked[-1][0][:-1] == name:
+                marked[-1][1] += 1
+            elif label != name:
+                marked.append([label, 1])
+            continue
         if m["end"]:
-            if name not in INLINE and any(n.name == name for n in stack[1:]):
+            if opened.get(name):
+                marked.clear()
+                links = 0
                 close(frozenset([name]), frozenset())
             continue
         if name in RAW:
@@ -115,23 +192,23 @@ def tree(page: str) -> Node:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
-        label = _label(name, m["attrs"])
-        if name in INLINE and label == name:
-            if name in ("br", "img", "wbr"):
-                text.append(" " if name == "br" else "")
-            continue
         if name in VOID:
-            flush()
+            if name == "br":
+                add(" ")
+            elif name not in INLINE:
+                flush()
             continue
+        label = _label(name, m["attrs"])
         if name in ENDS_P:
             close(CLOSES["p"], SCOPE)
         elif name in CLOSES:
             close(CLOSES[name], SCOPE)
         flush()
-        node = Node(name, label)
-        stack[-1].children.append(node)
-        stack.append(node)
-    text.append(page[at:])
+        for x, _ in marked:  # blocks inside a marked inline element are inside its box
+            push(x[:-1], x)
+        marked.clear()
+        push(name, label)
+    add(page[at:])
     flush()
     return root
 
@@ -140,19 +217,23 @@ def texts_of(node: Node) -> set[str]:
     return {node.text} if node.name == "#" else set().union(*map(texts_of, node.children))
 
 
+def text_digest(text: str) -> str:
+    return hashlib.blake2b(text.encode(), digest_size=6).hexdigest()
+
+
 def page_digest(longest: list[str], text: str = "") -> int:
     """The page as it is known beside ``text``."""
     return int.from_bytes(hashlib.blake2b("\0".join([t for t in longest if t != text][:2]).encode(), digest_size=6).digest(), "big")
 
 
 def expression(node: Node, longest: list[str] | None = None) -> list:
-    """[label, mark, text, children, for texts: digests of pages] with neighbouring groups of equal shape (up to three elements long) as
+    """[label, mark, text, children, for texts: digests of pages, whether all are links] with neighbouring groups of equal shape (up to three elements long) as
     one repeated group. In the place of its text, the root has the digests of all pages."""
     root = longest is None
     if longest is None:
         longest = sorted(texts_of(node), key=lambda t: (-len(t), t))[:3]
     if node.name == "#":
-        return ["#", "", hashlib.blake2b(node.text.encode(), digest_size=6).hexdigest(), [], [page_digest(longest, node.text)]]
+        return ["#", "", text_digest(node.text), [], [page_digest(longest, node.text)], node.links >= LINKS * len(node.text)]
     out: list[list] = []
     shapes: list[str] = []
     for child in node.children:
@@ -181,7 +262,7 @@ def count(digests: list[int] | None) -> float:
 
 def once(e: list) -> list:
     """What is repeated within a page is still seen on one page."""
-    return ["#", e[1], e[2], [], e[4][:1]] if e[0] == "#" else [*e[:3], list(map(once, e[3]))]
+    return ["#", e[1], e[2], [], e[4][:1], e[5]] if e[0] == "#" else [*e[:3], list(map(once, e[3]))]
 
 
 def shape(e: list) -> str:
@@ -202,39 +283,65 @@ def merged(a: list, b: list) -> list:
         pages = None if a[2] is None and b[2] is None else seen(a[2], b[2])
         return [a[0], _mark(a[1], b[1]), pages, aligned(a[3], b[3])]
     same = a[2] == b[2] and a[2] is not None
-    return ["#", _mark(a[1], b[1]), a[2] if same else None, [], seen(a[4], b[4]) if same else []]
+    return ["#", _mark(a[1], b[1]), a[2] if same else None, [], seen(a[4], b[4]) if same else [], a[5] and b[5]]
 
 
 def settled(e: list, pages: float | None = None) -> list:
-    """The finished wrapper of a host: constant texts are those on most of its pages, and on two at least; digests are left out."""
+    """The finished wrapper of a host: constant texts are those on most of its pages, and on two at least, and slots that are lists of
+    links; digests are left out."""
     if pages is None:
         pages = count(e[2])
     if e[0] == "#":
         n = count(e[4])
-        return [*e[:2], e[2] if n > 1 and 2 * n > pages else None, []]
+        return [*e[:2], e[2] if n > 1 and 2 * n > pages else "links" if e[5] else None, []]
     return [*e[:2], None, [settled(c, pages) for c in e[3]]]
 
 
-def aligned(a: list[list], b: list[list]) -> list[list]:
-    x, y = [e[0] for e in a], [e[0] for e in b]
-    if x == y:
-        return [merged(p, q) for p, q in zip(a, b, strict=True)]
+#: Up to so many pairs of elements the alignment is a longest common subsequence; beyond, the next like element within REACH.
+PAIRS, REACH = 100_000, 64
+
+
+def _matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of like elements, rising on both sides."""
     n, m = len(x), len(y)
+    if n * m > PAIRS:
+        where: dict[str, list[int]] = {}
+        for j, label in enumerate(y):
+            where.setdefault(label, []).append(j)
+        out, j = [], 0
+        for i, label in enumerate(x):
+            at = where.get(label, [])
+            k = bisect_left(at, j)
+            if k < len(at) and at[k] - j <= REACH:
+                out.append((i, at[k]))
+                j = at[k] + 1
+        return out
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i] == y[j]:
-            out.append(merged(a[i], b[j]))
+    while i < n and j < m:
+        if x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], _mark(a[i][1], "?"), *a[i][2:]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([b[j][0], _mark(b[j][1], "?"), *b[j][2:]])
             j += 1
+    return out
+
+
+def aligned(a: list[list], b: list[list]) -> list[list]:
+    x, y = [e[0] for e in a], [e[0] for e in b]
+    if x == y:
+        return [merged(p, q) for p, q in zip(a, b, strict=True)]
+    out, i, j = [], 0, 0
+    for p, q in [*_matches(x, y), (len(x), len(y))]:
+        out += [[e[0], _mark(e[1], "?"), *e[2:]] for e in a[i:p] + b[j:q]]
+        if p < len(x):
+            out.append(merged(a[p], b[q]))
+        i, j = p + 1, q + 1
     return squashed(out)
 
 
@@ -252,8 +359,8 @@ def squashed(nodes: list[list]) -> list[list]:
 
 
 def furniture(label: str, inside_main: bool) -> bool:
-    name = label.rstrip("!*")
-    return name in FURNITURE or label.endswith("!") or name == "header" and not inside_main
+    name = label.rstrip("!*-")
+    return name in FURNITURE or label[-1] in "!-" or name == "header" and not inside_main
 
 
 def holds_main(e: list) -> bool:
@@ -267,36 +374,46 @@ def is_main(e: list) -> bool:
 
 
 def holds_blocks(e: list) -> bool:
-    return any(c[0].rstrip("!*") in BLOCKS and any(x[0] == "#" for x in c[3]) or holds_blocks(c) for c in e[3] if not furniture(c[0], True))
+    return any(c[0].rstrip("!*-") in BLOCKS and any(x[0] == "#" for x in c[3]) or holds_blocks(c) for c in e[3] if not furniture(c[0], True))
 
 
 def decisions(wrapper: list) -> dict[tuple[str, ...], str]:
     """What each text slot (the labels down to it) is: main (in an article or main element), named (in a container named main), body
-    (elsewhere), all (elsewhere, and the same text on most pages of the host), or not in the result."""
+    (elsewhere), all (elsewhere, and the same text on most pages of the host or a list of links), Words (dropped for words in class or id
+    alone), or not in the result."""
     out: dict[tuple[str, ...], str] = {}
 
-    def walk(e: list, path: tuple[str, ...], main: bool, dropped: bool) -> None:
+    def walk(e: list, path: tuple[str, ...], main: bool, dropped: str) -> None:
         if e[0] == "#":
-            kind = "" if dropped else "main" if main and not MAIN.isdisjoint(path) else "named" if main else "all" if e[2] is not None else "body"
+            own = "main" if main and not MAIN.isdisjoint(path) else "named" if main else "all" if e[2] is not None else "body"
+            kind = own if not dropped else "Words" if dropped == "words" and own == "body" else ""
             out[path] = max(out.get(path, ""), kind)
+            if kind == "all":  # slots with the same path can differ: what made this one furniture holds for its texts alone
+                out["=", e[2], *path] = kind
             return
-        main, dropped = main or is_main(e), dropped or furniture(e[0], main) and (main or not holds_main(e))
+        if furniture(e[0], main) and (main or not holds_main(e)) and dropped != "sure":
+            dropped = "words" if e[0][-1] == "!" and not furniture(e[0][:-1], main) else "sure"
+        main = main or is_main(e)
         for c in e[3]:
             walk(c, (*path, e[0]), main, dropped)
-    walk(wrapper, (), False, False)
+    walk(wrapper, (), False, "")
     return out
 
 
 def main_text(root: Node, slots: dict[tuple[str, ...], str]) -> str:
     """The blocks of the page that lie in main slots; on a page without any, those in body slots; without those too, in the rest.
+    Without a main element, what only words have marked comes before what is the same on most pages.
     What is only named main counts as main where the page has blocks of text in it, else as body."""
     found: list[tuple[str, str]] = []
-    blocks = False
+    blocks = has_main = False
 
     def walk(node: Node, path: tuple[str, ...], named: bool, block: bool) -> None:
-        nonlocal blocks
+        nonlocal blocks, has_main
+        has_main |= node.name in MAIN and node.label == node.name
         if node.name == "#":
             kind = slots.get(path, "")
+            if kind == "body" and (("=", text_digest(node.text), *path) in slots or node.links >= LINKS * len(node.text) and ("=", "links", *path) in slots):
+                kind = "all"
             blocks |= named and block and kind in ("main", "named")
             found.append((kind, node.text))
             return
@@ -305,6 +422,7 @@ def main_text(root: Node, slots: dict[tuple[str, ...], str]) -> str:
             walk(c, (*path, node.label), named or node.label.endswith("*"), block)
     walk(root, (), False, False)
     ranks = (("main", "named"), ("body",), ("all",)) if blocks else (("main",), ("body", "named"), ("all",))
+    ranks = ranks if has_main else (*ranks[:2], ("Words",), ranks[2])
     return "\n\n".join(next(filter(None, ([t for kind, t in found if kind in rank] for rank in ranks)), []))
 
 
