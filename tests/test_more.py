@@ -150,3 +150,18 @@ def test_layers_of_ordered_rows_read_the_input_once(spark, folder):
     assert [p for _, _, p in rows] == [i + 1 for k in range(3) for i in range(sum(x[0] == k for x in rows))]
     plan = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall("FileScan", plan)) == 1 and "ReusedExchange" in plan
+
+
+def test_repeated_spans_deep_chains_and_wide_levels(spark):
+    from tidegauge.operators import logs
+    n = 20_000
+    rows = [("t", f"s{i}", f"s{i - 1}" if i else "", i) for i in range(n)] * 3 + [("w", f"c{i}", "" if i == 0 else "c0", 10_000 - i) for i in range(3000)] * 2
+    rows += [("v", "r2", "", 5), ("v", "r1", "", 5), ("v", "a", "r2", None), ("v", "b", "r2", 9), ("v", "b", "r2", 9), ("v", "x", "y", 1), ("v", "y", "x", 2)]
+    sp = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, n int").withColumn("start_ts", F.timestamp_seconds("n"))
+    out = logs.span_tree(sp).collect()
+    assert len(out) == n + 3000 + 4
+    got = {(r["trace_id"], r["span_id"]): (r["level"], r["path"]) for r in out}
+    assert all(got["t", f"s{i}"] == (i, i) for i in range(n))
+    assert got["w", "c0"] == (0, 0) and [k[1] for k, v in sorted(got.items(), key=lambda x: x[1][1]) if k[0] == "w"][1:] == [f"c{i}" for i in range(2999, 0, -1)]
+    assert {k[1]: v for k, v in got.items() if k[0] == "v"} == {"r1": (0, 0), "r2": (0, 1), "a": (1, 2), "b": (1, 3)}
+    assert {(r["span_id"], r["level"]) for r in logs.span_tree(sp.where("trace_id = 'v'"), ordered=False).collect()} == {("r1", 0), ("r2", 0), ("a", 1), ("b", 1)}

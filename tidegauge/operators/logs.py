@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
+from ..session import cut_lineage, written
+from .ordered import shifted
 
 
 def window(df: DataFrame, asset: str | None, start: Column | None, end: Column | None, ts: str) -> DataFrame:
@@ -82,28 +82,55 @@ def spans_in_order(spans: DataFrame, trace_id: str, limit: int = 5000) -> DataFr
     return spans.where(F.col("trace_id") == trace_id).orderBy("start_ts", F.col("parent_id") != "", "span_id").limit(limit)
 
 
-def span_tree(spans: DataFrame) -> DataFrame:
-    """``level`` and ``path`` of every span; ordering by path is the depth-first order.
+def span_levels(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, start_ts, above, level) of every span that has a root, one row however often it was sent.
 
-    A span whose parent is not in its trace is a root. Every span points to an
-    ancestor, and each round follows the ancestor's own pointer, so a tree of
-    any depth d takes log2(d) rounds of one equi join on (trace, span); traces
-    are never gathered. Spans in a cycle of parents have no root and no row.
+    Spans come at least once, so equal ids are folded first (the earliest start and its parent stay). A span whose parent is not in
+    its trace is a root. Every span points to an ancestor and counts the steps to it; each round follows the
+    ancestor's own pointer, so a tree of any depth d takes log2(d) rounds of one equi join on (trace, span), and a row stays
+    two numbers. Traces are never gathered. Spans in a cycle of parents have no root and no row.
     """
-    cols = spans.select("trace_id", "span_id", "parent_id", "start_ts")
-    ids = cols.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"))
-    step = F.concat(F.lpad(F.unix_micros("start_ts").cast("string"), 20, "0"), F.lit("/"), "span_id")
-    tree = cut_lineage(cols.join(ids, (cols["trace_id"] == ids["_t"]) & (cols["parent_id"] == ids["_s"]), "left").select(
-        "trace_id", "span_id", F.when(F.col("_s").isNotNull(), F.col("parent_id")).alias("above"), F.array(step).alias("path")))
-    left = tree.where("above is not null").count()
+    one = spans.groupBy("trace_id", "span_id").agg(F.min(F.struct("start_ts", "parent_id")).alias("_m")).select("trace_id", "span_id", "_m.start_ts", "_m.parent_id")
+    ids = one.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"))
+    above = F.when(F.col("_s").isNotNull(), F.col("parent_id"))
+    tree = cut_lineage(one.join(ids, (one["trace_id"] == ids["_t"]) & (one["parent_id"] == ids["_s"]), "left").select(
+        "trace_id", "span_id", "start_ts", above.alias("above"), above.alias("to"), F.when(above.isNotNull(), 1).otherwise(0).cast("bigint").alias("level")))
+    left = tree.where("to is not null").count()
     while left:
-        up = tree.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("above").alias("_a"), F.col("path").alias("_p"))
-        j = tree.join(up, (tree["trace_id"] == up["_t"]) & (tree["above"] == up["_s"]), "left")
-        tree = cut_lineage(j.select("trace_id", "span_id", F.col("_a").alias("above"), F.when(F.col("_s").isNull(), F.col("path")).otherwise(F.concat("_p", "path")).alias("path")))
-        was, left = left, tree.where("above is not null").count()
+        up = tree.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("to").alias("_to"), F.col("level").alias("_l"))
+        j = tree.join(up, (tree["trace_id"] == up["_t"]) & (tree["to"] == up["_s"]), "left")
+        tree = cut_lineage(j.select("trace_id", "span_id", "start_ts", "above", F.col("_to").alias("to"), (F.col("level") + F.coalesce("_l", F.lit(0))).alias("level")))
+        was, left = left, tree.where("to is not null").count()
         if left == was:
             break
-    return tree.where("above is null").select("trace_id", "span_id", (F.size("path") - 1).alias("level"), "path")
+    return tree.where("to is null").drop("to")
+
+
+def span_tree(spans: DataFrame, ordered: bool = True) -> DataFrame:
+    """``level`` of every span and, if ``ordered``, its ``path``: the place in the depth-first order of its trace.
+
+    The order is that of an Euler tour: each span is entered and left; entering leads to its first child, leaving to its next
+    sibling (by start, then id) or out of its parent. Places are the ranks in this list, found by pointer doubling
+    with two sums per element, in log2 of the length of the longest tour.
+    """
+    tree = span_levels(spans)
+    if not ordered:
+        return tree.select("trace_id", "span_id", F.col("level").cast("int").alias("level"))
+    tree = tree.withColumn("under", F.coalesce("above", F.lit("\0"))).withColumn("start_ts", F.coalesce("start_ts", F.timestamp_seconds(F.lit(0))))
+    first = tree.where("above is not null").groupBy("trace_id", "above").agg(F.min(F.struct("start_ts", "span_id")).alias("_f")).select("trace_id", F.col("above").alias("span_id"), F.col("_f.span_id").alias("child"))
+    with_next = shifted(tree, ["trace_id", "under"], "start_ts", 60, {"sibling": ("span_id", -1)}, ties=["span_id"])
+    nodes = with_next.join(first, ["trace_id", "span_id"], "left")
+    element = lambda side, to, to_side, n: F.struct(F.lit(side).alias("side"), to.alias("to"), to_side.alias("to_side"), F.lit(n).cast("bigint").alias("n"))
+    enter = element(0, F.coalesce("child", "span_id"), F.col("child").isNull().cast("int"), 1)
+    leave = element(1, F.coalesce("sibling", "above"), F.col("sibling").isNull().cast("int"), 0)
+    tour = written(nodes.select("trace_id", "span_id", F.explode(F.array(enter, leave)).alias("_e")).select("trace_id", "span_id", "_e.*"))
+    while not tour.where("to is not null").isEmpty():
+        up = tour.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("side").alias("_k"), F.col("to").alias("_to"), F.col("to_side").alias("_tk"), F.col("n").alias("_n"))
+        j = tour.join(up, (tour["trace_id"] == up["_t"]) & (tour["to"] == up["_s"]) & (tour["to_side"] == up["_k"]), "left")
+        tour = written(j.select("trace_id", "span_id", "side", F.col("_to").alias("to"), F.col("_tk").alias("to_side"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
+    total = tree.groupBy("trace_id").agg(F.count("*").alias("_all"))
+    place = tour.where("side = 0").join(total, "trace_id").select("trace_id", "span_id", (F.col("_all") - F.col("n")).alias("path"))
+    return tree.join(place, ["trace_id", "span_id"]).select("trace_id", "span_id", F.col("level").cast("int").alias("level"), "path")
 
 
 def gantt(spans: DataFrame) -> DataFrame:

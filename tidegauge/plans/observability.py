@@ -77,7 +77,15 @@ def _(t):
   t AS (SELECT trace_id, span_id, 0 AS level FROM k WHERE parent = '' UNION ALL SELECT k.trace_id, k.span_id, t.level + 1 FROM t JOIN k ON k.trace_id = t.trace_id AND k.parent = t.span_id) /* RECURSIVE */
   SELECT trace_id, span_id, level FROM t""", "spans")
 def _(t):
-    return L.span_tree(t.spans).select("trace_id", "span_id", "level")
+    return L.span_tree(t.spans, ordered=False)
+
+
+@query("f14_span_order", """WITH e AS (SELECT DISTINCT trace_id, span_id, parent_id, start_ts FROM spans), k AS (SELECT c.trace_id, c.span_id, c.start_ts, CASE WHEN p.span_id IS NULL THEN '' ELSE c.parent_id END AS parent FROM e c LEFT JOIN e p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id),
+  t AS (SELECT trace_id, span_id, 0 AS level, [epoch_us(start_ts)::VARCHAR || '/' || span_id] AS way FROM k WHERE parent = '' UNION ALL SELECT k.trace_id, k.span_id, t.level + 1, list_append(way, epoch_us(k.start_ts)::VARCHAR || '/' || k.span_id) FROM t JOIN k ON k.trace_id = t.trace_id AND k.parent = t.span_id) /* RECURSIVE */
+  SELECT trace_id, span_id, level, row_number() OVER (PARTITION BY trace_id ORDER BY way) - 1 AS path FROM t""", "spans")
+def _(t):
+    """Every span comes twice, as from a sender that repeats its batches."""
+    return L.span_tree(t.spans.unionByName(t.spans))
 
 
 @query("f15_gantt", """SELECT trace_id, span_id, rnd((epoch_ms(start_ts) - a) / greatest(1, z - a) * 100, 4) AS offset_pct, rnd(greatest(0.5, duration_ns / 1e6 / greatest(1, z - a) * 100), 4) AS width_pct
