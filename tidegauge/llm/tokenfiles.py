@@ -39,10 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import PRE_TOKEN, _published, byte_letters
+from .bpe import _published, byte_letters
 from .common import _ARROW, texts, type_of
 
 END = 2
+#: Fixed value: the pre-tokens of byte-level vocabularies, in the published form that needs no backtracking.
+PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Ids of a segment; pairs and places of a segment are sorted as one 64-bit number each, which leaves 22 bits for a symbol.
 SEGMENT = 1 << 20
 #: A rule pays from about so many uses on: it costs 12 bytes.
@@ -97,17 +99,19 @@ def _chosen(symbols: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.
         return none, none, none
     sizes = count[often]
     rows = np.repeat(at[often] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    rank = np.full(n + 1, len(often), np.int64)  # of the pair at each place, with an end on either side
-    rank[(packed[rows] & np.uint64(SEGMENT - 1)).astype(np.int64) + 1] = np.repeat(np.arange(len(often)), sizes)
-    here, before, after = rank[1:n], rank[:n - 1], rank[2:]
-    best = np.flatnonzero((here < len(often)) & (before >= here) & (after >= here))
+    unsorted = (packed[rows] & np.uint64(SEGMENT - 1)).astype(np.int64)
+    place = np.sort(unsorted)
+    rank = np.full(n + 1, len(often), np.int32)  # of the pair at each place, with an end on either side
+    rank[unsorted + 1] = np.repeat(np.arange(len(often), dtype=np.int32), sizes)
+    here, before, after = rank[place + 1], rank[place], rank[place + 2]
+    good = (before >= here) & (after >= here)
     # x x x x: of a run of one pair every second place counts, from the first place of the run on
-    twin = np.flatnonzero((here < len(often)) & (before == here))
+    twin = np.flatnonzero(before == here)
     if len(twin):
-        starts = np.arange(n - 1)
-        starts[twin] = 0
-        best = best[((best - np.maximum.accumulate(starts)[best]) & 1) == 0]
-    return pair[at[often]], best, here[best]
+        run = np.flatnonzero(np.concatenate([[True], place[twin][1:] != place[twin][:-1] + 1]))
+        nth = np.arange(len(twin)) - np.repeat(run, np.diff(np.append(run, len(twin))))
+        good[twin[nth % 2 == 0]] = False
+    return pair[at[often]], place[good], here[good]
 
 
 def compress(ids: np.ndarray, base: int) -> bytes:
