@@ -108,6 +108,12 @@ def relative_text(ts: Column, now: Column) -> Column:
             .when(s < 86400, say(" h", 3600)).otherwise(say(" d", 86400)))
 
 
+def range_fault(start: Column, end: Column, max_days: int, limit: Column | None = None, max_limit: int = 2000) -> Column:
+    """P10 over a table of requests: why :func:`check_range` refuses one; null if it doesn't."""
+    out = F.when(end <= start, "empty range").when(end - start > F.expr(f"interval {max_days} days"), f"range longer than {max_days} days")
+    return out if limit is None else out.when(limit.isNotNull() & ~limit.between(1, max_limit), f"limit must be between 1 and {max_limit}")
+
+
 def check_range(start: datetime, end: datetime, max_days: int, limit: int | None = None, max_limit: int = 2000) -> None:
     """Empty, too long and out-of-limit requests are refused before any job starts."""
     if end <= start:

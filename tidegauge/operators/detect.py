@@ -157,7 +157,7 @@ def coverage(assets: DataFrame, signals: DataFrame, seen: DataFrame, points: Dat
 
 def unwatched(seen: DataFrame, signals: DataFrame) -> DataFrame:
     """Metrics that arrive and no signal reads."""
-    return seen.select("asset_id", "metric").distinct().join(F.broadcast(signals.select("metric").distinct()), "metric", "left_anti")
+    return seen.select("asset_id", "metric").distinct().join(signals.select("metric").distinct(), "metric", "left_anti")
 
 
 # ---- fixed values: name, least history, relative floor, absolute floor used

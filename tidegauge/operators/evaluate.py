@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EOF_DATE, FAULT_TYPES
-from .quantiles import exact_percentile
 
 # ---- fixed values
 MARGIN = "interval 5 minutes"
@@ -82,12 +81,11 @@ def per_injection(injections: DataFrame, verdicts: DataFrame, start: Column, end
 
 def totals(injection_rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row. The delay counts from the earliest matched anomaly; the median is exact."""
-    inj = injection_rows.agg(F.count(F.lit(1)).alias("injections"), F.count_if("detected").alias("detected"),
-                             F.avg("delay_min").alias("delay_mean"), F.max("delay_min").alias("delay_max"))
-    an = verdicts.where("verdict <> 'ignorada'").agg(F.count_if(F.col("verdict") == "correcta").alias("correct"),
-                                                     F.count_if(F.col("verdict") == "falso_positivo").alias("false_positives"))
-    med = exact_percentile(injection_rows.withColumn("_g", F.lit(0)), ["_g"], "delay_min", 0.5, "delay_median")
-    j = inj.join(an, F.lit(True)).join(med, F.lit(True), "left")
+    # both inputs in one aggregation: a row is an injection or a verdict. The delays are one value an injection of a campaign
+    rows = injection_rows.select(F.col("detected").alias("_d"), F.col("delay_min").cast("double").alias("_m"), F.lit(None).cast("string").alias("_v")).unionByName(
+        verdicts.where("verdict <> 'ignorada'").select(F.lit(None).cast("boolean").alias("_d"), F.lit(None).cast("double").alias("_m"), F.col("verdict").alias("_v")))
+    j = rows.agg(F.count("_d").alias("injections"), F.count_if("_d").alias("detected"), F.count_if(F.col("_v") == "correcta").alias("correct"),
+                 F.count_if(F.col("_v") == "falso_positivo").alias("false_positives"), F.avg("_m").alias("delay_mean"), F.percentile("_m", F.lit(0.5)).alias("delay_median"), F.max("_m").alias("delay_max"))
     p = F.coalesce(F.try_divide("correct", F.col("correct") + F.col("false_positives")), F.lit(0.0))
     r = F.coalesce(F.try_divide("detected", "injections"), F.lit(0.0))
     return j.select("injections", "detected", "correct", "false_positives", p.alias("precision"), r.alias("recall"),

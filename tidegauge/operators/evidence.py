@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import significant
 from . import logs as L
+from . import signals as S
 from .evaluate import overlap_join
 from .series import every, peaks
 
@@ -62,6 +63,54 @@ def summary(rows: DataFrame, keys: list[str], ts: str = "bucket", value: str = "
             .withColumn("change_rel_median", (F.col("during_median") - F.col("before_median")) / base))
 
 
+def incident_series(incidents: DataFrame, level: DataFrame, signals: DataFrame, as_of: Column, ts: str = "bucket", width: int = 86400) -> DataFrame:
+    """F22 + J16 + W16: the affected series of every incident and, for each signal that shares a fault with it, the series that
+    changed most.
+
+    ``incidents``: anomaly_id, asset_id, metric, dims, start, end; ``level``: a summary with ``dims``. The result has anomaly_id,
+    role (afectada, relacionada), metric, signal, kind, unit, dims, rank and the values of :func:`summary`.
+    An incident is expanded to the few signals it needs, so one interval join on (asset, metric, time slice) reads the points of all its
+    series. A counter becomes a rate from the points inside the window, whose first has none; the points of a series in a
+    window are minutes of at most 4 h 10 min, so their order is local.
+    """
+    inc = incidents if "until" in incidents.columns else windows(incidents, as_of)
+    asked = inc.select(F.col("anomaly_id").alias("ask_id"), "metric", "dims")
+    own = S.own_signals(signals, asked).select("ask_id", F.col("own.signal").alias("_os"), F.col("own.kind").alias("_ok"))
+    none = F.create_map().cast("map<string,string>")
+    affected = inc.join(own, F.col("anomaly_id") == F.col("ask_id"), "left").select(
+        "anomaly_id", F.lit("afectada").alias("role"), "metric", F.coalesce("_os", "metric").alias("signal"), F.col("_ok").alias("kind"),
+        F.coalesce("dims", none).alias("filters"), F.lit(None).cast("string").alias("group_dim"), none.alias("exclude"))
+    named = signals.select(F.col("signal").alias("rel_signal"), "kind", "filters", "group_dim", "exclude")
+    related = S.related(signals, asked).join(named, "rel_signal").select(
+        F.col("ask_id").alias("anomaly_id"), F.lit("relacionada").alias("role"), F.col("rel_metric").alias("metric"), F.col("rel_signal").alias("signal"), "kind", "filters", "group_dim", "exclude")
+    span = inc.select("anomaly_id", "asset_id", "start", "during_to", "metrics_from", (F.col("until") - _ago("1 microsecond")).alias("_until"))
+    iv = affected.unionByName(related).join(span, "anomaly_id").withColumn("_am", F.concat_ws("|", "asset_id", "metric")).drop("asset_id")
+    p = level.select(F.concat_ws("|", "asset_id", "metric").alias("_am"), ts, "dims", "value_avg", "value_count")
+    hit = overlap_join(p, iv, "_am", ts, "metrics_from", "_until", width=width).where(
+        S.matches(F.col("filters"), F.col("dims")) & ~S.excluded(F.col("exclude"), F.col("dims")))
+    group = F.when(F.col("group_dim").isNotNull(), F.try_element_at("dims", "group_dim"))
+    keys = ["anomaly_id", "role", "metric", "signal", "kind", "label"]
+    plain = lambda m: F.array_join(F.sort_array(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    label = F.concat_ws(",", F.nullif(plain(F.col("filters")), F.lit("")), F.when(group.isNotNull(), F.concat("group_dim", F.lit("="), group)))
+    mean = F.sum(F.col("value_avg") * F.col("value_count")) / F.sum("value_count")
+    pts = hit.withColumn("label", label).groupBy(*keys, "start", "during_to", ts).agg(mean.alias("value"))
+    w = W.partitionBy(*keys).orderBy(ts)
+    rate = (F.col("value") - F.lag("value").over(w)) / ((F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1000000)
+    counter = F.coalesce(F.col("kind") == "acumulada", F.lit(False))
+    pts = pts.withColumn("_r", rate).withColumn("value", F.when(counter, F.when(F.col("_r") >= 0, F.col("_r"))).otherwise(F.col("value"))).where("value is not null")
+    best = top_related(summary(pts, keys, ts), ["anomaly_id", "role", "signal"], "label")
+    return best.withColumn("unit", F.when(counter, "por segundo")).withColumnRenamed("label", "dims")
+
+
+def with_series(records: DataFrame, series: DataFrame) -> DataFrame:
+    """The records of :func:`evidence` with ``series``: the affected one first, then by signal and rank. A record has at most
+    ``MAX_RELATED`` of each signal."""
+    one = F.struct((F.col("role") != "afectada").alias("_o"), "signal", "rank", "role", "metric", "kind", "unit", "dims",
+                   *[c for c in series.columns if c.startswith(("before_", "during_", "points_", "change_"))])
+    s = series.groupBy("anomaly_id").agg(F.sort_array(F.collect_list(one)).alias("series"))
+    return records.join(s, "anomaly_id", "left")
+
+
 def top_related(summaries: DataFrame, keys: list[str], label: str, n: int = MAX_RELATED) -> DataFrame:
     """Per signal, the series that changed most: relative first, then absolute."""
     w = W.partitionBy(*keys).orderBy(F.abs(F.coalesce("change_rel", F.lit(0.0))).desc(), F.abs(F.coalesce("change_abs", F.lit(0.0))).desc(), label)
@@ -128,12 +177,17 @@ def compact(records: DataFrame, points: DataFrame, ts: str = "bucket") -> DataFr
         x["trace_id"].alias("traza"), x["root"].alias("operacion"), x["end_ts"].alias("fin"), x["spans"].alias("tramos"), x["errors"].alias("errores")))
     pairs = F.transform(F.slice("correlation", 1, PACK_PAIRS), lambda x: F.struct(
         x["ts"].alias("momento"), x["service_name"].alias("servicio"), x["operation"].alias("operacion"), x["span_status"].alias("estado"), cut(x["body"]).alias("cuerpo")))
+    told = F.coalesce(F.transform("series", lambda x: F.struct(
+        x["metric"].alias("metrica"), x["dims"].alias("dimensiones"), x["role"].alias("papel"), x["kind"].alias("clase"), x["unit"].alias("unidad"),
+        *[significant(x[c]).alias(n) for c, n in (("before_median", "mediana_antes"), ("during_median", "mediana_durante"), ("during_max", "maximo"), ("change_rel", "cambio_relativo"))])), F.array()) \
+        if "series" in records.columns else None
     pack = F.struct(
         F.col("anomaly_id").alias("incidente"), F.col("asset_id").alias("activo"), F.col("metric").alias("metrica"), had("severity").alias("severidad"), had("score").alias("puntuacion"),
         had("model_version").alias("metodo"), F.col("start").alias("inicio"), F.col("end").alias("fin"),
         F.struct(F.col("metrics_from").alias("desde"), F.col("until").alias("hasta"), F.col("logs_from").alias("registros_desde")).alias("ventana"),
         F.struct(four("before_median"), four("during_median"), four("during_min"), four("during_max"), four("change_abs"), four("change_rel")).alias("resumen"),
         F.coalesce("puntos", F.array()).alias("puntos"), F.coalesce(logs, F.array()).alias("registros_error"), F.coalesce(traces, F.array()).alias("trazas_error"), F.coalesce(pairs, F.array()).alias("correlacion"),
+        *([told.alias("series")] if "series" in records.columns else []),
         F.struct("logs", "error_log_count", "spans", "error_spans").alias("conteos"), F.col("missing").alias("no_recuperado"))
     return j.select("anomaly_id", F.to_json(pack, {"ignoreNullFields": "false"}).alias("pack"))
 

@@ -80,7 +80,7 @@ def rolling_scores(long: DataFrame, floors: DataFrame, key: str = "asset_id", ts
     cut = cut.withColumn("_d", F.abs(F.lag("value", 1).over(w) - F.col("med")))
     dev = F.collect_list("_d").over(w.rowsBetween(-(history - 1), 0))
     cut = cut.withColumn("_ds", dev).withColumn("mad", F.when(F.size("_ds") == history, middle(F.col("_ds"))))
-    out = cut.where("own").join(F.broadcast(floors), "feature", "left")
+    out = cut.where("own").join(floors, "feature", "left")
     z = 0.6745 * (F.col("value") - F.col("med")) / F.greatest("mad", F.coalesce("mad_floor", F.lit(1e-6)))
     return out.select(key, "feature", ts, "value", "med", "mad", F.when(F.col("mad").isNotNull(), z).alias("z"))
 

@@ -76,6 +76,12 @@ def windows_overlap(train: tuple, detect: tuple) -> bool:
     return train[0] < detect[1] and detect[0] < train[1]
 
 
+def overlap_warning(train_start: Column, train_end: Column, start: Column, end: Column) -> Column:
+    """M3 over a table of runs; a window without an end reaches to infinity."""
+    forever = F.to_timestamp(F.lit("9999-12-31"))
+    return (train_start < F.coalesce(end, forever)) & (start < F.coalesce(train_end, forever))
+
+
 def elbow(rows: DataFrame, ks=range(2, 20), seed: int = SEED) -> list[tuple[int, float, float]]:
     """M4: (k, inertia, silhouette) for a fixed list of k."""
     data = rows.select("features").persist()

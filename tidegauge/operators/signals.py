@@ -57,10 +57,10 @@ def excluded(exclude, dims):
 def watched(level: DataFrame, signals: DataFrame, value=None) -> DataFrame:
     """One row per (asset, signal, group value, bucket): the points every signal reads.
 
-    ``level`` is the minute summary with ``dims``. The signal table is the code
-    list above (14 rows), so it is broadcast.
+    ``level`` is the minute summary with ``dims``. The signal table is joined as
+    it comes: the planner broadcasts it if its size allows.
     """
-    s = F.broadcast(signals.withColumnRenamed("metric", "_m"))
+    s = signals.withColumnRenamed("metric", "_m")
     j = level.join(s, F.col("metric") == F.col("_m")).where(
         matches(F.col("filters"), F.col("dims")) & ~excluded(F.col("exclude"), F.col("dims")))
     grp = F.when(F.col("group_dim").isNotNull(), F.try_element_at("dims", "group_dim"))
@@ -69,20 +69,24 @@ def watched(level: DataFrame, signals: DataFrame, value=None) -> DataFrame:
                      F.to_json("filters").alias("filters_text"), "bucket").agg(mean.alias("value"))
 
 
+def own_signals(signals: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ask_id, own): of the signals that a (metric, dims) belongs to, the one with the most fixed dimensions."""
+    return asked.join(signals.withColumnRenamed("metric", "_m"), F.col("metric") == F.col("_m")).where(
+        matches(F.col("filters"), F.col("dims"))).groupBy("ask_id").agg(
+        F.max_by(F.struct("metric", "signal", "kind", "filters", "faults"), F.size("filters")).alias("own"))
+
+
 def related(signals: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (metric, dims): its own signal (most fixed dimensions), and those sharing a fault.
 
     ``asked`` has ``ask_id, metric, dims``.
     """
-    s = F.broadcast(signals)
-    own = asked.join(s.withColumnRenamed("metric", "_m"), F.col("metric") == F.col("_m")).where(
-        matches(F.col("filters"), F.col("dims"))).groupBy("ask_id").agg(
-        F.max_by(F.struct("metric", "signal", "filters", "faults"), F.size("filters")).alias("own"))
+    own = own_signals(signals, asked)
     other = signals.select(F.col("metric").alias("rel_metric"), F.col("signal").alias("rel_signal"),
                            F.to_json("filters").alias("rel_filters"), F.explode("faults").alias("fault"))
     return own.select("ask_id", F.col("own.metric").alias("metric"), F.col("own.signal").alias("own_signal"),
                       F.to_json("own.filters").alias("own_filters"), F.explode("own.faults").alias("fault")).join(
-        F.broadcast(other), "fault").where(
+        other, "fault").where(
         (F.col("rel_signal") != F.col("own_signal")) & ~((F.col("metric") == F.col("rel_metric"))
                                                          & (F.col("rel_filters") == F.col("own_filters")))).select(
         "ask_id", "own_signal", "rel_metric", "rel_signal").distinct()

@@ -84,6 +84,68 @@ def _(t):
                        n("trazas_error", "traces"), n("correlacion", "pairs"), F.array_contains("p.no_recuperado", "serie afectada").alias("no_series"))
 
 
+# events as the platform's metrics: four CPU signals and a disk counter with direction and device
+_EV = {"view": ("system_cpu_utilization", "state=user"), "click": ("system_cpu_utilization", "state=system"), "signup": ("system_cpu_load_average_1m", ""), "error": ("system_processes_count", "status=running")}
+
+
+def _level(t):
+    m, s = F.col("metric"), F.col("slot").cast("int")
+    name, dims = F.lit("system_disk_io"), F.create_map(F.lit("direction"), F.when(s % 2 == 0, "write").otherwise("read"), F.lit("device"), F.when(s < 2, "sda").otherwise("sdb"))
+    for ev, (metric, d) in _EV.items():
+        own = F.create_map(*map(F.lit, d.split("="))) if d else F.create_map().cast("map<string,string>")
+        name, dims = F.when(m == ev, metric).otherwise(name), F.when(m == ev, own).otherwise(dims)
+    return t.points.select("asset_id", name.alias("metric"), "ts", dims.alias("dims"), F.col("value").alias("value_avg"), F.lit(1.0).alias("value_count"))
+
+
+def _platform_incidents(t):
+    inc, m = _incidents(t), F.col("metric")
+    name, dims = F.lit("system_disk_io"), F.create_map(F.lit("direction"), F.lit("write"), F.lit("device"), F.lit("sda"))
+    for ev, (metric, d) in _EV.items():
+        own = F.create_map(*map(F.lit, d.split("="))) if d else F.create_map().cast("map<string,string>")
+        name, dims = F.when(m == ev, metric).otherwise(name), F.when(m == ev, own).otherwise(dims)
+    return inc.withColumn("_n", name).withColumn("dims", dims).drop("metric").withColumnRenamed("_n", "metric")
+
+
+def _asks():
+    """What the checker's text asks of each incident: (its event, role, event, direction, device, metric, signal, fixed dimensions, device shown)."""
+    key = {e: m + (f"[{d}]" if d else "") for e, (m, d) in _EV.items()}
+    rows = [(e, "afectada", e, "", "", *_EV[e][:1], key[e], _EV[e][1], "") for e in _EV]
+    rows += [(a, "relacionada", b, "", "", _EV[b][0], key[b], _EV[b][1], "") for a in _EV for b in _EV if a != b]
+    io = "system_disk_io[direction={}, por device]"
+    rows += [("purchase", "afectada", "purchase", "write", "sda", "system_disk_io", io.format("write"), "device=sda,direction=write", ""),
+             ("purchase", "relacionada", "purchase", "read", "", "system_disk_io", io.format("read"), "direction=read", ",device=")]
+    return ", ".join(str(r) for r in rows)
+
+
+_SERIES = f"""WITH ask(im, role, ev, dirn, dev, pm, signal, fixed, shown) AS (VALUES {_asks()}),
+  e AS (SELECT asset_id, metric AS ev, ts, value, CASE WHEN metric <> 'purchase' THEN '' WHEN slot IN ('0', '2') THEN 'write' ELSE 'read' END AS dirn, CASE WHEN metric <> 'purchase' THEN '' WHEN slot IN ('0', '1') THEN 'sda' ELSE 'sdb' END AS dev FROM points),
+  s AS (SELECT i.anomaly_id, role, pm, signal, ask.ev, fixed || CASE WHEN shown = '' THEN '' ELSE shown || e.dev END AS dims, i."start", during_to, ts, avg(value) AS v FROM ({_INC}) i JOIN ask ON i.metric = im
+    JOIN e ON e.asset_id = i.asset_id AND e.ev = ask.ev AND e.dirn = ask.dirn AND (ask.dev = '' OR ask.dev = e.dev) AND ts >= metrics_from AND ts < until GROUP BY ALL),
+  q AS (SELECT *, (v - lag(v) OVER w) / (epoch_us(ts) - epoch_us(lag(ts) OVER w)) * 1000000 AS x FROM s WINDOW w AS (PARTITION BY anomaly_id, role, signal, dims ORDER BY ts)),
+  f AS (SELECT * EXCLUDE (v, x), CASE WHEN ev = 'purchase' THEN x ELSE v END AS v FROM q WHERE ev <> 'purchase' OR x >= 0),
+  g AS (SELECT anomaly_id, role, pm AS metric, signal, CASE WHEN ev = 'purchase' THEN 'por segundo' END AS unit, dims, quantile_cont(v, 0.5) FILTER (WHERE ts < "start") AS bm, quantile_cont(v, 0.5) FILTER (WHERE ts >= "start" AND ts <= during_to) AS dm,
+    max(v) FILTER (WHERE ts >= "start" AND ts <= during_to) AS dx, count(*) FILTER (WHERE ts < "start") AS points_before, count(*) FILTER (WHERE ts >= "start" AND ts <= during_to) AS points_during FROM f GROUP BY ALL),
+  h AS (SELECT *, row_number() OVER (PARTITION BY anomaly_id, role, signal ORDER BY abs(coalesce((dx - bm) / nullif(abs(bm), 0), 0)) DESC, abs(coalesce(dx - bm, 0)) DESC, dims) AS rank FROM g)
+  SELECT anomaly_id, role, metric, signal, unit, dims, rnd(bm, 4) AS before_median, rnd(dm, 4) AS during_median, rnd(dx, 4) AS during_max, points_before, points_during, rank FROM h WHERE rank <= 3"""
+
+
+@query("f22_incident_series", _SERIES, "anomalies points")
+def _(t):
+    s = E.incident_series(_platform_incidents(t), _level(t), signals.catalogue(t.spark), _now(), "ts")
+    return s.select("anomaly_id", "role", "metric", "signal", "unit", "dims", r("before_median"), r("during_median"), r("during_max"), "points_before", "points_during", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("f21_packs_with_series", f"""SELECT anomaly_id, CAST(count(*) AS BIGINT) AS series, string_agg(metric || '|' || dims || '|' || role || '|' || coalesce(unit, ''), ';' ORDER BY role <> 'afectada', signal, rank) AS named FROM ({_SERIES}) GROUP BY 1""", "anomalies points")
+def _(t):
+    """The packs of the incidents that have series, read back from their text."""
+    inc = _platform_incidents(t)
+    rec = E.with_series(E.evidence(inc, t.points.limit(0), _logs(t), _spans(t), _now(), "ts"), E.incident_series(inc, _level(t), signals.catalogue(t.spark), _now(), "ts"))
+    pack = E.compact(rec, E.incident_points(inc, t.points.limit(0), "ts"), "ts").select(
+        "anomaly_id", F.from_json("pack", "series array<struct<metrica:string,dimensiones:string,papel:string,unidad:string>>").alias("p")).where(F.size("p.series") > 0)
+    named = F.array_join(F.transform("p.series", lambda x: F.concat_ws("|", x["metrica"], x["dimensiones"], x["papel"], F.coalesce(x["unidad"], F.lit("")))), ";")
+    return pack.select("anomaly_id", F.size("p.series").cast("bigint").alias("series"), named.alias("named"))
+
+
 @query("j16_related_signals", """WITH a AS (SELECT event_id AS ask_id, CASE WHEN k % 4 = 0 THEN 'u' WHEN k % 4 = 1 THEN 'w' WHEN k % 4 = 2 THEN 'm' ELSE 'n' END AS c FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
   r(c, rel_signal) AS (VALUES ('u', 'system_cpu_utilization[state=system]'), ('u', 'system_cpu_load_average_1m'), ('u', 'system_processes_count[status=running]'), ('w', 'system_filesystem_usage[state=used, por mountpoint]'), ('w', 'system_disk_io[direction=write, por device]'),
   ('w', 'system_disk_io[direction=read, por device]'), ('m', 'system_paging_usage[state=used, por device]'), ('m', 'system_paging_operations[direction=page_in, por type]')) SELECT ask_id, rel_signal FROM a JOIN r USING (c)""")

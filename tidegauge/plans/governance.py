@@ -77,6 +77,13 @@ def _(t):
     return costs.under_used(_asset_cost(t), u).select("asset_id", F.col("cost").cast("double").alias("cost"), F.col("hours").cast("bigint").alias("hours"), "cpu_mean", "memory_mean", "under_used")
 
 
+@query("j12_cost_beside_use", f"""SELECT asset_id, cost > 0 AS paid, hours > 0 AS used FROM ({_UNDER})""", "hours")
+def _(t):
+    """Machines with charges, with use, or with one of the two."""
+    u = costs.under_used(_asset_cost(t), use_hours(t).withColumn("busy", F.col("busy") / 20))
+    return u.select("asset_id", (F.col("cost") > 0).alias("paid"), (F.col("hours") > 0).alias("used"))
+
+
 @query("a25_totals", """SELECT provider, env, CAST(GROUPING(provider, env) AS BIGINT) AS level, CAST(round_even(sum(amount), 2) AS DOUBLE) AS amount, count(*) AS charges FROM (SELECT c.provider, amount, CASE WHEN c.asset_id IS NULL THEN 'sin asignar' ELSE coalesce(a.env, 'desconocido') END AS env
   FROM charges c LEFT JOIN assets a USING (asset_id)) GROUP BY GROUPING SETS ((provider), (env), ())""", "charges assets")
 def _(t):

@@ -202,3 +202,8 @@ def _(t):
 @query("x04_intersection", "SELECT DISTINCT asset_id FROM points WHERE value > 250 INTERSECT SELECT DISTINCT asset_id FROM points WHERE value < 0.2", "points")
 def _(t):
     return t.points.where("value > 250").select("asset_id").intersect(t.points.where("value < 0.2").select("asset_id"))
+
+
+@query("x02_first_values_of_dimensions", "SELECT asset_id, 'slot' AS dim, slot AS val FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY slot) AS rk FROM (SELECT DISTINCT asset_id, slot FROM points)) WHERE rk <= 2", "points")
+def _(t):
+    return series.dimension_values(t.points, ["asset_id"], 2)

@@ -316,3 +316,18 @@ def _(t):
     path = scratch(t.spark)
     ml.save_baseline(X.history_baseline(t.points, KEYS), path)
     return t.spark.read.parquet(path).select("asset_id", "metric", r("med"))
+
+
+@query("j14_row_states", """WITH b AS (SELECT asset_id, metric, avg(value) AS med, CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) END AS scale FROM hourly WHERE asset_id <> 'asset-4' GROUP BY ALL)
+  SELECT asset_id, strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket, ['bueno', 'normal', 'critico'][coalesce(max(CASE WHEN value IS NULL OR med IS NULL THEN NULL WHEN coalesce((value - med) / scale, 0) >= 3.5 THEN 2 WHEN coalesce((value - med) / scale, 0) >= 1.5 THEN 1 ELSE 0 END), 0) + 1] AS state
+  FROM hourly LEFT JOIN b USING (asset_id, metric) GROUP BY 1, bucket""", "hourly")
+def _(t):
+    h = t.hourly.withColumnRenamed("metric", "feature")
+    base = h.where("asset_id <> 'asset-4'").groupBy("asset_id", "feature").agg(F.avg("value").alias("med"), F.nullif(F.stddev_pop("value"), F.lit(0.0)).alias("scale"))
+    return X.row_states(h, base, ["asset_id", "bucket"]).select("asset_id", text("bucket"), "state")
+
+
+@query("m03_overlapping_windows", """SELECT uid, "start" < TIMESTAMP '2024-01-15' AND coalesce("end", TIMESTAMP '9999-12-31') > TIMESTAMP '2024-01-10' AS warns FROM injections""", "injections")
+def _(t):
+    at = lambda s: F.to_timestamp(F.lit(s))
+    return t.injections.select("uid", ml.overlap_warning(at("2024-01-10"), at("2024-01-15"), F.col("start"), F.col("end")).alias("warns"))

@@ -191,3 +191,10 @@ def _(t):
 def _(t):
     m = F.map_from_arrays(F.array(F.lit("Slot"), F.lit("value"), F.lit("none")), F.array("slot", "metric", F.lit("")))
     return t.points.select(names.dims_text(names.clean_dimensions(m)).alias("dims")).groupBy("dims").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p10_refused_ranges", """SELECT event_id, CASE WHEN e <= ts THEN 'empty range' WHEN e - ts > INTERVAL 2 DAY THEN 'range longer than 2 days' WHEN lim NOT BETWEEN 1 AND 2000 THEN 'limit must be between 1 and 2000' END AS fault
+  FROM (SELECT event_id, ts, ts + to_hours(CAST(floor(value) AS BIGINT) - 20) AS e, CAST(json_extract_string(props, '$.k') AS BIGINT) * 50 AS lim FROM events)""")
+def _(t):
+    end = F.timestamp_micros(F.unix_micros("ts") + (F.floor("value").cast("bigint") - 20) * 3_600_000_000)
+    return t.events.select("event_id", times.range_fault(F.col("ts"), end, 2, F.col("k") * 50).alias("fault"))

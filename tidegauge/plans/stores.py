@@ -149,6 +149,38 @@ def _(t):
     return hours.select("metric", text("hour"))
 
 
+@query("t11_ingest_metrics", f"""SELECT unnest(['received', 'valid', 'no_value', 'error']) AS indicator, unnest([count(*), count(*) FILTER (route = 'valid'), count(*) FILTER (route = 'no_value'), count(*) FILTER (route = 'error')])::DOUBLE AS total FROM ({_ROWS})""")
+def _(t):
+    """Half of the table comes in each of two runs of the job; the running totals end at the whole."""
+    paths = ingest.Paths(scratch(t.spark))
+    versions.publish(t.spark.createDataFrame([], ingest.KEYS), paths.keys, 0)
+    lines = _metrics_lines(t)
+    for k in range(2):
+        lines.where(F.pmod(F.crc32("value"), F.lit(2)) == k).write.mode("append").text(f"{paths.root}/inbox")
+        ingest.start_metrics(t.spark, f"{paths.root}/inbox", paths, available_now=True).awaitTermination()
+    return ingest.read_metrics(t.spark, paths, "metrics").groupBy("indicator").agg(F.max("total").alias("total"))
+
+
+@query("t12_stored_truth", """SELECT uid, type, coalesce(p.asset_id, k.asset_id) AS asset_id, state, strftime("end", '%Y-%m-%d %H:%M:%S') AS "end" FROM (SELECT user_id || '-' || strftime(ts, '%d') AS uid, ['cpu', 'memoria', 'disco', 'caida'][arg_max(user_id, event_id) % 4 + 1] AS type,
+    CASE WHEN arg_max(user_id, event_id) % 3 <> 0 THEN 'u' || arg_max(user_id, event_id) END AS asset_id, 'host-' || arg_max(user_id, event_id) AS node FROM events WHERE event_type = 'view' GROUP BY 1) p
+  LEFT JOIN (SELECT user_id || '-' || strftime(ts, '%d') AS uid, date_trunc('second', arg_max(ts, event_id)) AS "end", 'completada' AS fs FROM events WHERE event_type = 'click' GROUP BY 1) f USING (uid)
+  LEFT JOIN (SELECT key, asset_id FROM keys WHERE kind = 'host.name') k ON k.key = p.node, LATERAL (SELECT CASE WHEN fs IS NULL THEN 'en_curso' ELSE fs END AS state)""", "keys")
+def _(t):
+    """Truth logs are loaded twice, the ends before the starts the first time; the second time changes nothing."""
+    at, start = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("event_type") == "view"
+    kind = F.element_at(F.array(*map(F.lit, ("cpu", "memoria", "disco", "caida"))), (F.col("user_id") % 4 + 1).cast("int"))
+    body = F.to_json(F.struct(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "dd")).alias("uid"), F.when(start, "inicio").otherwise("fin").alias("evento"), kind.alias("tipo"), F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("nodo"),
+        F.when(start, at).alias("inicio"), F.when(~start, at).alias("fin"), F.when(~start, "completada").alias("estado")))
+    logs = t.events.where("event_type in ('view', 'click')").select(
+        body.alias("body"), F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).otherwise("sin_resolver").alias("asset_id"), F.col("event_id").alias("time_ns"), start.alias("start"))
+    root, keys = scratch(t.spark), t.keys.where("kind = 'host.name'")
+    ingest.load_truth(t.spark, logs.where("not start").drop("start"), keys, root)
+    for _ in range(2):
+        out = ingest.load_truth(t.spark, logs.drop("start"), keys, root)
+    return out.select("uid", "type", "asset_id", "state", text("end"))
+
+
 @query("j04_with_diagnosis", "SELECT anomaly_id, anomaly_id IN (SELECT anomaly_id FROM diagnoses) AS has_diagnosis FROM anomalies", "anomalies diagnoses")
 def _(t):
     return incidents.incident_list(t.anomalies, t.diagnoses, limit=None).select("anomaly_id", "has_diagnosis")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -40,6 +40,25 @@ class Paths:
         return rollup.Levels(self.changes, self.rolled, self.points_1m, self.points_1h)
 
 
+METRICS = "job string, indicator string, value double, at timestamp, batch bigint"
+
+
+def note_metrics(rows: DataFrame, paths: Paths, job: str, batch_id: int) -> None:
+    """What a batch received and where it went, one row an indicator, as a table that A36 reads. Written again, it replaces."""
+    counts = {"received": F.col("first")} | {v: (F.col("route") == v) & F.col("first") for v in ("valid", "no_value", "error")}
+    one = rows.agg(*[F.count_if(c).cast("double").alias(n) for n, c in counts.items()], F.max("received_at").alias("at"))
+    one.select(F.lit(job).alias("job"), F.explode(F.create_map(*[x for n in counts for x in (F.lit(n), F.col(n))])).alias("indicator", "value"), "at").write.mode(
+        "overwrite").parquet(f"{paths.metrics}/{job}/batch={batch_id}")
+
+
+def read_metrics(spark: SparkSession, paths: Paths, job: str) -> DataFrame:
+    """The indicators of all batches; counters also as running ``total``, whose growth A36 reports."""
+    root = f"{paths.metrics}/{job}"
+    rows = spark.read.schema(METRICS).option("basePath", root).parquet(root)
+    so_far = Window.partitionBy("indicator").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # a row for each batch and indicator
+    return rows.withColumn("total", F.sum("value").over(so_far))
+
+
 def observed(rows: DataFrame, name: str = "ingest") -> DataFrame:
     """Counts of every batch, read by :class:`ProgressLog`."""
     n = lambda v: F.count_if((F.col("route") == v) & F.col("first")).alias(v)
@@ -89,6 +108,7 @@ def metric_batch(paths: Paths):
             stores.write_run(pts, paths.store, batch_id)
             ident = catalog.resolve(rows.where("first"), keys)
             _count(spark, ident, "metricas", paths.sources, paths.orphans, batch_id)
+            note_metrics(rows, paths, "metrics", batch_id)
             rollup.note_changes(pts, paths.levels, batch_id)
         finally:
             rows.unpersist()
