@@ -70,3 +70,21 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(5, 5), (None, 3), (7, 6)]
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {(i, 0) for i in range(41)} | {(k, 100) for k in range(100, 160)}
+
+
+def test_linked_pairs_pass_the_two_bit_test_whatever_their_size(spark):
+    import numpy as np
+    rng, rows = np.random.default_rng(5), []
+    for n in (6, 7, 13, 20, 40, 100, 300, 1000):
+        for i in range(60):
+            common = rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
+            extra = rng.integers(0, 1 << 63, int(n * 15 / 85), dtype=np.int64).astype(np.uint64)  # at the threshold, or just above it
+            a, b = np.unique(common), np.unique(np.concatenate([common, extra]))
+            x, y = (neardup.two_bits(neardup.signature(s)) for s in (a, b))
+            rows.append((n, [int(v) for v in x], [int(v) for v in y]))
+    d = spark.createDataFrame(rows, "n bigint, x array<bigint>, y array<bigint>")
+    agree = F.aggregate(F.zip_with("x", "y", neardup._agreeing), F.lit(0), lambda s, v: s + v)
+    assert d.where(agree < neardup.least_bins(F.col("n"))).count() == 0
+    other = d.join(d.select(F.col("n").alias("m"), F.col("y").alias("z")).where("m = 1000").limit(40))
+    far = F.aggregate(F.zip_with("x", "z", neardup._agreeing), F.lit(0), lambda s, v: s + v)
+    assert other.where("n between 100 and 300").where(far >= neardup.least_bins(F.col("n"))).count() == 0

@@ -8,8 +8,10 @@
 4. In each bucket every node is paired with the smallest one only (a star), and pairs are confirmed on full sets.
 5. A star misses links between nodes that are not like its centre. So in buckets whose nodes are still in several
    components, the nodes outside the largest component meet the nodes of other components, where sizes allow a link and
-   two bits of each bin agree as a link's do (a link fails this with a probability of about 1e-4); each pair only in the
-   first bucket it shares. These pairs are confirmed on full sets too.
+   two bits of each bin agree as a link's do; each pair only in the first bucket it shares. What a link's bins must
+   agree in depends on the smaller set: a set with fewer shingles than bins fills several with each, so its estimate
+   varies more. Six deviations are allowed, which sets of under twenty shingles always pass. These pairs are confirmed on
+   full sets too.
 
 Defined cases: null and empty texts have no shingles and stay alone; a text under five words is one shingle; repeated rows
 get equal results; a row with a null id is linked with nothing and kept, its component is null; columns other than id and
@@ -31,8 +33,8 @@ from .graph import components
 ROWS, BANDS, SHINGLE = 8, 56, 5
 BINS = ROWS * BANDS
 LEAST_PERCENT = 85
-#: Agreement of two-bit bins below which a pair is no candidate: an estimate of 0.77, with chance agreement.
-LEAST_BINS = int(BINS * (0.25 + 0.75 * 0.77))
+#: How far, in standard deviations, the estimate of a linked pair's similarity may fall short in the two-bit test.
+DEVIATIONS = 6
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,6 +178,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return node.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def least_bins(n):
+    """Two-bit bins in which a linked pair agrees, but for DEVIATIONS, if its smaller set has ``n`` shingles: an estimate from as many
+    independent values as there are filled bins, and a quarter of the other bins by chance."""
+    like = LEAST_PERCENT / 100
+    low = F.greatest(F.lit(0.0), like - DEVIATIONS * F.sqrt(like * (1 - like) / F.least(n, F.lit(BINS))))
+    return F.when(n < 20, 0).otherwise(F.floor(BINS * (0.25 + 0.75 * low)))
+
+
 def untried(members: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of nodes that share a bucket, are in different components, and not both in the bucket's largest one."""
     now = members.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -189,7 +199,7 @@ def untried(members: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     # of two nodes outside the largest component each would meet the other: the smaller one asks
     once = (F.col("component") == F.col("largest")) | (F.col("node_a") < F.col("node"))
     on = (F.col("bucket_a") == F.col("bucket")) & (F.col("component_a") != F.col("component")) & once & sizes_fit(F.col("n_shingles_a"), F.col("n_shingles"))
-    pairs = few.join(open_, on & (agree >= LEAST_BINS) & (shared == F.col("band")))
+    pairs = few.join(open_, on & (agree >= least_bins(F.least("n_shingles_a", "n_shingles"))) & (shared == F.col("band")))
     return pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
 
 
