@@ -7,7 +7,9 @@ maximum conditional likelihood. Forward-backward marginals of a document's words
 aggregates, fitted on the training documents) and the offsets of its toxic words.
 
 Training reads a bounded sample of the labelled rows (``sample`` of either class, chosen by a hash of the id); scoring reads
-every text whole, in chains of 128 consecutive words.
+every text as one chain, whatever its length: it is laid out in blocks of 128 words, and what the words before and behind a block
+say enters it as two numbers on either side, so memory stays bounded and no marginal depends on where blocks end. (In the
+fit, whose transitions are counted within blocks, a block starts anew.)
 
 Defined cases: null and empty texts have no words and get the score of a document without toxic words; repeated rows get
 equal results; null ids are scored and are not held out; without labels of both classes every score is 0; other columns
@@ -43,7 +45,9 @@ def features(word: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The words of the text in lower case; they stand where the words of the text itself stand."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 def class_odds(docs: Iterable[tuple[list[str], int]]) -> dict[str, float]:
@@ -77,7 +81,8 @@ class Field:
         flat = np.fromiter((self.emission(w) for doc in words for w in doc), float)
         out, at = [], 0
         rows, where = chains([len(d) for d in words])
-        p = forward_backward(flat[rows] * where, where, self.transitions, self.start)[0]
+        e = flat[rows] * where
+        p = forward_backward(e, where, self.transitions, self.start, *carried(e, where, self.transitions, self.start, [len(d) for d in words]))[0]
         flat_p = np.zeros(len(flat))
         flat_p[rows[where]] = p[where]
         for doc in words:
@@ -112,8 +117,41 @@ def chains(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(where, grid, 0), where
 
 
-def forward_backward(e: np.ndarray, where: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """Of rows of emission scores (state 1 against 0): marginals of state 1, pair marginals summed by transition, log partition."""
+def carried(e: np.ndarray, where: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of :func:`chains`: the forward weights with which its first word is entered, and the backward weights behind its last.
+
+    A row is one 2 x 2 matrix, the product of its words; the weights run over the matrices of a document's rows."""
+    n, t = len(e), np.exp(trans)
+    enter, leave = np.tile(np.exp(start), (n, 1)), np.ones((n, 2))
+    sizes = np.array([-(-x // CHAIN) for x in lengths if x], int)
+    nth = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if not n or nth.max() == 0:
+        return enter, leave
+    rows = np.flatnonzero(np.repeat(sizes, sizes) > 1)
+    q = np.zeros((len(rows), 2, 2))
+    for k in range(e.shape[1]):
+        x, live = e[rows, k], where[rows, k]
+        emit = np.stack([np.exp(np.minimum(0, -x)), np.exp(np.minimum(0, x))], axis=1)  # the larger one is 1
+        step = (q[:, :, :1] * t[0] + q[:, :, 1:] * t[1] if k else np.tile(np.eye(2), (len(rows), 1, 1))) * emit[:, None]
+        step /= step.max(axis=(1, 2), keepdims=True)
+        q = np.where(live[:, None, None], step, q)
+    product = np.zeros((n, 2, 2))
+    product[rows] = q
+    for j in range(1, int(nth.max()) + 1):
+        at = np.flatnonzero(nth == j)
+        v = np.einsum("ni,nij->nj", enter[at - 1], product[at - 1]) @ t
+        enter[at] = v / v.sum(axis=1, keepdims=True)
+    for j in range(int(nth.max()), 0, -1):
+        at = np.flatnonzero(nth == j)
+        v = np.einsum("nij,nj->ni", product[at], leave[at]) @ t.T
+        leave[at - 1] = v / v.sum(axis=1, keepdims=True)
+    return enter, leave
+
+
+def forward_backward(e: np.ndarray, where: np.ndarray, trans: np.ndarray, start: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
+    """Of rows of emission scores (state 1 against 0): marginals of state 1, pair marginals summed by transition, log partition.
+
+    With ``enter`` and ``leave`` the rows are parts of longer chains, and only the marginals are of use."""
     n, m = e.shape
     emit = np.stack([np.zeros_like(e), e], axis=2)
     shift = np.maximum(emit.max(axis=2), 0)
@@ -121,12 +159,12 @@ def forward_backward(e: np.ndarray, where: np.ndarray, trans: np.ndarray, start:
     t = np.exp(trans)
     alpha, scale = np.zeros((m, n, 2)), np.ones((m, n))
     for k in range(m):
-        a = (np.exp(start) if k == 0 else alpha[k - 1] @ t) * emit[:, k]
+        a = ((np.exp(start) if enter is None else enter) if k == 0 else alpha[k - 1] @ t) * emit[:, k]
         live = where[:, k]
         s = np.where(live, a.sum(axis=1), 1.0)
         alpha[k] = np.where(live[:, None], a / s[:, None], alpha[k - 1] if k else 0.5)
         scale[k] = s
-    beta = np.ones((n, 2))
+    beta = np.ones((n, 2)) if leave is None else leave
     p, pairs = np.zeros((n, m)), np.zeros((2, 2))
     for k in range(m - 1, -1, -1):
         both = alpha[k] * beta
@@ -236,7 +274,6 @@ def offsets(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
     hot = np.flatnonzero(p >= 0.5)
     if not len(hot):
         return []
-    found = [m.span() for m in WORD.finditer(text)]
-    if len(found) != len(p):
-        found = [m.span() for m in WORD.finditer("".join(c.lower() if len(c.lower()) == 1 else c for c in text))]
-    return [(*found[i], float(p[i])) for i in hot if i < len(found)]
+    low = text.lower()
+    found = [m.span() for m in WORD.finditer(low if len(low) == len(text) else text)]
+    return [(*found[i], float(p[i])) for i in hot]
