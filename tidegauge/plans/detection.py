@@ -127,15 +127,7 @@ _SWEEP = """WITH s(setting, least, rel, fl) AS (VALUES """ + ", ".join(f"('{n}',
   SELECT setting, count(*) AS events, count(uid) AS inside, count(*) - count(uid) AS noise, count(DISTINCT uid) AS found, count_if(z / 3.5 >= 100 AND uid IS NOT NULL) AS high_inside FROM o GROUP BY 1"""
 
 
-@query("w28_settings_sweep", _SWEEP, "hourly injections")
-def _(t):
-    pts = t.hourly.withColumn("floor", F.lit(1.0))
-    inj = t.injections.withColumn("asset_id", F.concat(F.lit("asset-"), (F.substring("asset_id", 2, 20).cast("bigint") % 10).cast("string"))).where("end is not null")
-    per_day = inj.groupBy("asset_id", F.date_trunc("day", "start").alias("start")).agg(F.min("uid").alias("uid"), (F.min("start") + F.expr("interval 6 hours")).alias("end"))
-    return detect.sweep(pts, KEYS, per_day, bucket_seconds=DAY, run=2)
-
-
-# the same sweep against every fault, with its own start and end
+# every fault with its own start and end
 _SWEEP_ALL = _SWEEP.replace("""date_trunc('day', "start") AS st, min(uid) AS uid, min("start") + INTERVAL 6 HOUR AS en FROM injections WHERE "end" IS NOT NULL GROUP BY 1, 2)""",
                             """"start" AS st, uid, coalesce("end", "start") AS en FROM injections)""")
 

@@ -174,33 +174,11 @@ def _known(t):
     return keys.unionByName(t.keys.select(F.col("asset_id").alias("value"), F.lit("ACTIVO").alias("kind")).distinct())
 
 
-# every text, without its digits, gets a tail of one known name, one known host (capitals) and one address; the invented prose holds none
-_MARKED = """SELECT {id}, md5(text || ' ' || CASE WHEN named THEN '[ACTIVO_1]' ELSE 'Customer#' || lpad(n::VARCHAR, 9, '0') END || ' ' || CASE WHEN named THEN '[ANFITRION_1]' ELSE 'Host-' || n END
-  || ', [IP_1] 300.1.1.1') AS digest, 1 + 2 * named::INT AS markers FROM (SELECT d.*, n IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) AS named FROM ({rows}) d)"""
-
-
 def _tail(n):
     x = n.cast("string")
     return F.concat(F.lit(" Customer#"), F.lpad(x, 9, "0"), F.lit(" Host-"), x, F.lit(", 10.0."), (n % 9).cast("string"), F.lit(".7 300.1.1.1"))
 
 
-@query("f19_redacted_conversations", _MARKED.format(id="conv_id, turn", rows="SELECT conv_id, turn, n, regexp_replace(text, '[0-9]', '', 'g') AS text FROM (SELECT *, conv_id * 10 + turn AS n FROM conversations)"))
-def _(t):
-    c = t.read("conversations").withColumn("n", F.col("conv_id") * 10 + F.col("turn"))
-    c = c.withColumn("text", F.concat(F.regexp_replace("text", "[0-9]", ""), _tail(F.col("n")))).withColumn("incident", F.concat_ws("/", "conv_id", "turn")).withColumn("part", F.lit(0))
-    out, marks = redact(c, "incident", "part", "text", _known(t))
-    n = marks.groupBy("incident").agg(F.count("*").cast("int").alias("markers"))
-    return out.join(n, "incident").select("conv_id", "turn", F.md5("text").alias("digest"), "markers")
-
-
-@query("f19_redacted_documents", _MARKED.format(id="doc_id", rows="SELECT doc_id, doc_id AS n, regexp_replace(text, '[0-9]', '', 'g') AS text FROM documents"))
-def _(t):
-    d = t.read("documents").select("doc_id", F.lit(0).cast("bigint").alias("part"), F.concat(F.regexp_replace("text", "[0-9]", ""), _tail(F.col("doc_id"))).alias("text"))
-    out, marks = redact(d, "doc_id", "part", "text", _known(t))
-    n = marks.groupBy("doc_id").agg(F.count("*").cast("int").alias("markers"))
-    return out.join(n, "doc_id").select("doc_id", F.md5("text").alias("digest"), "markers")
-
-
 def _whole(rows, incident, seq, n, known):
     """The texts as they are, with the tail, under their incident; ``markers`` is that of the whole incident."""
     out, marks = redact(rows.withColumn("text", F.concat("text", _tail(n))), incident, seq, "text", known)

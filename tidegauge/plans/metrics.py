@@ -33,11 +33,10 @@ def _(t):
         (24 - F.count(F.lit(1))).alias("empty_hours"), F.count_if(F.col("least") < 2).alias("incomplete_hours"))
 
 
-@query("a01_raw_bins", """SELECT metric, slot AS grp, strftime(to_timestamp(epoch_us(ts) // 1000000 // 600 * 600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS bucket, rnd(avg(value), 4) AS value
-  FROM points WHERE asset_id = 'asset-3' GROUP BY 1, 2, 3""", "points")
+@query("a01_raw_bins", """SELECT asset_id, metric, slot AS grp, strftime(to_timestamp(epoch_us(ts) // 1000000 // 600 * 600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS bucket, rnd(avg(value), 4) AS value
+  FROM points GROUP BY 1, 2, 3, 4""", "points")
 def _(t):
-    p = t.points.where("asset_id = 'asset-3'")
-    return series.binned(p, 600, ["metric"], F.col("dims")["slot"]).select("metric", F.col("group").alias("grp"), text("bucket"), r("value"))
+    return series.binned(t.points, 600, ["asset_id", "metric"], F.col("dims")["slot"]).select("asset_id", "metric", F.col("group").alias("grp"), text("bucket"), r("value"))
 
 
 @query("a02_fine_summaries", f"SELECT {_KEYS}, {_TEXT}, rnd(value_avg, 4) AS value_avg, value_min, value_max, value_count FROM hours", "hours")

@@ -40,9 +40,9 @@ def _(t):
     return _trace_cols(L.trace_summary(t.spans))
 
 
-@query("a12_error_traces", "SELECT trace_id, count(*) AS spans, count_if(status = 'error') AS errors FROM spans WHERE asset_id = 'asset-7' GROUP BY 1 HAVING count_if(status = 'error') > 0", "spans")
+@query("a12_error_traces", "SELECT trace_id, count(*) AS spans, count_if(status = 'error') AS errors FROM spans GROUP BY 1 HAVING count_if(status = 'error') > 0", "spans")
 def _(t):
-    return L.trace_summary(t.spans.where("asset_id = 'asset-7'"), only_errors=True).select("trace_id", "spans", "errors")
+    return L.trace_summary(t.spans, only_errors=True).select("trace_id", "spans", "errors")
 
 
 @query("a13_window_counts", """SELECT asset_id, CAST(sum(l) AS BIGINT) AS logs, CAST(sum(le) AS BIGINT) AS error_logs, CAST(sum(s) AS BIGINT) AS spans, CAST(sum(se) AS BIGINT) AS error_spans FROM (
