@@ -66,5 +66,5 @@ def test_every_operator_is_registered():
     sys.path.insert(0, str(Path(corpus_pipeline.__file__).parent))
     import __spark_entry__ as entry
     names = [q for q in entry.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert {"op2_secrets", "op3_licenses", "op7_decontamination"} <= set(entry.oracle_sql())
