@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near copies, benchmark passages, secrets, encoding.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``, of which they only rely on
-``doc_id`` and ``text``. Texts are read whole and every stage works on all rows its predecessor kept.
+``doc_id`` and ``text``. Texts are read whole and every stage works on all rows its predecessor kept. Near copies are those of
+the operator's own bound, a similarity of 0.85.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import bpe, decontaminate, neardup, quality, secrets
+from tidegauge.llm.common import stored
 from tidegauge.llm.queries import VOCABULARY
 from tidegauge.session import pin_utc
 
@@ -50,8 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written to the shared folder and read as the next one's documents, so no stage is computed twice."""
     pin_utc(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *first, (_, last) = STAGES
+    for _, stage in first:
+        docs = stored(stage(spark, docs, sf_dir), "pipeline")
+    return last(spark, docs, sf_dir)
