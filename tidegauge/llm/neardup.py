@@ -10,8 +10,8 @@
    components, the nodes outside the largest component meet the nodes of other components, where sizes allow a link and
    two bits of each bin agree as a link's do; each pair only in the first bucket it shares. What a link's bins must
    agree in depends on the smaller set: a set with fewer shingles than bins fills several with each, so its estimate
-   varies more. Six deviations are allowed, which sets of under twenty shingles always pass. These pairs are confirmed on
-   full sets too.
+   varies more. Three deviations are allowed, and sets of under twenty shingles always pass; a link of larger sets that no star has
+   found fails with a probability of about 1e-3 at most. These pairs are confirmed on full sets too.
 
 Defined cases: null and empty texts have no shingles and stay alone; a text under five words is one shingle; repeated rows
 get equal results; a row with a null id is linked with nothing and kept, its component is null; columns other than id and
@@ -33,8 +33,9 @@ from .graph import components
 ROWS, BANDS, SHINGLE = 8, 56, 5
 BINS = ROWS * BANDS
 LEAST_PERCENT = 85
-#: How far, in standard deviations, the estimate of a linked pair's similarity may fall short in the two-bit test.
-DEVIATIONS = 6
+#: The two-bit test: the estimate below which a pair of large sets is no candidate, and how far, in standard deviations, that of
+#: smaller sets may fall short of the threshold.
+LEAST_LIKE, DEVIATIONS = 0.77, 3
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,7 +183,7 @@ def least_bins(n):
     """Two-bit bins in which a linked pair agrees, but for DEVIATIONS, if its smaller set has ``n`` shingles: an estimate from as many
     independent values as there are filled bins, and a quarter of the other bins by chance."""
     like = LEAST_PERCENT / 100
-    low = F.greatest(F.lit(0.0), like - DEVIATIONS * F.sqrt(like * (1 - like) / F.least(n, F.lit(BINS))))
+    low = F.least(F.lit(LEAST_LIKE), like - DEVIATIONS * F.sqrt(like * (1 - like) / F.least(n, F.lit(BINS))))
     return F.when(n < 20, 0).otherwise(F.floor(BINS * (0.25 + 0.75 * low)))
 
 
