@@ -84,7 +84,12 @@ class Cycle(StatefulProcessor):
 
 def cycle(points: DataFrame, series: str = "series", floor: float = 0.0, **settings) -> DataFrame:
     """``points``: series, ts, value, one per ``step``, and where signals differ a ``floor`` of their own. A stream with the
-    RocksDB state store, or a batch frame. With ``ttl_days`` the state of a series that went silent is dropped."""
+    RocksDB state store, or a batch frame. With ``ttl_days`` the state of a series that went silent is dropped.
+
+    State stores report to a coordinator that a session only starts with its manager of streaming queries. A batch frame starts
+    no such query, so the manager is asked for here.
+    """
+    points.sparkSession.streams.active  # noqa: B018
     own = F.coalesce(F.col("floor").cast("double"), F.lit(floor)) if "floor" in points.columns else F.lit(floor)
     return points.select(series, "ts", "value", own.alias("floor")).groupBy(series).transformWithStateInPandas(
         statefulProcessor=Cycle(**settings), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if settings.get("ttl_days") else "None")
