@@ -28,6 +28,7 @@ SIGNALS = [
     ("traces_span_metrics_calls", "acumulada", {}, "status_code", 0.0, ["caida", "latencia"], {}),
 ]
 # ---- end of fixed values
+NUMBERS = 1 << 31  # above any number of a catalogue's row
 
 _map = T.MapType(T.StringType(), T.StringType())
 SCHEMA = T.StructType([
@@ -69,24 +70,39 @@ def watched(level: DataFrame, signals: DataFrame, value=None) -> DataFrame:
                      F.to_json("filters").alias("filters_text"), "bucket").agg(mean.alias("value"))
 
 
+def _numbered(signals: DataFrame) -> DataFrame:
+    """The catalogue (tens of rows) with a number for each row."""
+    key = lambda x: F.concat_ws("|", x["signal"], x["kind"], F.to_json(x["filters"]))
+    rows = F.array_sort(F.collect_list(F.struct("metric", "signal", "kind", "filters", "faults")), lambda x, y: F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0))
+    return signals.agg(rows.alias("_a")).select(F.posexplode("_a").alias("_i", "_s")).select("_i", "_s.*")
+
+
+def _own_numbers(numbered: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ask_id, _i): the number of the own signal. An ask meets the signals of its metric as one list; what is aggregated is one
+    long: the size of the greatest match and, on a tie, the lower number."""
+    lists = numbered.groupBy(F.col("metric").alias("_m")).agg(F.collect_list(F.struct("filters", "_i")).alias("_l"))
+    hits = F.filter("_l", lambda x: matches(x["filters"], F.col("dims")))
+    best = F.array_max(F.transform(hits, lambda x: F.size(x["filters"]).cast("bigint") * NUMBERS - x["_i"]))
+    met = asked.join(lists, F.col("metric") == F.col("_m")).select("ask_id", best.alias("_b"))
+    return met.groupBy("ask_id").agg(F.max("_b").alias("_b")).where("_b is not null").select("ask_id", F.pmod(-F.col("_b"), F.lit(NUMBERS)).cast("int").alias("_i"))
+
+
 def own_signals(signals: DataFrame, asked: DataFrame) -> DataFrame:
     """(ask_id, own): of the signals that a (metric, dims) belongs to, the one with the most fixed dimensions."""
-    return asked.join(signals.withColumnRenamed("metric", "_m"), F.col("metric") == F.col("_m")).where(
-        matches(F.col("filters"), F.col("dims"))).groupBy("ask_id").agg(
-        F.max_by(F.struct("metric", "signal", "kind", "filters", "faults"), F.size("filters")).alias("own"))
+    s = _numbered(signals)
+    own = s.select("_i", F.struct("metric", "signal", "kind", "filters", "faults").alias("own"))
+    return _own_numbers(s, asked).join(own, "_i").select("ask_id", "own")
 
 
 def related(signals: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (metric, dims): its own signal (most fixed dimensions), and those sharing a fault.
 
-    ``asked`` has ``ask_id, metric, dims``.
+    ``asked`` has ``ask_id, metric, dims``. Which signals go together is found in the catalogue alone, so an ask meets
+    its own signal and then the short list that belongs to it, each of them once.
     """
-    own = own_signals(signals, asked)
-    other = signals.select(F.col("metric").alias("rel_metric"), F.col("signal").alias("rel_signal"),
-                           F.to_json("filters").alias("rel_filters"), F.explode("faults").alias("fault"))
-    return own.select("ask_id", F.col("own.metric").alias("metric"), F.col("own.signal").alias("own_signal"),
-                      F.to_json("own.filters").alias("own_filters"), F.explode("own.faults").alias("fault")).join(
-        other, "fault").where(
-        (F.col("rel_signal") != F.col("own_signal")) & ~((F.col("metric") == F.col("rel_metric"))
-                                                         & (F.col("rel_filters") == F.col("own_filters")))).select(
-        "ask_id", "own_signal", "rel_metric", "rel_signal").distinct()
+    s = _numbered(signals)
+    own = s.select("_i", F.col("metric").alias("_m"), F.col("signal").alias("own_signal"), F.to_json("filters").alias("_f"), F.explode("faults").alias("fault"))
+    other = s.select(F.col("metric").alias("rel_metric"), F.col("signal").alias("rel_signal"), F.to_json("filters").alias("rel_filters"), F.explode("faults").alias("fault"))
+    pairs = own.join(other, "fault").where((F.col("rel_signal") != F.col("own_signal")) & ~((F.col("_m") == F.col("rel_metric")) & (F.col("rel_filters") == F.col("_f")))).select(
+        "_i", "own_signal", "rel_metric", "rel_signal").distinct()
+    return _own_numbers(s, asked).join(pairs, "_i").select("ask_id", "own_signal", "rel_metric", "rel_signal")
