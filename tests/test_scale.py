@@ -1,15 +1,18 @@
 """What has to hold so that time, memory and shuffles grow no faster than the input."""
 
 import os
+import random
 import subprocess
 import sys
+from datetime import datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import signals
+from tidegauge.operators import evidence, signals
 
 ROOT = Path(__file__).parents[1]
+AT = datetime(2024, 1, 1)
 FRESH = """
 from datetime import datetime, timedelta
 from pyspark.sql import SparkSession
@@ -43,3 +46,42 @@ def test_related_signals_keep_one_number_an_ask(spark):
                     (1, "system_processes_count[status=running]"), (2, "system_cpu_utilization[state=wait]"), (2, "system_disk_io[direction=write, por device]"), (2, "system_filesystem_usage[state=used, por mountpoint]")]
     own = {r["ask_id"]: r["s"] for r in signals.own_signals(cat, asked).select("ask_id", F.col("own.signal").alias("s")).collect()}
     assert own == {1: "system_cpu_utilization[state=user]", 2: "system_disk_io[direction=read, por device]", None: "system_paging_usage[state=used, por device]"}
+
+
+def _incidents(spark, rnd):
+    rows = [(str(i), f"a{i % 2}", "m", AT + timedelta(minutes=rnd.randrange(3000)), rnd.choice([None, 0, 20, 400])) for i in range(60)]
+    rows += rows[:3] + [("4", "a1", "m", AT + timedelta(minutes=700), None), (None, "a0", "m", AT, 20), (None, "a1", "m", AT + timedelta(hours=9), 20), ("n", None, "m", AT, None), ("s", "a0", "m", None, None)]
+    rows = [(i, a, m, s, s + timedelta(minutes=e) if s and e is not None else None) for i, a, m, s, e in rows]
+    inc = spark.createDataFrame(rows, "anomaly_id string, asset_id string, metric string, start timestamp, end timestamp")
+    return evidence.windows(inc, F.to_timestamp(F.lit("2024-01-03 00:00:00")))
+
+
+def test_summaries_without_pairs_are_those_of_the_pairs(spark):
+    rnd = random.Random(3)
+    inc = _incidents(spark, rnd)
+    pts = [(f"a{rnd.randrange(3)}", "m", AT + timedelta(seconds=rnd.randrange(200_000)), rnd.choice([None, float("nan"), *[rnd.uniform(-9, 9)] * 20])) for _ in range(3000)]
+    pts = spark.createDataFrame([*pts, *pts[:50], ("a0", "m", None, 1.0), (None, "m", AT, 2.0)], "asset_id string, metric string, ts timestamp, value double")
+    # one window is longer than a slice
+    inc = inc.withColumn("until", F.when(F.col("anomaly_id") == "7", F.col("until") + F.expr("interval 9 hours")).otherwise(F.col("until")))
+    text = lambda d: sorted(tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in d.select(*names).collect())
+    pairs = evidence.summary(evidence.incident_points(inc, pts, "ts"), ["anomaly_id"], "ts")
+    names = pairs.columns
+    assert text(evidence.incident_summaries(inc, pts, "ts")) == text(pairs)
+
+
+def test_series_of_incidents_are_measured_in_slices(spark):
+    """A counter's rates, a fall among them, for an id that comes once, one that comes twice, and one with two windows."""
+    level = [("a", "system_disk_io", AT + timedelta(minutes=i), {"direction": d, "device": v}, float(i * 60 if i != 70 else 0) * (2 if v == "sdb" else 1), 1.0) for i in range(120) for d in ("read", "write") for v in ("sda", "sdb")]
+    level = spark.createDataFrame(level, "asset_id string, metric string, ts timestamp, dims map<string,string>, value_avg double, value_count double")
+    own = {"direction": "write", "device": "sda"}
+    row = lambda i, m: (i, "a", "system_disk_io", own, AT + timedelta(minutes=m), AT + timedelta(minutes=m + 10))
+    inc = spark.createDataFrame([row("1", 60), row("2", 60), row("2", 60), row("3", 60), row("3", 90)], "anomaly_id string, asset_id string, metric string, dims map<string,string>, start timestamp, end timestamp")
+    got = evidence.incident_series(inc, level, signals.catalogue(spark), F.to_timestamp(F.lit("2024-01-03 00:00:00")), "ts")
+    rows = {(r["anomaly_id"], r["role"], r["dims"]): (r["before_median"], r["during_median"], r["points_before"], r["points_during"], r["unit"]) for r in got.collect()}
+    one = {k[1:]: v for k, v in rows.items() if k[0] == "1"}
+    # the first of 60 points before has no rate, and the fall at the end of the fault counts for none
+    assert one == {("afectada", "device=sda,direction=write"): (1.0, 1.0, 59, 10, "por segundo"), ("relacionada", "direction=read,device=sda"): (1.0, 1.0, 59, 10, "por segundo"),
+                   ("relacionada", "direction=read,device=sdb"): (2.0, 2.0, 59, 10, "por segundo")}
+    assert {k[1:]: v for k, v in rows.items() if k[0] == "2"} == one and {k[1:] for k in rows if k[0] == "3"} == set(one)
+    # points and incidents met in pairs of one interval join before
+    assert "FlatMapCoGroupsInArrow" in plan(got)

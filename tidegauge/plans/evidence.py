@@ -38,14 +38,14 @@ _SUM = f"""SELECT i.anomaly_id, quantile_cont(value, 0.5) FILTER (WHERE ts < "st
 
 @query("a38_evidence_summaries", f"""SELECT anomaly_id, rnd(bm, 4) AS before_median, rnd(dm, 4) AS during_median, dx AS during_max, pb AS points_before, pd AS points_during, rnd(dx - bm, 4) AS change_abs, rnd((dx - bm) / nullif(abs(bm), 0), 4) AS change_rel FROM ({_SUM})""", "anomalies points")
 def _(t):
-    s = E.summary(E.incident_points(_incidents(t), t.points, "ts"), ["anomaly_id"], "ts")
+    s = E.incident_summaries(_incidents(t), t.points, "ts")
     return s.select("anomaly_id", r("before_median"), r("during_median"), "during_max", "points_before", "points_during", r("change_abs"), r("change_rel"))
 
 
 @query("w16_top_related", f"""SELECT metric, anomaly_id, rank FROM (SELECT i.metric, s.anomaly_id, row_number() OVER (PARTITION BY i.metric ORDER BY abs(coalesce((dx - bm) / nullif(abs(bm), 0), 0)) DESC, abs(coalesce(dx - bm, 0)) DESC, s.anomaly_id) AS rank FROM ({_SUM}) s JOIN ({_INC}) i USING (anomaly_id)) WHERE rank <= 3""", "anomalies points")
 def _(t):
     inc = _incidents(t)
-    s = E.summary(E.incident_points(inc, t.points, "ts"), ["anomaly_id"], "ts").join(inc.select("anomaly_id", "metric"), "anomaly_id")
+    s = E.incident_summaries(inc, t.points, "ts").join(inc.select("anomaly_id", "metric"), "anomaly_id")
     return E.top_related(s, ["metric"], "anomaly_id").select("metric", "anomaly_id", F.col("rank").cast("bigint").alias("rank"))
 
 
