@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.clustering import KMeans
@@ -22,6 +24,7 @@ K = 6
 RESTARTS, SEED = 10, 42
 DISTANCE_QUANTILE = 0.995
 # ---- end of fixed values
+BLOCK = 20000  # rows of either side that meet in one task
 
 
 def clipped(scores: DataFrame, features: list[str] = FEATURES, bound: float = Z_CLIP) -> DataFrame:
@@ -157,6 +160,39 @@ def perceptron(features: list[str], classes: int, label: str = "label", seed: in
                                                                               seed=seed, maxIter=max_iter)])
 
 
+def _nearest(k: int):
+    """A function of a block of queries and one of training rows: the k nearest of each query, the lower label first on a tie.
+
+    Products of the blocks choose the candidates, with room for their rounding; the distances are then summed dimension by dimension.
+    """
+    def cells_of(t: pa.Table, name: str) -> np.ndarray:
+        return t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+
+    def run(q: pa.Table, t: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        if len(q) and len(t):
+            x, y, n = cells_of(q, "_x"), cells_of(t, "_t"), min(k, len(t))
+            label = np.nan_to_num(t["_y"].to_numpy(), nan=-np.inf)
+            yy = (y * y).sum(1)
+            for at in range(0, len(x), 256):
+                a = x[at:at + 256]
+                aa = (a * a).sum(1)
+                g = aa[:, None] + yy - 2 * (a @ y.T)
+                most = np.partition(g, n - 1, axis=1)[:, n - 1] + 1e-10 * (aa + yy.max() + 1)
+                i, j = np.nonzero(~(g > most[:, None]))
+                d = np.zeros(len(i))
+                for c in range(x.shape[1]):
+                    d += (a[i, c] - y[j, c]) ** 2
+                d = np.sqrt(d)
+                order = np.lexsort((label[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                found.append((i[first] + at, j[first], d[first]))
+        i, j, d = (np.concatenate(c) for c in zip(*found))
+        return pa.table([q["_id"].take(pa.array(i, pa.int64())), t["_y"].take(pa.array(j, pa.int64())), pa.array(d, pa.float64())], names=["_id", "_y", "_d"])
+    return run
+
+
 def knn(train: DataFrame, rows: DataFrame, train_id: str, row_id: str, features: list[str], label: str = "label", k: int = 5,
         cells: int = 32) -> DataFrame:
     """M6: exact majority of the k nearest, after standard scaling. Ties go to the lower label.
@@ -164,14 +200,14 @@ def knn(train: DataFrame, rows: DataFrame, train_id: str, row_id: str, features:
     Training rows are grouped around ``cells`` centres. A row's distance to a
     centre and the radius of its group bound all distances in the group, so the
     groups that surely hold k rows bound the k-th distance, and only groups that
-    can come closer are met, by an equi join on the group. What is gathered is
+    can come closer are met, in blocks of about ``BLOCK`` rows of either side. What is gathered is
     one centre, radius and count for each of the ``cells`` groups.
     """
     scaler = Pipeline(stages=_scaled(features)).fit(train)
     vec = lambda d, i, *more: scaler.transform(d).select(F.col(i).alias("_id"), "features", *more)
     t, q = vec(train, train_id, F.col(label).cast("double").alias("_y")), vec(rows, row_id)
     model = KMeans(k=cells, seed=SEED, maxIter=5).fit(t.select("features"))
-    homes = assign(model, t).select("cluster", "_y", "distance", vector_to_array("features").alias("_t"))
+    homes = assign(model, t).select("_id", "cluster", "_y", "distance", vector_to_array("features").alias("_t"))
     sizes = {r["cluster"]: (r["far"], r["n"]) for r in homes.groupBy("cluster").agg(F.max("distance").alias("far"), F.count("*").alias("n")).collect()}
     x = vector_to_array("features")
     root = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
@@ -184,8 +220,13 @@ def knn(train: DataFrame, rows: DataFrame, train_id: str, row_id: str, features:
     state = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("most"))
     bound = F.aggregate("_c", state, lambda s, c: F.when(s["n"] >= k, s).otherwise(F.struct((s["n"] + c["n"]).alias("n"), c["most"].alias("most"))), lambda s: s["most"])
     q = q.select("_id", x.alias("_x"), F.array_sort(F.array(*near)).alias("_c")).withColumn("_most", bound * (1 + 1e-9))
-    met = q.select("_id", "_x", F.explode(F.filter("_c", lambda c: c["least"] <= F.col("_most"))["cell"]).alias("cluster"))
-    pairs = met.join(homes, "cluster").select("_id", "_y", root(F.col("_x"), F.col("_t")).alias("_d"))
+    shares = -(-rows.count() // BLOCK) or 1
+    parts = F.try_element_at(F.create_map(*[F.lit(v) for c, (_, n) in sizes.items() for v in (c, -(-n // BLOCK))]), F.col("cluster")) if sizes else F.lit(1)
+    met = q.select("_id", "_x", F.pmod(F.xxhash64("_id", "_x"), F.lit(shares)).cast("int").alias("_q"), F.explode(F.filter("_c", lambda c: c["least"] <= F.col("_most"))["cell"]).alias("cluster"))
+    met = met.withColumn("_p", F.explode(F.sequence(F.lit(0), parts - 1)))
+    homes = homes.select("cluster", "_y", "_t", F.pmod(F.xxhash64("_id", "_t"), parts).cast("int").alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_q"))
+    on = ["cluster", "_p", "_q"]
+    pairs = met.groupBy(*on).cogroup(homes.groupBy(*on)).applyInArrow(_nearest(k), f"_id {q.schema['_id'].dataType.simpleString()}, _y double, _d double")
     top = pairs.withColumn("_r", F.row_number().over(W.partitionBy("_id").orderBy("_d", "_y"))).where(F.col("_r") <= k)
     votes = top.groupBy("_id", F.col("_y").alias("y")).agg(F.count(F.lit(1)).alias("_v"))
     return votes.groupBy("_id").agg(F.max_by("y", F.struct("_v", -F.col("y"))).alias("prediction")).withColumnRenamed("_id", row_id)
