@@ -9,7 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import evidence, ml, signals
+from tidegauge.functions.values import significant
+from tidegauge.operators import evidence, ml, series, signals
 
 ROOT = Path(__file__).parents[1]
 AT = datetime(2024, 1, 1)
@@ -104,3 +105,51 @@ def test_nearest_neighbours_meet_in_blocks(spark, monkeypatch):
     # equal distances may differ in the last digit once they are scaled
     assert got.count() == 80 and same >= 76
     assert "FlatMapCoGroupsInArrow" in plan(got)
+
+
+def test_logs_and_traces_without_pairs_are_those_of_the_pairs(spark):
+    """Traces of one span and of many, cut by windows or not, spans sent twice, ids that are empty or null, logs without a span."""
+    rnd = random.Random(7)
+    inc = _incidents(spark, rnd).where("anomaly_id is not null").withColumn("asset_id", F.coalesce("asset_id", F.lit("a1")))
+    when = lambda: AT + timedelta(microseconds=rnd.randrange(200_000_000_000))
+    logs, spans = [], []
+    for i in range(2500):
+        t, asset, n = when(), f"a{i % 2}", rnd.choice([1, 1, 1, 2, 9])
+        trace = rnd.choice(["", None, *[f"{i:04}"] * 60])
+        for k in range(n):
+            at = t + timedelta(minutes=rnd.choice([0, 0, 1, 40]) * k)
+            spans.append((asset, at, rnd.choice([None, *[at + timedelta(seconds=rnd.randrange(9999))] * 9]), 1, trace, rnd.choice(["", None, *[f"s{k}"] * 30]), rnd.choice(["", "", "s0", None]),
+                          f"op{k}", rnd.choice(["ok", "ok", "error", None]), "svc"))
+        sev = rnd.choice([("ERROR", 17), ("INFO", 9), ("fatal", 21), (None, None), ("INFO", 17), ("error", None)])
+        logs.append((asset, t + timedelta(seconds=rnd.choice([0, 3, 4000])), *sev, rnd.choice([None, f"body {i}"]), trace, "s0", rnd.choice(["x", None])))
+    logs += [(None, AT, "ERROR", 17, "b", "t", "s", "x"), ("a0", None, "ERROR", 17, "b", "t", "s", "x"), *logs[:40]]
+    lg = spark.createDataFrame(logs, "asset_id string, ts timestamp, severity string, severity_num int, body string, trace_id string, span_id string, service_name string")
+    sp = spark.createDataFrame([*spans, *spans[:60]], "asset_id string, start_ts timestamp, end_ts timestamp, duration_ns long, trace_id string, span_id string, parent_id string, name string, status string, service_name string")
+    # ids that come twice stay, and one window is longer than a slice
+    inc = inc.withColumn("until", F.when(F.col("anomaly_id") == "7", F.col("until") + F.expr("interval 9 hours")).otherwise(F.col("until")))
+    # more windows in a slice than are told at once
+    noon = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    inc = inc.unionByName(inc.where("anomaly_id > '3'").withColumn("anomaly_id", F.concat("anomaly_id", F.lit("x"), F.explode(F.sequence(F.lit(1), F.lit(40)))))
+                          .withColumn("start", noon).withColumn("logs_from", noon).withColumn("until", noon + F.expr("interval 90 minutes")))
+    got = evidence._told_of(inc, lg, sp, 86400)
+    # spans by start and id are in no order where both are equal, so roots are compared by whether there is one
+    plain = lambda d: {r["anomaly_id"]: (*[[tuple(x) for x in r[c] or []] for c in ("error_logs", "correlation")], [(*x[:2], x[2] is None, *x[3:]) for x in r["error_traces"] or []],
+                                         *[r[c] for c in ("logs", "error_log_count", "spans", "error_spans")]) for r in d.collect()}
+    want = plain(evidence._told_in_pairs(inc.where("start is not null"), lg, sp, 86400))
+    assert len(want) > 50 and any(len(v[0]) == 50 for v in want.values()) and any(len(v[2]) == 20 for v in want.values()) and plain(got) == want
+    # logs and windows met in pairs of an interval join alone before
+    assert "FlatMapCoGroupsInArrow" in plan(got)
+
+
+def test_points_of_packs_without_pairs_are_those_of_the_pairs(spark):
+    rnd = random.Random(11)
+    inc = _incidents(spark, rnd).where("anomaly_id is not null")
+    at = rnd.sample(range(200_000), 40_000)
+    pts = [(f"a{i % 2}", "m", AT + timedelta(seconds=t), rnd.choice([None, float("nan"), *[rnd.randrange(-9, 9) / 7] * 8])) for i, t in enumerate(at)]
+    pts = spark.createDataFrame([*pts, ("a0", "m", None, 1.0), (None, "m", AT, 2.0)], "asset_id string, metric string, ts timestamp, value double")
+    text = lambda d: {r["anomaly_id"]: str(r["puntos"]) for r in d.collect()}
+    few = series.every(series.peaks(evidence.incident_points(inc.where("start is not null"), pts, "ts"), ["anomaly_id"], "ts", "value", 180), ["anomaly_id"], "ts", 60)
+    want = text(few.groupBy("anomaly_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ts").alias("t"), significant(F.col("value")).alias("v")))).alias("puntos")))
+    got = evidence.pack_points(inc, pts, "ts")
+    assert len(want) > 50 and text(got) == want
+    assert "FlatMapCoGroupsInArrow" in plan(got)

@@ -61,9 +61,13 @@ def correlated(logs: DataFrame, spans: DataFrame) -> DataFrame:
     return logs.where(linked).join(s, ["trace_id", "span_id"], "left").unionByName(logs.where(~linked), allowMissingColumns=True)
 
 
+def is_severe() -> Column:
+    return F.upper("severity").rlike("^(ERROR|FATAL)")
+
+
 def error_rows(pairs: DataFrame) -> DataFrame:
     """P23."""
-    return pairs.where((F.col("span_status") == "error") | F.upper("severity").rlike("^(ERROR|FATAL)"))
+    return pairs.where((F.col("span_status") == "error") | is_severe())
 
 
 def window_counts(logs: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:

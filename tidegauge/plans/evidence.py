@@ -75,8 +75,8 @@ def _(t):
   s.anomaly_id IS NULL AS no_series FROM anomalies i LEFT JOIN n USING (anomaly_id) LEFT JOIN e USING (anomaly_id) LEFT JOIN ({_SUM}) s USING (anomaly_id)""", "anomalies points logs")
 def _(t):
     inc = _incidents(t)
-    rec = E.evidence(inc, t.points, _logs(t), _spans(t), _now(), "ts")
-    pack = E.compact(rec, E.incident_points(inc, t.points, "ts"), "ts").select("anomaly_id", F.from_json("pack", """severidad string, puntuacion double, puntos array<struct<t:timestamp>>, registros_error array<string>,
+    rec = E.evidence(inc, t.points, _logs(t), _spans(t), _now(), "ts", first=E.PACKED)
+    pack = E.compact(rec, E.pack_points(inc, t.points, "ts")).select("anomaly_id", F.from_json("pack", """severidad string, puntuacion double, puntos array<struct<t:timestamp>>, registros_error array<string>,
         trazas_error array<string>, correlacion array<string>, no_recuperado array<string>""").alias("p"))
     n = lambda c, name: F.size(f"p.{c}").cast("bigint").alias(name)
     edge = lambda c, name: F.when(F.size("p.puntos") < 60, F.date_format(c("p.puntos.t"), "yyyy-MM-dd HH:mm:ss")).alias(name)
@@ -139,8 +139,8 @@ def _(t):
 def _(t):
     """The packs of the incidents that have series, read back from their text."""
     inc = _platform_incidents(t)
-    rec = E.with_series(E.evidence(inc, t.points.limit(0), _logs(t), _spans(t), _now(), "ts"), E.incident_series(inc, _level(t), signals.catalogue(t.spark), _now(), "ts"))
-    pack = E.compact(rec, E.incident_points(inc, t.points.limit(0), "ts"), "ts").select(
+    rec = E.with_series(E.evidence(inc, t.points.limit(0), _logs(t), _spans(t), _now(), "ts", first=E.PACKED), E.incident_series(inc, _level(t), signals.catalogue(t.spark), _now(), "ts"))
+    pack = E.compact(rec, E.pack_points(inc, t.points.limit(0), "ts")).select(
         "anomaly_id", F.from_json("pack", "series array<struct<metrica:string,dimensiones:string,papel:string,unidad:string>>").alias("p")).where(F.size("p.series") > 0)
     named = F.array_join(F.transform("p.series", lambda x: F.concat_ws("|", x["metrica"], x["dimensiones"], x["papel"], F.coalesce(x["unidad"], F.lit("")))), ";")
     return pack.select("anomaly_id", F.size("p.series").cast("bigint").alias("series"), named.alias("named"))
