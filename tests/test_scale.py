@@ -129,7 +129,7 @@ def test_logs_and_traces_without_pairs_are_those_of_the_pairs(spark):
     inc = inc.withColumn("until", F.when(F.col("anomaly_id") == "7", F.col("until") + F.expr("interval 9 hours")).otherwise(F.col("until")))
     # more windows in a slice than are told at once
     noon = F.lit("2024-01-01 12:00:00").cast("timestamp")
-    inc = inc.unionByName(inc.where("anomaly_id > '3'").withColumn("anomaly_id", F.concat("anomaly_id", F.lit("x"), F.explode(F.sequence(F.lit(1), F.lit(40)))))
+    inc = inc.unionByName(inc.where("anomaly_id > '3'").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("anomaly_id", F.concat("anomaly_id", F.lit("x"), "x")).drop("x")
                           .withColumn("start", noon).withColumn("logs_from", noon).withColumn("until", noon + F.expr("interval 90 minutes")))
     got = evidence._told_of(inc, lg, sp, 86400)
     # spans by start and id are in no order where both are equal, so roots are compared by whether there is one
