@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tidegauge.functions.values import significant
-from tidegauge.operators import evidence, ml, series, signals
+from tidegauge.operators import evidence, logs as tracing, ml, series, signals
 
 ROOT = Path(__file__).parents[1]
 AT = datetime(2024, 1, 1)
@@ -153,3 +153,20 @@ def test_points_of_packs_without_pairs_are_those_of_the_pairs(spark):
     got = evidence.pack_points(inc, pts, "ts")
     assert len(want) > 50 and text(got) == want
     assert "FlatMapCoGroupsInArrow" in plan(got)
+
+
+def test_short_traces_are_walked_as_long_ones_are_ranked(spark, monkeypatch):
+    """Forests with ties, orphans, cycles, repeats, spans without an id, a trace without one, and a chain."""
+    rnd = random.Random(2)
+    rows = [(f"t{t}", f"s{i}", rnd.choice(["", None, f"s{i}", f"s{i + 1}", *[f"s{rnd.randrange(i + 1)}" for _ in range(9)]]), rnd.choice([None, *[AT + timedelta(seconds=rnd.randrange(5) * 40)] * 9]))
+            for t in range(30) for i in range(rnd.randrange(1, 25))]
+    rows += [("chain", f"c{i:03}", f"c{i - 1:03}", AT) for i in range(40)] + rows[:50] + [("n", None, "", AT), ("n", "a", "", AT), (None, "a", "", AT)]
+    sp = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string, start_ts timestamp")
+    for ordered in (True, False):
+        got = tracing.span_tree(sp, ordered)
+        assert sorted(map(str, got.collect())) == sorted(map(str, tracing._by_ranking(sp, ordered).collect()))
+        # all traces were ranked by joins before
+        assert "FlatMapGroupsInArrow" in plan(got)
+    monkeypatch.setattr(tracing, "TRACE_SPANS", 12)
+    monkeypatch.setattr(tracing, "TOGETHER", 50)
+    assert sorted(map(str, tracing.span_tree(sp).collect())) == sorted(map(str, tracing._by_ranking(sp, True).collect()))
