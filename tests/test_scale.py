@@ -7,6 +7,7 @@ import sys
 from datetime import datetime, timedelta
 from pathlib import Path
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from tidegauge.functions.values import significant
@@ -170,3 +171,17 @@ def test_short_traces_are_walked_as_long_ones_are_ranked(spark, monkeypatch):
     monkeypatch.setattr(tracing, "TRACE_SPANS", 12)
     monkeypatch.setattr(tracing, "TOGETHER", 50)
     assert sorted(map(str, tracing.span_tree(sp).collect())) == sorted(map(str, tracing._by_ranking(sp, True).collect()))
+
+
+def test_svm_passes_over_few_written_parts(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(float(y), y + rnd.gauss(0, .4), rnd.gauss(0, 1), (y == 1) + rnd.gauss(0, .4)) for y in (rnd.randrange(3) for _ in range(400))]
+    df = spark.createDataFrame(rows, "label double, a double, b double, c double").repartition(40)
+    seen, fit = [], ml.OneVsRest.fit
+    monkeypatch.setattr(ml.OneVsRest, "fit", lambda self, rows: seen.append(rows) or fit(self, rows))
+    svm = ml.linear_svm(["a", "b", "c"], max_iter=5)
+    got = svm.fit(df).transform(df).groupBy("a", "label", "prediction").count().collect()
+    # every pass of every class ran the plan of the rows in as many tasks as it had partitions before
+    assert seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and "Exchange" not in plan(seen[0])
+    plain = Pipeline(stages=svm.getStages()).fit(df).transform(df).groupBy("a", "label", "prediction").count().collect()
+    assert len(set(map(tuple, got)) & set(map(tuple, plain))) >= 398 and sum(r["label"] == r["prediction"] for r in got) > 250

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
 from .features import FEATURES, Z_CLIP, Z_CUT
 from .ordered import with_position
 from .quantiles import exact_percentile
@@ -151,8 +152,23 @@ def _scaled(features: list[str]) -> list:
     return [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
 
 
+class OftenRead(Pipeline):
+    """A pipeline whose last stage passes over the rows in tens of jobs a class.
+
+    Every task of such a job reports all metrics of the plan that it reads, so the training rows are written first, and as
+    many tasks as the cluster has cores read them. A task streams its rows, so it holds no more of a larger table.
+    """
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        *first, last = self.getStages()
+        rows = written(dataset.select(*dict.fromkeys([*first[0].getInputCols(), last.getLabelCol()])))
+        rows = rows.coalesce(dataset.sparkSession.sparkContext.defaultParallelism)
+        ready = Pipeline(stages=first).fit(rows)
+        return PipelineModel([*ready.stages, last.fit(ready.transform(rows))])
+
+
 def linear_svm(features: list[str], label: str = "label", max_iter: int = 50) -> Pipeline:
-    return Pipeline(stages=[*_scaled(features), OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol=label, parallelism=4)])
+    return OftenRead(stages=[*_scaled(features), OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol=label, parallelism=4)])
 
 
 def perceptron(features: list[str], classes: int, label: str = "label", seed: int = SEED, max_iter: int = 100) -> Pipeline:
