@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from tidegauge.functions import redaction
 from tidegauge.functions.values import significant
 from tidegauge.operators import evidence, logs as tracing, ml, series, signals
 
@@ -185,3 +186,32 @@ def test_svm_passes_over_few_written_parts(spark, monkeypatch):
     assert seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and "Exchange" not in plan(seen[0])
     plain = Pipeline(stages=svm.getStages()).fit(df).transform(df).groupBy("a", "label", "prediction").count().collect()
     assert len(set(map(tuple, got)) & set(map(tuple, plain))) >= 398 and sum(r["label"] == r["prediction"] for r in got) > 250
+
+
+def test_identifiers_are_searched_near_their_signs(spark):
+    """Shapes in the runs that hold a sign, known values between their first and last letters: the places are those of the whole texts."""
+    rnd = random.Random(6)
+    bits = ["10.0.0.7", "300.1.1.1", ".", ":", "::", "fe80::1", "%eth0", "12:30:45", "1:2:3:4:5:6:7:8", "-", "i-0abc1234", "\u0131-0abc1234", "ip-10-0-0-1", ".ec2", "/subscriptions/123e4567-e89b-12d3-a456-426614174000", "/x(1)",
+            "/\u017fUBSCRIPTIONS/", "aws:", "vm/7", "AWS:\u212a/9", "[IP_1]", "[ID_", "]", "(", " ", " ", " ", "\n", "\n12\n", ",", "word", "Word.", "\u00f1and\u00fa", "web-01", "WEB-01", "\u0663", "\U0001d7d9", "\u00b2", "_", "a", "A-1", "-1", "Is", "\u0130\u017f"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(40))) for _ in range(1500)]
+    texts += ["a.b" * 20000 + " 10.0.0.9", "plain words - and more, " * 5000 + "host 10.0.0.7 and others"]
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, _t string")
+    every = [f"{redaction.FLAGS}{redaction.BEFORE}{p}{redaction.AFTER}" for _, p in redaction.SHAPES]
+    whole = t.select("k", F.explode(F.array(*[F.struct(F.lit(i).alias("nth"), redaction._places(F.col("_t"), F.lit(p)).alias("places")) for i, p in enumerate(every)])).alias("f")).select("k", "f.*")
+    hits = redaction._offsets(whole, ["k", "nth"]).where(F.when(F.col("nth") == 6, redaction.is_ipv4(F.col("hit"))).when(F.col("nth") == 5, redaction.is_ipv6(F.col("hit"))).otherwise(True))
+    want = sorted((r["k"], r["s"], r["e"], r["hit"]) for r in hits.collect())
+    got = redaction.shaped(t, ["k"]).where("kind is not null")
+    assert len(want) > 1500 and sorted((r["k"], r["s"], r["e"], r["hit"]) for r in got.collect()) == want
+    # all shapes were searched in whole texts before
+    assert spark.createDataFrame([(texts[-1],)], "t string").select(redaction.runs(F.col("t"))).first()[0] == f"\n{24 * 5000 + 5}\n10.0.0.7"
+
+    values = ["web-01", "is", "a-1", "a", "\u00f1and\u00fa", "10.0.0.7"]
+    known = spark.createDataFrame([(v, "ID") for v in values], "value string, kind string")
+    want = []
+    for v in values:
+        found = t.select("k", redaction._places(F.col("_t"), F.lit(f"{redaction.FLAGS}{redaction.BEFORE}\\Q{v}\\E{redaction.AFTER}")).alias("places"), F.regexp_extract_all(F.lower("_t"), F.lit(f"({redaction.WORD})")).alias("w"))
+        # a value is asked for where its rarest word stands
+        found = found.where(F.array_contains("w", {"web-01": "01", "a-1": "1", "10.0.0.7": "0"}.get(v, v)))
+        want += [(r["k"], r["s"], r["e"], r["hit"]) for r in redaction._offsets(found, ["k"]).collect()]
+    named = redaction.named(t, ["k"], known)
+    assert len(want) > 500 and sorted((r["k"], r["s"], r["e"], r["hit"]) for r in named.collect()) == sorted(want)
