@@ -130,8 +130,11 @@ def named(texts: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
     pattern = F.concat(F.lit(FLAGS + BEFORE), quoted, F.lit(AFTER))
     # a value of ASCII stands between the first and the last place of its letters; with it go the characters that bound it
     plain = F.col("value").rlike(r"\A[\x00-\x7F]*\z")
-    whole = texts.repartition(*keys).withColumn("_f", folded(F.col("_t")))
-    x = asked.withColumn("plain", plain).join(whole, keys).where(~F.col("plain") | F.contains("_f", "value"))
+    # what follows its last letter has no case, so a text without that is left before it is folded
+    end = F.when(plain, F.regexp_extract("value", r"[^a-z]*\z", 0)).otherwise("")
+    x = asked.withColumn("plain", plain).withColumn("end", end).join(texts, keys).where(F.contains("_t", "end"))
+    x = x.select(*keys, "value", "kind", "plain", "_t", _once(folded(F.col("_t"))).alias("_f"))
+    x = x.where(~F.col("plain") | F.contains("_f", "value"))
     first = F.when(F.col("plain"), F.greatest(F.instr("_f", F.col("value")) - 2, F.lit(0))).otherwise(0)
     past = F.when(F.col("plain"), F.length("_f") - F.length(F.expr("substring_index(_f, value, -1)")) + 2).otherwise(F.length("_t"))
     x = x.select(*keys, "value", "kind", "_t", first.alias("first"), past.alias("past"))
