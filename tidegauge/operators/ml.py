@@ -26,6 +26,7 @@ RESTARTS, SEED = 10, 42
 DISTANCE_QUANTILE = 0.995
 # ---- end of fixed values
 BLOCK = 20000  # rows of either side that meet in one task
+UNBOUNDED = 2 ** 31 - 1  # iterations of a search that ends by its tolerance, not by a count
 
 
 def clipped(scores: DataFrame, features: list[str] = FEATURES, bound: float = Z_CLIP) -> DataFrame:
@@ -167,7 +168,8 @@ class OftenRead(Pipeline):
         return PipelineModel([*ready.stages, last.fit(ready.transform(rows))])
 
 
-def linear_svm(features: list[str], label: str = "label", max_iter: int = 50) -> Pipeline:
+def linear_svm(features: list[str], label: str = "label", max_iter: int = UNBOUNDED) -> Pipeline:
+    """M6: trained until the search of each class ends by itself, as in the original, which sets no number of iterations."""
     return OftenRead(stages=[*_scaled(features), OneVsRest(classifier=LinearSVC(maxIter=max_iter), labelCol=label, parallelism=4)])
 
 

@@ -251,7 +251,7 @@ def _(t):
 def _(t):
     rows, cols = _cells(t)
     a, b = ml.time_split(rows, "ts")
-    return ml.overall_scores(ml.class_scores(ml.linear_svm(cols, max_iter=5).fit(a).transform(b))).select(r("macro_f1"), r("accuracy"))
+    return ml.overall_scores(ml.class_scores(ml.linear_svm(cols).fit(a).transform(b))).select(r("macro_f1"), r("accuracy"))
 
 
 _KNN = """WITH c AS (SELECT floor(count(*) * 0.7) AS cut FROM embeddings), e AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),
@@ -307,7 +307,7 @@ def _(t):
 def _(t):
     rows, cols = _cells(t)
     a, b = ml.time_split(rows, "ts")
-    return ml.class_scores(ml.linear_svm(cols, max_iter=2).fit(a).transform(b)).where("support > 0").select("class", "support")
+    return ml.class_scores(ml.linear_svm(cols).fit(a).transform(b)).where("support > 0").select("class", "support")
 
 
 @query("m10_stored_baseline", f"SELECT asset_id, metric, rnd(med, 4) AS med FROM ({_BASE})", "points")
